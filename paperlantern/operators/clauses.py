@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlantern.functions.text import terms_of
-from paperlantern.session import LITERAL_ROWS, small_side, take_if_small
+from paperlantern.session import LITERAL_ROWS, settle, small_side, take_if_small
 
 SPEC_SCHEMA = (
     "query_id string, clause_id int, occur string, kind string, field string, text string, "
@@ -30,6 +30,7 @@ RANGES = ("numeric_range", "date_range")
 KINDS = ("match_all",) + ANALYSED + EXPANDING + RANGES
 KEYWORD_FIELDS = ("extension", "dir")
 FIELDS = ("content", "size", "mod_time") + KEYWORD_FIELDS
+MUST, SHOULD, MUST_NOT = range(3)
 _COLUMN_OF = {"extension": "ext", "dir": "dir"}
 
 
@@ -48,17 +49,16 @@ def query_specs(spark: SparkSession, clauses: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, SPEC_SCHEMA)
 
 
-def _bad_patterns(specs: DataFrame) -> DataFrame:
+def _bad_patterns(specs: DataFrame) -> dict[str, str]:
     """Distinct patterns the regexp engine refuses, with its message."""
-    spark = specs.sparkSession
-    patterns = take_if_small(specs.where(F.col("kind") == "regexp").select("text").distinct(), 10_000)
-    bad = []
-    for (text,) in patterns or []:
+    jvm = specs.sparkSession._jvm
+    bad = {}
+    for row in take_if_small(specs.where(F.col("kind") == "regexp").select("text"), 10_000) or []:
         try:
-            spark._jvm.java.util.regex.Pattern.compile(text or "")
+            jvm.java.util.regex.Pattern.compile(row.text or "")
         except Exception as error:  # the message of the Java exception
-            bad.append((text, "bad pattern: " + str(getattr(error, "java_exception", error)).splitlines()[0]))
-    return spark.createDataFrame(bad, "text string, bad string")
+            bad[row.text] = "bad pattern: " + str(getattr(error, "java_exception", error)).splitlines()[0]
+    return bad
 
 
 def validate_queries(specs: DataFrame) -> DataFrame:
@@ -74,17 +74,21 @@ def validate_queries(specs: DataFrame) -> DataFrame:
         .when(F.coalesce(lo_hi, F.lit(False)), "lo > hi")
         .when(F.col("kind").isin(*RANGES) & no_bound, "no bound")
     )
-    checked = specs.join(F.broadcast(_bad_patterns(specs)), "text", "left")
-    return checked.withColumn(
-        "reason", F.coalesce(reason, F.when(F.col("kind") == "regexp", F.col("bad")))
-    ).select(*specs.columns, "reason")
+    for text, message in _bad_patterns(specs).items():
+        reason = reason.when((F.col("kind") == "regexp") & (F.col("text") == text), message)
+    return specs.withColumn("reason", reason)
 
 
 def valid_queries(specs: DataFrame) -> DataFrame:
     """Clauses of the queries without an invalid clause; the others are not run."""
+    specs = settle(specs)
     checked = validate_queries(specs)
-    rejected = checked.where(F.col("reason").isNotNull()).select("query_id").distinct()
-    return checked.join(rejected, "query_id", "left_anti").drop("reason")
+    rejected = checked.where(F.col("reason").isNotNull()).select("query_id")
+    known = take_if_small(rejected, LITERAL_ROWS)
+    checked = checked.drop("reason")
+    if known is not None:
+        return checked.where(~F.col("query_id").isin(sorted({r.query_id for r in known}))) if known else checked
+    return checked.join(rejected.distinct(), "query_id", "left_anti")
 
 
 # ---------------------------------------------------------------- evaluation
@@ -180,6 +184,11 @@ def document_hits(documents: DataFrame, clauses: DataFrame, carry: list[str]) ->
     return match_clauses(documents, clauses, carry, _holds)
 
 
+def occur_code(occur) -> Column:
+    occur = F.col(occur) if isinstance(occur, str) else occur
+    return F.when(occur == "must", MUST).when(occur == "should", SHOULD).otherwise(MUST_NOT)
+
+
 def boolean(clause_hits: DataFrame) -> DataFrame:
     """Q4-Q6: clause hits to documents.
 
@@ -187,6 +196,8 @@ def boolean(clause_hits: DataFrame) -> DataFrame:
     ``occur, units, contribution`` and the totals ``n_must, should_units`` of the
     query.  All steps group by keys that start with the document, so the one
     shuffle by document serves them all; a frequent term never forms a group.
+    ``occur`` is a number here (see ``occur_code``), which keeps both steps hash
+    aggregations.
     """
     doc = ["query_id", "index_id", "path"]
     hits = clause_hits.repartition(*doc)
@@ -197,12 +208,12 @@ def boolean(clause_hits: DataFrame) -> DataFrame:
         F.first("n_must").alias("n_must"),
         F.first("should_units").alias("should_units"),
     )
-    is_must, is_should = F.col("occur") == "must", F.col("occur") == "should"
+    is_must, is_should = F.col("occur") == MUST, F.col("occur") == SHOULD
     total = lambda cond, col: F.coalesce(F.sum(F.when(cond, F.col(col))), F.lit(0))
     docs = clause.groupBy(*doc).agg(
         F.count_if(is_must).alias("must_hit"),
         F.count_if(is_should).alias("should_hit"),
-        F.count_if(F.col("occur") == "must_not").alias("not_hit"),
+        F.count_if(F.col("occur") == MUST_NOT).alias("not_hit"),
         F.first("n_must").alias("n_must"),
         (
             total(is_must, "contribution")

@@ -14,7 +14,7 @@ def idf(n_docs, df) -> Column:
     return 1 + F.log(F.col(n_docs) / (F.col(df) + 1))
 
 
-def term_weights(units: DataFrame, totals: DataFrame, stats: DataFrame) -> DataFrame:
+def term_weights(units: DataFrame, totals: DataFrame) -> DataFrame:
     """Adds ``weight = mult * boost * idf^2 * qn`` to the units present in a collection.
 
     ``units``: query_id, clause_id, index_id, unit, boost, mult, width, present,

@@ -9,17 +9,22 @@ from pyspark.sql import functions as F
 
 from paperlantern.functions.paths import path_base
 from paperlantern.functions.text import rfc1123, truncate_text
-from paperlantern.session import small_side
+from paperlantern.session import BROADCAST_ROWS, cut_lineage, small_side
 
 
-def project_results(hits: DataFrame, documents: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+def project_results(hits: DataFrame, documents: DataFrame, catalog: DataFrame | None = None, at_most_rows: int | None = None) -> DataFrame:
     """Stored fields of the hits; ``full_path`` = base path + ``/`` + path.
 
-    The hits are at most k per query and collection; when that is few rows they
-    are broadcast to the documents, else both sides are shuffled by key.
+    ``at_most_rows`` is the caller's bound (k * queries * collections).  Within the
+    broadcast limit the hits go to the documents; else the hits are computed
+    once, counted, and broadcast or shuffled by key accordingly.
     """
     fields = documents.select("index_id", "path", "size", "mod_time", "ext")
-    out = fields.join(small_side(hits), ["index_id", "path"])
+    if at_most_rows is not None and at_most_rows <= BROADCAST_ROWS:
+        side = F.broadcast(hits)
+    else:
+        side = small_side(cut_lineage(hits))
+    out = fields.join(side, ["index_id", "path"])
     base = F.col("path")
     if catalog is not None:
         out = out.join(small_side(catalog.select("index_id", "base_path")), "index_id", "left")

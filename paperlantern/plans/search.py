@@ -10,17 +10,19 @@ from paperlantern.functions.text import terms_of
 from paperlantern.operators.analyze import term_bucket
 from paperlantern.operators.clauses import (
     EXPANDING,
+    MUST_NOT,
     boolean,
     document_hits,
     expand_terms,
     literal_terms,
+    occur_code,
     valid_queries,
 )
 from paperlantern.operators.folders import folder_scope
 from paperlantern.operators.rank import contribution, idf, term_weights, top_k
 from paperlantern.operators.results import project_results
 from paperlantern.plans.index import IndexTables
-from paperlantern.session import BROADCAST_ROWS, cut_lineage, small_side, take_if_small
+from paperlantern.session import BROADCAST_ROWS, at_most, in_one_task, settle, small_side, take_if_small
 
 #: Query totals that travel with every clause.
 _CARRY = ["query_id", "clause_id", "occur", "kind", "boost", "n_must", "should_units"]
@@ -34,7 +36,7 @@ def prepare_clauses(specs: DataFrame) -> DataFrame:
     A query of must_not clauses only gets a match-all clause of boost 0, so it
     answers with everything else at score 0.
     """
-    specs = specs.withColumn("boost", F.coalesce("boost", F.lit(1.0)))
+    specs = in_one_task(specs).withColumn("boost", F.coalesce("boost", F.lit(1.0)))
     only_not = specs.groupBy("query_id").agg(F.count_if(F.col("occur") != "must_not").alias("n")).where("n = 0")
     blank = only_not.select(
         "query_id", F.lit(-1).alias("clause_id"), F.lit("must").alias("occur"), F.lit("match_all").alias("kind"),
@@ -46,56 +48,53 @@ def prepare_clauses(specs: DataFrame) -> DataFrame:
         F.count_if(F.col("occur") == "must").cast("int").alias("n_must"),
         F.coalesce(F.sum(F.when(F.col("occur") == "should", units)), F.lit(0)).cast("int").alias("should_units"),
     )
-    return specs.join(totals, "query_id")
+    return specs.join(totals, "query_id").withColumn("occur", occur_code("occur"))
 
 
-def resolve_terms(index: IndexTables, clauses: DataFrame, scope: DataFrame | None) -> DataFrame:
+def resolve_terms(index: IndexTables, clauses: DataFrame, stats: DataFrame, scope: DataFrame | None) -> DataFrame:
     """Query terms per collection with their weights: what the postings are joined with."""
     on_content = clauses.where(F.col("field") == "content")
     expanding = on_content.where(F.col("kind").isin(*EXPANDING))
-    literal = literal_terms(on_content, _CARRY).withColumn("bucket", term_bucket("term", index.buckets))
-    scored = F.col("occur") != "must_not"
+    literal = settle(literal_terms(in_one_task(on_content), _CARRY).withColumn("bucket", term_bucket("term", index.buckets)))
 
     dictionary = index.dictionary
     if scope is not None:
         dictionary = dictionary.join(small_side(scope.select("index_id").distinct()), "index_id", "left_semi")
-    words = literal.select("term", "bucket").distinct()
-    spelled = take_if_small(words, LITERAL_TERMS)
+    words = take_if_small(literal.select("term", "bucket"), LITERAL_TERMS)
     named = dictionary
-    if spelled is not None:
+    if words is not None:
         # literals prune bucket folders and row groups
-        named = named.where(F.col("bucket").isin(sorted({r.bucket for r in spelled})) & F.col("term").isin(sorted({r.term for r in spelled})))
-    present = named.join(small_side(literal), ["bucket", "term"])
-    expanded = expand_terms(dictionary, expanding, _CARRY)
-    columns = ["index_id", "bucket", "term", "df", *_CARRY, "ordinal", "mult", "width"]
-    expanded = expanded.select(
-        "index_id", "bucket", "term", "df", *_CARRY, F.lit(0).alias("ordinal"), F.lit(1).alias("mult"), F.lit(1).alias("width")
-    )
-    found = present.select(*columns, F.lit(True).alias("literal")).unionByName(
-        expanded.select(*columns, F.lit(False).alias("literal"))
-    )
+        named = named.where(F.col("bucket").isin(sorted({r.bucket for r in words})) & F.col("term").isin(sorted({r.term for r in words})))
+    columns = ["index_id", "bucket", "term", "df", *_CARRY, "ordinal", "mult", "width", "literal"]
+    present = named.join(small_side(literal), ["bucket", "term"]).withColumn("literal", F.lit(True))
+    found = present.select(*columns)
+    if not at_most(expanding, 0):
+        one = F.lit(1)
+        expanded = expand_terms(dictionary, expanding, _CARRY)
+        expanded = expanded.withColumns({"ordinal": F.lit(0), "mult": one, "width": one, "literal": F.lit(False)})
+        found = found.unionByName(expanded.select(*columns))
+    found = settle(found)
     if not index.exact_df:
         # df over the live documents, for the terms of these queries only
-        wanted = cut_lineage(found)
-        keys = wanted.select("index_id", "bucket", "term").distinct()
+        keys = found.select("index_id", "bucket", "term").distinct()
         live = index.postings.where("tf > 0").join(small_side(keys), ["index_id", "bucket", "term"])
         live = live.groupBy("index_id", "bucket", "term").agg(F.count(F.lit(1)).alias("df"))
-        found = wanted.drop("df").join(live, ["index_id", "bucket", "term"])
+        found = settle(found.drop("df").join(live, ["index_id", "bucket", "term"]).select(*columns))
 
-    found = found.join(small_side(index.stats.select("index_id", "n_docs")), "index_id")
-    found = found.withColumn("unit", F.when(F.col("kind") == "phrase", F.lit("")).otherwise(F.col("term")))
+    unit = F.when(F.col("kind") == "phrase", F.lit("")).otherwise(F.col("term"))
+    found = in_one_task(found).join(small_side(stats.select("index_id", "n_docs")), "index_id").withColumn("unit", unit)
     unit_key = ["query_id", "clause_id", "index_id", "unit"]
-    units = found.groupBy(*unit_key).agg(
+    scored = F.col("occur") != MUST_NOT
+    units = found.where(scored).groupBy(*unit_key).agg(
         F.sum(idf("n_docs", "df")).alias("idf_sum"),
         F.count(F.lit(1)).alias("present"),
-        *[F.first(c).alias(c) for c in ("boost", "mult", "width", "n_docs", "literal", "occur")],
+        *[F.max(c).alias(c) for c in ("boost", "mult", "width", "n_docs", "literal")],
     )
-    literal_units = literal.where(scored).select("query_id", "clause_id", "kind", "term", "boost", "mult", "width")
-    literal_units = literal_units.withColumn("unit", F.when(F.col("kind") == "phrase", F.lit("")).otherwise(F.col("term"))).drop("term").distinct()
+    literal_units = in_one_task(literal).where(scored).withColumn("unit", unit).select("query_id", "clause_id", "unit", "boost", "mult", "width").distinct()
     all_base = literal_units.groupBy("query_id").agg(F.sum(F.col("mult") * F.pow(F.col("boost") * F.col("width"), 2)).alias("all_base"))
-    weights = term_weights(units.where(scored), all_base, index.stats).select(*unit_key, "weight")
+    weights = term_weights(units, all_base).select(*unit_key, "weight")
     out = found.join(weights, unit_key, "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    return out.select("index_id", "bucket", "term", *_CARRY, "ordinal", "mult", "width", "weight")
+    return settle(out.select("index_id", "bucket", "term", *_CARRY, "ordinal", "mult", "width", "weight"))
 
 
 def _within(hits: DataFrame, scope: DataFrame | None, dir_column) -> DataFrame:
@@ -126,24 +125,25 @@ def _phrase_hits(postings: DataFrame, terms: DataFrame, scope) -> DataFrame:
 
 def score_documents(index: IndexTables, specs: DataFrame, folders: DataFrame | None = None) -> DataFrame:
     """All matching documents with their scores."""
-    clauses = prepare_clauses(specs)
-    scope = folder_scope(folders) if folders is not None else None
-    terms = resolve_terms(index, clauses, scope)
+    clauses = settle(prepare_clauses(settle(specs)))
+    return _score(index, clauses, settle(index.stats), folders)
+
+
+def _score(index: IndexTables, clauses: DataFrame, stats: DataFrame, folders: DataFrame | None) -> DataFrame:
+    scope = settle(folder_scope(folders)) if folders is not None else None
+    terms = resolve_terms(index, clauses, stats, scope)
     rows = take_if_small(terms, BROADCAST_ROWS)
-    spark = specs.sparkSession
-    literals = None
+    postings = index.postings
     if rows is not None:
-        terms = F.broadcast(spark.createDataFrame(rows, terms.schema))
-        literals = {r.term for r in rows}
         kinds = {r.kind for r in rows}
+        literals = sorted({r.term for r in rows})
+        if 0 < len(literals) <= LITERAL_TERMS:
+            buckets = sorted({r.bucket for r in rows})
+            postings = postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(literals))
+        terms = F.broadcast(terms)
     else:
-        terms = cut_lineage(terms)
         kinds = {r.kind for r in terms.select("kind").distinct().collect()}
 
-    postings = index.postings
-    if literals is not None and 0 < len(literals) <= LITERAL_TERMS:
-        buckets = sorted({r.bucket for r in rows})
-        postings = postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(sorted(literals)))
     output = ["query_id", "index_id", "path", "clause_id", "occur", "units", "expanded", "contribution", "n_must", "should_units"]
     parts = []
     if kinds - {"phrase"}:
@@ -167,7 +167,7 @@ def score_documents(index: IndexTables, specs: DataFrame, folders: DataFrame | N
             .withColumn("contribution", contribution("weight", "tf", "n_tokens")).select(*output)
         )
     on_documents = clauses.where((F.col("kind").isin("match_all", "numeric_range", "date_range")) | (F.col("field") != "content"))
-    if take_if_small(on_documents, 0) is None:
+    if not at_most(on_documents, 0):
         documents = index.documents.select("index_id", "path", "dir", "ext", "size", "mod_time")
         hits = document_hits(documents, on_documents, _CARRY)
         hits = _within(hits, scope, F.col("dir"))
@@ -176,7 +176,7 @@ def score_documents(index: IndexTables, specs: DataFrame, folders: DataFrame | N
             .withColumn("contribution", F.when(F.col("kind") == "match_all", F.col("boost")).otherwise(0.0)).select(*output)
         )
     if not parts:
-        return spark.createDataFrame([], "query_id string, index_id string, path string, score double")
+        return clauses.sparkSession.createDataFrame([], "query_id string, index_id string, path string, score double")
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
@@ -190,8 +190,10 @@ def search(index: IndexTables, specs: DataFrame, folders: DataFrame | None = Non
     None searches everywhere.  ``order``: ``index`` sorts by collection and rank,
     ``global`` by score over all collections; None leaves the order open.
     """
-    hits = top_k(score_documents(index, valid_queries(specs), folders), k)
-    results = project_results(hits, index.documents, index.catalog)
+    clauses = settle(prepare_clauses(valid_queries(specs)))
+    stats = settle(index.stats)
+    hits = top_k(_score(index, clauses, stats, folders), k)
+    results = project_results(hits, index.documents, index.catalog, k * clauses.count() * stats.count())
     if order == "index":
         return results.orderBy("query_id", "index_id", "rank")
     if order == "global":

@@ -24,6 +24,8 @@ def build_session(app_name: str = "paperlantern", master: str | None = None, **c
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "static",
+        # call sites per column expression: many round trips while planning
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # sessions of one key are merged before the shuffle
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     }
@@ -53,8 +55,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _row_bound(df: DataFrame) -> int | None:
+    """Upper bound of the row count the optimizer proved, without running anything."""
+    bound = df._jdf.queryExecution().optimizedPlan().maxRows()
+    return int(bound.get()) if bound.isDefined() else None
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
-    """True when ``df`` has at most ``rows`` rows; reads no more than needed."""
+    """True when ``df`` has at most ``rows`` rows; counts only if the plan does not tell."""
+    bound = _row_bound(df)
+    if bound is not None and bound <= rows:
+        return True
     return df.limit(rows + 1).count() <= rows
 
 
@@ -67,3 +78,22 @@ def take_if_small(df: DataFrame, rows: int):
     """The rows of ``df`` as a list, or None when there are more than ``rows``."""
     found = df.limit(rows + 1).collect()
     return found if len(found) <= rows else None
+
+
+def settle(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Compute a query-side table once.
+
+    Up to ``rows`` rows it becomes a local relation, whose size every later plan
+    knows; beyond that a checkpoint in the shared folder.
+    """
+    table = df.limit(rows + 1).toArrow()
+    if table.num_rows <= rows:
+        return df.sparkSession.createDataFrame(table, schema=df.schema)
+    return cut_lineage(df)
+
+
+def in_one_task(df: DataFrame) -> DataFrame:
+    """A proven small query-side table in one partition: what follows on it alone
+    needs no shuffle.  Anything else is returned as it is."""
+    bound = _row_bound(df)
+    return df.coalesce(1) if bound is not None and bound <= BROADCAST_ROWS else df

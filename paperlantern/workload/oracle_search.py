@@ -28,7 +28,10 @@ def clause_values(clauses: list[dict]) -> str:
 
 
 def scored_ctes(clauses: list[dict], folders: list[str] | None = None) -> str:
-    """CTEs up to ``scored(query_id, index_id, path, score)``."""
+    """(levenshtein counts bytes there, so characters outside ASCII, which no
+    query text here has, are made one byte first.)
+
+    CTEs up to ``scored(query_id, index_id, path, score)``."""
     scope = "TRUE"
     if folders is not None:
         scope = "dir IN (" + ", ".join(_literal(f) for f in folders) + ")"
@@ -55,7 +58,7 @@ exps AS (
        (q.kind = 'regexp' AND regexp_full_match(d.term, q.text))
     OR (q.kind = 'prefix' AND starts_with(d.term, q.text))
     OR (q.kind = 'wildcard' AND regexp_full_match(d.term, replace(replace(q.text, '*', '.*'), '?', '.')))
-    OR (q.kind = 'fuzzy' AND levenshtein(d.term, q.text) <= coalesce(q.fuzziness, 1)))),
+    OR (q.kind = 'fuzzy' AND levenshtein(regexp_replace(d.term, '[^\x00-\x7F]', '~', 'g'), q.text) <= coalesce(q.fuzziness, 1)))),
 qt AS (
   SELECT l.query_id, l.clause_id, nd.index_id, l.term, l.ordinal, l.mult, l.width, l.unit, 1 + ln(nd.n / (coalesce(d.df, 0) + 1.0)) AS idf
   FROM lit l CROSS JOIN nd LEFT JOIN dict d ON d.index_id = nd.index_id AND d.term = l.term
