@@ -22,7 +22,7 @@ from paperlantern.operators.folders import folder_scope
 from paperlantern.operators.rank import contribution, idf, term_weights, top_k
 from paperlantern.operators.results import project_results
 from paperlantern.plans.index import IndexTables
-from paperlantern.session import BROADCAST_ROWS, at_most, in_one_task, settle, small_side, take_if_small
+from paperlantern.session import BROADCAST_ROWS, at_most, in_one_task, row_bound, settle, small_side, take_if_small
 
 #: Query totals that travel with every clause.
 _CARRY = ["query_id", "clause_id", "occur", "kind", "boost", "n_must", "should_units"]
@@ -73,7 +73,9 @@ def resolve_terms(index: IndexTables, clauses: DataFrame, stats: DataFrame, scop
         expanded = expand_terms(dictionary, expanding, _CARRY)
         expanded = expanded.withColumns({"ordinal": F.lit(0), "mult": one, "width": one, "literal": F.lit(False)})
         found = found.unionByName(expanded.select(*columns))
-    found = settle(found)
+    sizes = small_side(stats.select("index_id", "n_docs"))
+    found = settle(found.join(sizes, "index_id"))
+    columns = [*columns, "n_docs"]
     if not index.exact_df:
         # df over the live documents, for the terms of these queries only
         keys = found.select("index_id", "bucket", "term").distinct()
@@ -82,7 +84,7 @@ def resolve_terms(index: IndexTables, clauses: DataFrame, stats: DataFrame, scop
         found = settle(found.drop("df").join(live, ["index_id", "bucket", "term"]).select(*columns))
 
     unit = F.when(F.col("kind") == "phrase", F.lit("")).otherwise(F.col("term"))
-    found = in_one_task(found).join(small_side(stats.select("index_id", "n_docs")), "index_id").withColumn("unit", unit)
+    found = in_one_task(found).withColumn("unit", unit)
     unit_key = ["query_id", "clause_id", "index_id", "unit"]
     scored = F.col("occur") != MUST_NOT
     units = found.where(scored).groupBy(*unit_key).agg(
@@ -193,7 +195,9 @@ def search(index: IndexTables, specs: DataFrame, folders: DataFrame | None = Non
     clauses = settle(prepare_clauses(valid_queries(specs)))
     stats = settle(index.stats)
     hits = top_k(_score(index, clauses, stats, folders), k)
-    results = project_results(hits, index.documents, index.catalog, k * clauses.count() * stats.count())
+    n_clauses, n_indexes = row_bound(clauses), row_bound(stats)
+    bound = k * n_clauses * n_indexes if n_clauses is not None and n_indexes is not None else None
+    results = project_results(hits, index.documents, index.catalog, bound)
     if order == "index":
         return results.orderBy("query_id", "index_id", "rank")
     if order == "global":

@@ -55,7 +55,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _row_bound(df: DataFrame) -> int | None:
+def row_bound(df: DataFrame) -> int | None:
     """Upper bound of the row count the optimizer proved, without running anything."""
     bound = df._jdf.queryExecution().optimizedPlan().maxRows()
     return int(bound.get()) if bound.isDefined() else None
@@ -63,7 +63,7 @@ def _row_bound(df: DataFrame) -> int | None:
 
 def at_most(df: DataFrame, rows: int) -> bool:
     """True when ``df`` has at most ``rows`` rows; counts only if the plan does not tell."""
-    bound = _row_bound(df)
+    bound = row_bound(df)
     if bound is not None and bound <= rows:
         return True
     return df.limit(rows + 1).count() <= rows
@@ -95,5 +95,5 @@ def settle(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def in_one_task(df: DataFrame) -> DataFrame:
     """A proven small query-side table in one partition: what follows on it alone
     needs no shuffle.  Anything else is returned as it is."""
-    bound = _row_bound(df)
+    bound = row_bound(df)
     return df.coalesce(1) if bound is not None and bound <= BROADCAST_ROWS else df

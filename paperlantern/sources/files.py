@@ -89,11 +89,7 @@ def corpus_listing(spark: SparkSession, folder: str, extensions=DEFAULT_EXTENSIO
     """As :func:`corpus_scan` without content: no file is opened."""
     base, name = _located(folder)
     df = _reader(spark, extensions).format("binaryFile").load(folder)
-    raw = df.select(
-        file_uri_path("path").alias("file"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("mod_time"),
-    )
+    raw = _meta(df)
     return filter_extensions(to_documents(raw, index_id or name, base), extensions)
 
 

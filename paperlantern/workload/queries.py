@@ -408,11 +408,10 @@ PREVIEW = [
     {"query_id": "p1", "occur": "must_not", "kind": "term", "text": "zzz"},
     {"query_id": "p2", "occur": "should", "kind": "regexp", "text": "th[a-e]+"},
     {"query_id": "p2", "occur": "must_not", "kind": "term", "text": "and"},
-    {"query_id": "p3", "occur": "must", "kind": "match_all"},
 ]
 # What the highlighted terms come to, spelled for an engine with an ASCII \b.
 _PATTERNS_SQL = r"""patterns(query_id, pattern) AS (VALUES ('p1', '(?i)\bthe\b|(?i)\bof\b'), ('p2', '(?i)th[a-e]+\b'))"""
-_HITS_SQL = scored_ctes(PREVIEW[:5]) + f""",
+_HITS_SQL = scored_ctes(PREVIEW) + f""",
 {_PATTERNS_SQL},
 hits AS (SELECT r.*, d.content FROM ranked r JOIN docs d USING (index_id, path) WHERE rank <= 5),
 lines AS (
@@ -436,20 +435,45 @@ _HITS_SQL = _HITS_SQL.replace(r"'\\0'", r"'\0'")
 
 
 def _segments(spark, sf):
-    specs = _specs(spark, PREVIEW[:5])
+    specs = _specs(spark, PREVIEW)
     hits = search(fx.stored_index(spark, sf), specs, None, 5)
     return pv.preview(hits, fx.documents(spark, sf), specs)
 
 
+_TALK_SQL = """SELECT CAST(conv_id AS VARCHAR) AS query_id, turn, text,
+  CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 0 ELSE 2 END AS g FROM conversations"""
+
+
+def _talk(spark, sf) -> DataFrame:
+    """Every conversation as a query: what users say should, answers must match."""
+    occur = F.when(F.col("role") == "user", "should").when(F.col("role") == "assistant", "must").otherwise("must_not")
+    return fx.table(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string").alias("query_id"), F.col("turn").cast("int").alias("clause_id"), occur.alias("occur"),
+        F.lit("match").alias("kind"), "text",
+    )
+
+
+def _joined_terms(terms: DataFrame) -> DataFrame:
+    return terms.select("query_id", F.size("terms").alias("n"), F.md5(F.array_join("terms", "|")).alias("digest"))
+
+
 @_register(
     "p1_search_terms",
-    """SELECT q.query_id, terms, n FROM (VALUES ('p1', 'the,of'), ('p2', '/th[a-e]+/'), ('p3', '')) q(query_id, terms),
-       (SELECT count(*) AS n FROM documents)""",
+    f"""SELECT query_id, CAST(count(text) FILTER (g < 2) AS INTEGER) AS n,
+        md5(coalesce(string_agg(text, '|' ORDER BY g, turn, text) FILTER (g < 2), '')) AS digest FROM ({_TALK_SQL}) GROUP BY query_id""",
 )
 def p1(spark, sf):
-    terms = pv.search_terms(_specs(spark, PREVIEW)).select("query_id", F.array_join("terms", ",").alias("terms"))
-    n = fx.table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n"))
-    return terms.join(F.broadcast(n))
+    return _joined_terms(pv.search_terms(_talk(spark, sf)))
+
+
+@_register(
+    "p1_search_terms_compat",
+    f"""SELECT query_id, CAST(count(text) FILTER (g < 2 OR s) AS INTEGER) AS n,
+        md5(coalesce(string_agg(text, '|' ORDER BY g, turn, text) FILTER (g < 2 OR s), '')) AS digest
+        FROM (SELECT *, bool_or(g = 1) OVER (PARTITION BY query_id) AS s FROM ({_TALK_SQL})) GROUP BY query_id""",
+)
+def p1_compat(spark, sf):
+    return _joined_terms(pv.search_terms(_talk(spark, sf), compat=True))
 
 
 @_register(
@@ -457,7 +481,7 @@ def p1(spark, sf):
     rf"""WITH {DOCS_SQL}, {_PATTERNS_SQL} SELECT query_id, index_id, path, len(regexp_extract_all(content, pattern)) AS n FROM docs, patterns""",
 )
 def p2(spark, sf):
-    patterns = pv.search_terms(_specs(spark, PREVIEW[:5])).select("query_id", pv.highlight_pattern("terms").alias("pattern"))
+    patterns = pv.search_terms(_specs(spark, PREVIEW)).select("query_id", pv.highlight_pattern("terms").alias("pattern"))
     rows = {r.query_id: r.pattern for r in patterns.collect()}
     counts = [F.struct(F.lit(q).alias("query_id"), F.regexp_count("content", F.lit(p)).cast("long").alias("n")) for q, p in sorted(rows.items())]
     docs = fx.documents(spark, sf).select("index_id", "path", F.explode(F.array(*counts)).alias("c"))
