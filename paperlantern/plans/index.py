@@ -31,7 +31,7 @@ from paperlantern.operators.analyze import (
     term_dictionary,
     terms_of,
 )
-from paperlantern.session import small_side
+from paperlantern.session import settle, small_side
 from paperlantern.sources.catalog import append_catalog, read_catalog, register_index
 from paperlantern.sources.storage import exists
 
@@ -155,7 +155,7 @@ def write_index(
         buckets, positions = found[0].buckets, found[0].positions
     seq = seq if seq is not None else (found[-1].seq + 1 if found else 0)
     if catalog is not None:
-        accepted = register_index(read_catalog(spark, root), catalog)
+        accepted = settle(register_index(read_catalog(spark, root), catalog))
         names = small_side(accepted.select("index_id"))
         docs = docs.join(names, "index_id", "left_semi")
         if large_lines is not None:

@@ -24,7 +24,7 @@ def test_postings_need_no_shuffle_and_one_analysis(spark):
     assert plan(tokenize(fx.documents(spark, SF))).count("split(lower(") == 1
 
 
-@pytest.mark.parametrize("name", ["q04_boolean", "q07_regexp", "r3_search_folders"])
+@pytest.mark.parametrize("name", ["q04_boolean", "q07_regexp", "q13_phrase"])
 def test_search_plan(spark, name):
     text = plan(wq.QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
@@ -32,7 +32,7 @@ def test_search_plan(spark, name):
     assert "WindowGroupLimit" in text
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", text)
     assert re.search(r"PushedFilters: \[[^\]]*term", text)
-    assert "positions" not in text.split("ReadSchema")[1] or name == "r3_search_folders"
+    assert "positions" not in text.split("ReadSchema")[1] or name == "q13_phrase"
 
 
 def test_no_registered_query_runs_python(spark):
