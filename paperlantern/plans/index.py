@@ -15,6 +15,7 @@ not kept.  A newer segment supersedes the rows of a key in older ones.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,12 @@ def _segment_rows(docs: DataFrame, buckets: int, positions: bool) -> DataFrame:
     return _finish_rows(rows, buckets)
 
 
+def _large_rows(lines: DataFrame, buckets: int, positions: bool) -> DataFrame:
+    heads = large_file_documents(lines).select(*KEY, *_META, "n_tokens", F.lit("").alias("term"), F.lit(0).alias("tf"))
+    body = large_file_rows(lines, positions)
+    return _finish_rows(heads.unionByName(body, allowMissingColumns=True), buckets)
+
+
 def _finish_rows(rows: DataFrame, buckets: int) -> DataFrame:
     is_doc = F.col("term") == ""
     if "positions" not in rows.columns:
@@ -162,19 +169,25 @@ def write_index(
             large_lines = large_lines.join(names, "index_id", "left_semi")
     rows = _segment_rows(docs, buckets, positions)
     if large_lines is not None:
-        heads = large_file_documents(large_lines).select(
-            *KEY, *_META, "n_tokens", F.lit("").alias("term"), F.lit(0).alias("tf")
-        )
-        body = large_file_rows(large_lines, positions)
-        rows = rows.unionByName(_finish_rows(heads.unionByName(body, allowMissingColumns=True), buckets))
+        rows = rows.unionByName(_large_rows(large_lines, buckets, positions))
     _write_segment(spark, root, seq, rows, buckets, positions, False, None)
     if catalog is not None:
         append_catalog(accepted, root)
     return seq
 
 
-def append_segment(spark: SparkSession, root: str, docs: DataFrame | None, deleted: DataFrame | None = None, seq: int | None = None) -> int:
-    """Replace documents by key and delete others, as one segment."""
+def append_segment(
+    spark: SparkSession,
+    root: str,
+    docs: DataFrame | None,
+    deleted: DataFrame | None = None,
+    seq: int | None = None,
+    large_lines: DataFrame | None = None,
+) -> int:
+    """Replace documents by key and delete others, as one segment.
+
+    One writer at a time: a caller that runs a stream beside other writers gives
+    ``seq`` itself."""
     found = segments(spark, root)
     if not found:
         raise ValueError(f"no index at {root}")
@@ -185,7 +198,9 @@ def append_segment(spark: SparkSession, root: str, docs: DataFrame | None, delet
         parts.append(_segment_rows(docs, buckets, positions))
     if deleted is not None:
         parts.append(_tombstones(deleted.select(*KEY).distinct(), buckets))
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    if large_lines is not None:
+        parts.append(_large_rows(large_lines, buckets, positions))
+    rows = reduce(DataFrame.unionByName, parts)
     before = open_index(spark, root, upto=seq)
     _write_segment(spark, root, seq, rows, buckets, positions, True, before)
     return seq

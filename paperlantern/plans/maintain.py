@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlantern.operators.changes import below_folder, last_change, snapshot_diff
 from paperlantern.plans.index import append_segment, open_index, write_index
-from paperlantern.session import small_side
+from paperlantern.session import cut_lineage, small_side, take_if_small
 from paperlantern.sources.catalog import catalog_rows
 from paperlantern.sources.files import (
     DEFAULT_EXTENSIONS,
@@ -19,6 +21,8 @@ from paperlantern.sources.files import (
 )
 
 KEY = ["index_id", "path"]
+#: So many changed files are named to the reader one by one.
+CHANGED_FILES = 5_000
 
 
 def initial_scan(
@@ -34,7 +38,7 @@ def apply_changes(spark: SparkSession, root: str, changes: DataFrame, corpus: Da
     """Last change per path wins: documents replaced by key, deleted ones buried.
 
     ``corpus`` supplies the content of the changed paths: the feed itself, or a
-    scan of just those paths.  A path that has no content any more is deleted.
+    scan of just those paths.  A path without content there stays as it is.
     """
     final = last_change(changes)
     upserts = final.where("op <> 'delete'").select(*KEY)
@@ -43,16 +47,35 @@ def apply_changes(spark: SparkSession, root: str, changes: DataFrame, corpus: Da
     return append_segment(spark, root, docs, deleted, seq)
 
 
-def reindex(spark: SparkSession, root: str, folder: str, extensions=DEFAULT_EXTENSIONS, index_id: str | None = None) -> int | None:
-    """Bring one folder up to date: listing, difference, changed files only."""
+def _as_glob(path: str) -> str:
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def reindex(
+    spark: SparkSession,
+    root: str,
+    folder: str,
+    extensions=DEFAULT_EXTENSIONS,
+    index_id: str | None = None,
+    whole_file_bytes: int = WHOLE_FILE_BYTES,
+) -> int:
+    """Bring one folder up to date: listing, difference, changed files only.
+
+    Up to some thousand changed files are opened by name; more are picked from a
+    scan of the folder.
+    """
     index = open_index(spark, root)
-    name = index_id or folder.rstrip("/").rpartition("/")[2]
+    base, _, name = folder.rstrip("/").rpartition("/")
+    name = index_id or name
     listing = corpus_listing(spark, folder, extensions, name)
-    changes = snapshot_diff(index.documents.where(F.col("index_id") == name), listing)
-    corpus = corpus_scan(spark, folder, extensions, name)
+    changes = cut_lineage(snapshot_diff(index.documents.where(F.col("index_id") == name), listing))
     upserts = changes.where("op <> 'delete'").select(*KEY)
-    docs = corpus.join(small_side(upserts), KEY, "left_semi")
-    return append_segment(spark, root, docs, changes.where("op = 'delete'").select(*KEY))
+    few = take_if_small(upserts, CHANGED_FILES)
+    paths = [_as_glob(f"{base}/{r.path}") for r in few] if few else None
+    wanted = small_side(upserts)
+    docs = corpus_scan(spark, folder, extensions, name, whole_file_bytes, paths).join(wanted, KEY, "left_semi")
+    lines = large_file_lines(spark, folder, extensions, name, whole_file_bytes, paths).join(wanted, KEY, "left_semi")
+    return append_segment(spark, root, docs, changes.where("op = 'delete'").select(*KEY), large_lines=lines)
 
 
 def remove_folder(spark: SparkSession, root: str, folder: str) -> int:

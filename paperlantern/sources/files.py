@@ -99,6 +99,7 @@ def large_file_lines(
     extensions=DEFAULT_EXTENSIONS,
     index_id: str | None = None,
     whole_file_bytes: int = WHOLE_FILE_BYTES,
+    paths: list[str] | None = None,
 ) -> DataFrame:
     """Lines of the files too large for one row: ``block, line_no, content``.
 
@@ -107,7 +108,7 @@ def large_file_lines(
     the order of lines in the file.
     """
     base, name = _located(folder)
-    df = _reader(spark, extensions).option("lineSep", "\n").text(folder)
+    df = _reader(spark, extensions).option("lineSep", "\n").text(paths if paths is not None else folder)
     df = df.where(F.col("_metadata.file_size") > whole_file_bytes)
     raw = _meta(
         df,
