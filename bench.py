@@ -1,7 +1,7 @@
 """Headline timings at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``; one JSON line.
 
-Every number is the best of two runs in one session (index build: of four, the
-JVM is cold before), results fully computed.
+Every number is the best of two runs in one session (index build: of three, the
+JVM is cold before; all kinds at once: one run), results fully computed.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ def main() -> None:
 
     # several reducers per core: buckets are uneven, AQE joins the small ones
     spark.conf.set("spark.sql.shuffle.partitions", str(4 * int(CPUS)))
-    timed("index_build", lambda: build(False), 4)
+    timed("index_build", lambda: build(False), 3)
     timed("index_build_with_positions", lambda: build(True))
     timed("tokenize", lambda: noop(tokenize(docs)))
 
@@ -86,7 +86,7 @@ def main() -> None:
     timed("search_one_query", lambda: noop(search(index, one, None, 10)))
     timed("search_100_queries", lambda: noop(search(index, batch, None, 10)))
     specs = wq._specs(spark, wq.ALL_CLAUSES)
-    timed("search_all_kinds", lambda: noop(search(index, specs, None, 10)))
+    timed("search_all_kinds", lambda: noop(search(index, specs, None, 10)), 1)
     top = query_specs(spark, [{"query_id": "q", "occur": "must", "kind": "term", "text": "the"}])
     hits = search(index, top, None, 50).orderBy(F.desc("score"), "path").limit(1000).cache()
     hits.count()
