@@ -1,7 +1,7 @@
 """Headline timings at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``; one JSON line.
 
-Every number is the best of two runs in one session (index build: of three, the
-JVM is cold before; all kinds at once: one run), results fully computed.
+Every number is the best of two runs in one session (all kinds at
+once: one run), results fully computed.
 """
 
 from __future__ import annotations
@@ -72,14 +72,11 @@ def main() -> None:
         write_index(docs, root, catalog, buckets=16, positions=positions)
         return root
 
-    # several reducers per core: buckets are uneven, AQE joins the small ones
-    spark.conf.set("spark.sql.shuffle.partitions", str(4 * int(CPUS)))
-    timed("index_build", lambda: build(False), 3)
+    timed("index_build", lambda: build(False))
     timed("index_build_with_positions", lambda: build(True))
     timed("tokenize", lambda: noop(tokenize(docs)))
 
     index = open_index(spark, build(True))
-    spark.conf.set("spark.sql.shuffle.partitions", CPUS)
     texts = fx.table(spark, SF, "benchmark").orderBy("item_id").limit(100).collect()
     batch = query_specs(spark, [{"query_id": str(r.item_id), "kind": "match", "text": r.text} for r in texts])
     one = query_specs(spark, [{"query_id": "q", "kind": "match", "text": "the that"}])
