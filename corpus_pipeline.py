@@ -1,7 +1,8 @@
 """From raw documents to a training mix: five stages, each over all that the one before kept.
 
 ``run`` writes every stage's rows to the shared scratch folder and reads them again
-for the next.  Labels and the benchmark are read from ``sf_dir``.
+for the next.  Labels and the benchmark are read from ``sf_dir``.  All stages return
+the columns of documents.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlantern.llm import decontaminate, mixing, toxicity
+from paperlantern.llm import decontaminate, jaccard_join, line_templates, mixing, toxicity
 from paperlantern.llm.common import stored, table
 
 
@@ -19,6 +20,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates stay in their first document only; a document of nothing else goes."""
+    return line_templates.drop_recurring(docs)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similarity, the one with the smallest id stays."""
+    return jaccard_join.keep_one(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share a window of ten words with a benchmark item go."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -31,6 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
+    ("line_dedup", drop_recurring_lines),
+    ("jaccard_join", keep_one_of_each_group),
     ("decontamination", drop_contaminated),
     ("mixing", mix_sources),
 ]

@@ -8,7 +8,7 @@ named, and neutral mentions are not flagged.
 
 Inputs: ``documents`` (doc_id, text) and ``labels`` (doc_id, toxic).  Learning takes
 at most ``sample_rows`` labelled rows of the learning folds; scoring takes every whole
-text.  Empty, null and unknown texts get the base rate.  Repeated rows are scored one
+text.  Empty and null texts, and those without a word of the model, get the base rate.  Repeated rows are scored one
 by one.  Without usable labels every score is 0.  Other columns are not looked at.
 """
 
@@ -59,6 +59,7 @@ class Model:
     words: np.ndarray  # sorted uint64
     weights: np.ndarray
     bias: float
+    base: float = 0.0  # share of label 1 in the sample
 
 
 def swaps() -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +87,7 @@ def fit(documents: list[np.ndarray], label: np.ndarray, strength: float = 4.0, l
     label = np.asarray(label, float)
     n = len(label)
     if not n:
-        return Model(np.empty(0, np.uint64), np.empty(0), -40.0)
+        return Model(np.empty(0, np.uint64), np.empty(0), 0.0)
     rows = np.repeat(np.arange(n), [len(d) for d in documents])
     words = np.concatenate(documents) if len(rows) else np.empty(0, np.uint64)
     names, inverse = np.unique(words, return_inverse=True)
@@ -120,7 +121,7 @@ def fit(documents: list[np.ndarray], label: np.ndarray, strength: float = 4.0, l
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
-    return Model(vocabulary, w, float(bias))
+    return Model(vocabulary, w, float(bias), float(label.mean()))
 
 
 def score_texts(texts: pa.Array, model: Model) -> np.ndarray:
@@ -128,7 +129,8 @@ def score_texts(texts: pa.Array, model: Model) -> np.ndarray:
     for a, b in tk.slices(texts):
         t = words_of(texts.slice(a, b - a))
         row, col = _present(t.doc, t.hashes, model.words)
-        scores.append(sigmoid(np.bincount(row, model.weights[col], b - a) + model.bias))
+        known = np.bincount(row, minlength=b - a) > 0
+        scores.append(np.where(known, sigmoid(np.bincount(row, model.weights[col], b - a) + model.bias), model.base))
     return np.concatenate(scores) if scores else np.empty(0)
 
 
