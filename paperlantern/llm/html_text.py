@@ -34,7 +34,7 @@ UNSEEN = frozenset("head title script style template noscript iframe object audi
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure form fieldset hr".split())
 BLOCKS = APART | frozenset(
     "html body div section article aside header footer nav main address center li dt dd tr caption legend details summary "
-    "figcaption option optgroup select textarea menu dir hgroup search".split()
+    "figcaption option optgroup select textarea menu dir hgroup search td th thead tbody tfoot".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARTS = frozenset("thead tbody tfoot".split())
@@ -227,9 +227,12 @@ class Page(HTMLParser):
         elif tag == "br":
             self._void("br", {})
         elif tag not in ("html", "body"):
-            limit = frozenset() if tag in ("table", *PARTS, "tr", *CELLS) else frozenset({"table", *CELLS})
-            if tag in (*PARTS, "tr", *CELLS):
+            if tag not in BLOCKS:
+                limit = BLOCKS  # an inline end tag closes no block
+            elif tag in (*PARTS, "tr", *CELLS):
                 limit = frozenset({"table"})
+            else:
+                limit = frozenset() if tag == "table" else frozenset({"table", *CELLS})
             self._close_nearest(frozenset({tag}), limit)
 
     def _inside(self, tag: str, limit: str) -> bool:

@@ -465,7 +465,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.int64())], [*batch.schema.names[:-1], "__found"])
 
     with_text = docs.withColumn("__text", F.col("text").cast("string"))
-    with_key = with_text.mapInArrow(keyed, docs.withColumn("__found", F.lit(0).cast("long")).schema)
+    with_key = with_text.mapInArrow(keyed, docs.withColumn("__found", F.lit(None).cast("long")).schema)
     with_key = with_key.withColumn("__doc", F.col("doc_id").cast("long"))
     one = with_key.join(kept, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__found") == F.col("__key"))).dropDuplicates(["__id", "__key"])
     empty = with_key.where("__found IS NULL")

@@ -161,7 +161,7 @@ def _cut(docs: DataFrame) -> DataFrame:
             columns = [*batch.columns[:-2], pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(out, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-2], "__text", "__lines", "__dropped"])
 
-    schema = docs.withColumns({"__text": F.lit(""), "__lines": F.lit(0).cast("long"), "__dropped": F.lit(0).cast("long")}).schema
+    schema = docs.withColumns({"__text": F.lit(None).cast("string"), "__lines": F.lit(None).cast("long"), "__dropped": F.lit(None).cast("long")}).schema
     return marked.mapInArrow(cut, schema)
 
 

@@ -50,7 +50,7 @@ CASES = [
     ("<ol start=3><li>a<li value=9>b<li>c</ol>", "3. a\n9. b\n10. c"),
     ("<table><tr><td>a<td>long cell<tr><td>longer<td>b</table>", "a       long cell\nlonger  b"),
     ("<table><td>lone<td>cells</table>", "lone  cells"),
-    ("<table><tr><td colspan=2>wide<td>c<tr><td>1<td>22<td>333</table>", "wide    c\n1  22  333"),
+    ("<table><tr><td colspan=2>wide<td>c<tr><td>1<td>22<td>333</table>", "wide   c\n1  22  333"),
     ("<table><tr><td rowspan=2>r<td>a<tr><td>b</table>", "r  a\n   b"),
     ("<pre>a\n  b</pre>c", "a\n  b\n\nc"),
     ("a<br>b<br><br>c", "a\nb\n\nc"),
@@ -63,7 +63,7 @@ CASES = [
     ("<h1>t<h2>u", "t\n\nu"),
     ("<dl><dt>t<dd>d<dt>u</dl>", "t\n  d\nu"),
     ("<table><tr><td><ul><li>a<li>b</ul><td>c</table>", "- a  c\n- b"),
-    ("<table><tr><td>o<table><tr><td>i<td>j</table><td>p</table>", "o       p\n\ni  j"),
+    ("<table><tr><td>o<table><tr><td>i<td>j</table><td>p</table>", "o     p\n\ni  j"),
     ("<blockquote>q</blockquote>r", "  q\n\nr"),
     ("x<hr>y", "x\n\n----\n\ny"),
     ("<input type=submit value=Go><input type=hidden value=no>", "Go"),
