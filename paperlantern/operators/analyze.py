@@ -52,22 +52,29 @@ def document_bucket(buckets: int) -> Column:
     return (-1 - F.pmod(F.xxhash64("index_id", "path"), F.lit(buckets))).cast("int")
 
 
-def _with_positions(docs: DataFrame) -> DataFrame:
+def without_stopwords(terms: Column, stopwords=()) -> Column:
+    """The terms of an array that are no stop words."""
+    return F.filter(terms, lambda t: ~t.isin(list(stopwords))) if stopwords else terms
+
+
+def _with_positions(docs: DataFrame, stopwords=()) -> DataFrame:
     """Adds ``posting``: array<struct<term,tf,positions>> of one document.
 
     Three steps, each materialised as a column, so every lambda reads arrays
     by ordinal: sorted (term, position) pairs, where each term starts, slices.
     """
     pair = F.transform("terms", lambda term, i: F.struct(term.alias("t"), i.alias("p")))
-    docs = docs.withColumn("pairs", F.sort_array(pair))
+    if stopwords:
+        pair = F.filter(pair, lambda p: ~p["t"].isin(list(stopwords)))
+    docs = docs.withColumn("pairs", F.sort_array(pair)).withColumn("n_pairs", F.size("pairs"))
     first = lambda i: (i == 0) | (
         F.get(F.col("pairs"), i)["t"] != F.get(F.col("pairs"), i - 1)["t"]
     )
-    ordinals = F.when(F.col("n_tokens") > 0, F.sequence(F.lit(0), F.col("n_tokens") - 1)).otherwise(
+    ordinals = F.when(F.col("n_pairs") > 0, F.sequence(F.lit(0), F.col("n_pairs") - 1)).otherwise(
         F.array().cast("array<int>")
     )
     docs = docs.withColumn("starts", F.filter(ordinals, first))
-    docs = docs.withColumn("stops", F.concat(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), F.array("n_tokens")))
+    docs = docs.withColumn("stops", F.concat(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), F.array("n_pairs")))
     posting = F.transform(
         "starts",
         lambda start, i: F.struct(
@@ -79,15 +86,16 @@ def _with_positions(docs: DataFrame) -> DataFrame:
             ).alias("positions"),
         ),
     )
-    return docs.withColumn("posting", posting).drop("pairs", "starts", "stops")
+    return docs.withColumn("posting", posting).drop("pairs", "n_pairs", "starts", "stops")
 
 
-def posting_rows(docs: DataFrame, positions: bool = True, text: str = "content", document_row: bool = False) -> DataFrame:
+def posting_rows(docs: DataFrame, positions: bool = True, text: str = "content", document_row: bool = False, stopwords=()) -> DataFrame:
     """``docs`` without its text, exploded to one row per (document, term).
 
     Adds ``n_tokens, term, tf`` (and ``positions``).  With ``document_row`` each
     document also yields one row with the empty term, which no text contains,
     so one pass over the texts feeds both the document and the posting table.
+    ``stopwords`` get no posting; they count in ``n_tokens`` and keep their place.
     """
     keep = [c for c in docs.columns if c != text] + ["n_tokens"]
     docs = docs.withColumn("terms", terms_of(text)).drop(text).withColumn("n_tokens", F.size("terms"))
@@ -96,9 +104,9 @@ def posting_rows(docs: DataFrame, positions: bool = True, text: str = "content",
         if document_row:
             blank = F.struct(F.lit("").alias("term"), F.lit(0).alias("tf"), F.array().cast("array<int>").alias("positions"))
             listed = F.concat(F.array(blank), listed)
-        rows = _with_positions(docs).select(*keep, F.explode_outer(listed).alias("p"))
+        rows = _with_positions(docs, stopwords).select(*keep, F.explode_outer(listed).alias("p"))
         return rows.where(F.col("p").isNotNull()).select(*keep, "p.term", "p.tf", "p.positions")
-    runs = F.regexp_extract_all(F.array_join(F.sort_array("terms"), " "), F.lit(_RUN), F.lit(0))
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(without_stopwords(F.col("terms"), stopwords)), " "), F.lit(_RUN), F.lit(0))
     if document_row:
         runs = F.concat(F.array(F.lit("")), runs)
     rows = docs.select(*keep, F.explode_outer(runs).alias("run")).where(F.col("run").isNotNull())
@@ -107,9 +115,9 @@ def posting_rows(docs: DataFrame, positions: bool = True, text: str = "content",
     return rows.select(*keep, "term", F.when(F.col("term") == "", F.lit(0)).otherwise(tf).alias("tf"))
 
 
-def build_postings(docs: DataFrame, buckets: int = 64, positions: bool = True, text: str = "content") -> DataFrame:
+def build_postings(docs: DataFrame, buckets: int = 64, positions: bool = True, text: str = "content", stopwords=()) -> DataFrame:
     """Inverted index rows: one per (collection, document, term)."""
-    rows = posting_rows(docs.select("index_id", "path", text), positions, text)
+    rows = posting_rows(docs.select("index_id", "path", text), positions, text, stopwords=stopwords)
     return rows.withColumn("bucket", term_bucket("term", buckets))
 
 
@@ -123,7 +131,7 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.groupBy("index_id").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def large_file_rows(lines: DataFrame, positions: bool = True) -> DataFrame:
+def large_file_rows(lines: DataFrame, positions: bool = True, stopwords=()) -> DataFrame:
     """Posting rows of files read line by line (``block, line_no, content``).
 
     Positions run through the file: a prefix sum over its blocks plus one over
@@ -143,6 +151,7 @@ def large_file_rows(lines: DataFrame, positions: bool = True) -> DataFrame:
     in_block = Window.partitionBy(*key, "block").orderBy("line_no")
     lines = lines.withColumn("base", F.sum("n").over(in_block) - F.col("n"))
     tokens = lines.select(*key, "block", "base", F.posexplode_outer("terms").alias("i", "term")).where(F.col("term").isNotNull())
+    tokens = tokens.where(~F.col("term").isin(list(stopwords))) if stopwords else tokens
     blocks = tokens.groupBy(*key, "block", "term").agg(
         F.count(F.lit(1)).cast("int").alias("n"),
         *([F.sort_array(F.collect_list(F.col("base") + F.col("i"))).alias("in_block")] if positions else []),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlantern.functions.paths import path_dir
-from paperlantern.session import small_side
+from paperlantern.session import cut_lineage, small_side
 
 # Event names and the change they mean.
 OPERATIONS = {"remove": "delete", "create": "create", "write": "update"}
@@ -72,7 +72,7 @@ def debounce(changes: DataFrame, gap_seconds: int = 10) -> DataFrame:
     """
     slices = _batches(_slices(changes, gap_seconds), gap_seconds).select("index_id", "slice", "batch_start")
     keyed = changes.withColumn("slice", _slice(gap_seconds))
-    return keyed.join(small_side(slices), ["index_id", "slice"]).drop("slice")
+    return keyed.join(slices, ["index_id", "slice"]).drop("slice")
 
 
 def debounce_stream(changes: DataFrame, gap: str = "10 seconds") -> DataFrame:
@@ -111,16 +111,15 @@ def expand_dir_events(changes: DataFrame, listing: DataFrame) -> DataFrame:
     """Changes of a folder become changes of the files below it.
 
     Every listed file names its own ancestor folders, so this is a hash join on
-    the folder.  Events on files pass through.
+    the folder.  Only folders that met an event are looked at again.  A delete of
+    a folder and events on files pass through.
     """
     events = changes.select("index_id", "path", "op", "ts", "event_id")
     below = listing.select("index_id", F.col("path").alias("file"), F.explode(ancestors(path_dir("path"))).alias("path"))
-    opened = events.where("op <> 'delete'")
-    files = below.join(small_side(opened), ["index_id", "path"]).select(
-        "index_id", F.col("file").alias("path"), "op", "ts", "event_id"
-    )
-    folders = below.select("index_id", "path").distinct()
-    return events.join(folders, ["index_id", "path"], "left_anti").unionByName(files)
+    met = cut_lineage(below.join(small_side(events), ["index_id", "path"]))
+    files = met.where("op <> 'delete'").select("index_id", F.col("file").alias("path"), "op", "ts", "event_id")
+    opened = met.where("op <> 'delete'").select("index_id", "path", "op", "ts", "event_id").distinct()
+    return events.join(opened, ["index_id", "path", "op", "ts", "event_id"], "left_anti").unionByName(files)
 
 
 def key_slice(column: str, slices: int) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlantern.functions.text import terms_of
+from paperlantern.operators.analyze import without_stopwords
 from paperlantern.session import LITERAL_ROWS, settle, small_side, take_if_small
 
 SPEC_SCHEMA = (
@@ -49,40 +50,46 @@ def query_specs(spark: SparkSession, clauses: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, SPEC_SCHEMA)
 
 
-def _bad_patterns(specs: DataFrame) -> dict[str, str]:
-    """Distinct patterns the regexp engine refuses, with its message."""
-    jvm = specs.sparkSession._jvm
-    bad = {}
-    for row in take_if_small(specs.where(F.col("kind") == "regexp").select("text"), 10_000) or []:
-        try:
-            jvm.java.util.regex.Pattern.compile(row.text or "")
-        except Exception as error:  # the message of the Java exception
-            bad[row.text] = "bad pattern: " + str(getattr(error, "java_exception", error)).splitlines()[0]
-    return bad
+def _bad_pattern(text) -> Column:
+    """Does the regexp engine refuse this pattern, or what is run for it?  Compiled
+    by the tasks, row by row: no pattern comes to the driver."""
+    compiled = lambda pattern: F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern)
+    return compiled(text).isNull() | compiled(whole_term(text)).isNull()
+
+
+def whole_term(pattern) -> Column:
+    return F.concat(F.lit("^(?:"), pattern, F.lit(")$"))
 
 
 def validate_queries(specs: DataFrame) -> DataFrame:
     """``specs`` with a ``reason`` per clause; null means valid."""
-    needs_text = F.col("kind").isin(*ANALYSED, *EXPANDING)
+    kind, field = F.coalesce("kind", F.lit("")), F.coalesce("field", F.lit(""))
+    needs_text = kind.isin(*ANALYSED, *EXPANDING)
     lo_hi = (F.col("lo") > F.col("hi")) | (F.col("lo_ts") > F.col("hi_ts"))
-    no_bound = F.coalesce("lo", "hi").isNull() & F.coalesce("lo_ts", "hi_ts").isNull()
+    no_bound = F.when(kind == "numeric_range", F.coalesce("lo", "hi").isNull()).otherwise(F.coalesce("lo_ts", "hi_ts").isNull())
+    fits = (
+        (kind == "match_all")
+        | (needs_text & field.isin("content", *KEYWORD_FIELDS))
+        | ((kind == "numeric_range") & (field == "size"))
+        | ((kind == "date_range") & (field == "mod_time"))
+    )
     reason = (
         F.when(~F.coalesce("occur", F.lit("")).isin(*OCCURS), "unknown occur")
-        .when(~F.coalesce("kind", F.lit("")).isin(*KINDS), "unknown kind")
-        .when(~F.coalesce("field", F.lit("")).isin(*FIELDS), "unknown field")
+        .when(~kind.isin(*KINDS), "unknown kind")
+        .when(~field.isin(*FIELDS), "unknown field")
+        .when(~fits, "kind does not fit field")
         .when(needs_text & (F.trim(F.coalesce("text", F.lit(""))) == ""), "blank text")
         .when(F.coalesce(lo_hi, F.lit(False)), "lo > hi")
-        .when(F.col("kind").isin(*RANGES) & no_bound, "no bound")
+        .when(kind.isin(*RANGES) & no_bound, "no bound")
+        .when((kind == "regexp") & _bad_pattern(F.coalesce("text", F.lit(""))), "bad pattern")
     )
-    for text, message in _bad_patterns(specs).items():
-        reason = reason.when((F.col("kind") == "regexp") & (F.col("text") == text), message)
     return specs.withColumn("reason", reason)
 
 
 def valid_queries(specs: DataFrame) -> DataFrame:
-    """Clauses of the queries without an invalid clause; the others are not run."""
-    specs = settle(specs)
-    checked = validate_queries(specs)
+    """Clauses of the queries without an invalid clause; the others are not run
+    (``rejected_queries`` tells why)."""
+    checked = settle(validate_queries(specs))
     rejected = checked.where(F.col("reason").isNotNull()).select("query_id")
     known = take_if_small(rejected, LITERAL_ROWS)
     checked = checked.drop("reason")
@@ -91,16 +98,26 @@ def valid_queries(specs: DataFrame) -> DataFrame:
     return checked.join(rejected.distinct(), "query_id", "left_anti")
 
 
+def rejected_queries(specs: DataFrame) -> DataFrame:
+    """(query_id, clause_id, reason) of the clauses for which a search leaves a query out."""
+    return validate_queries(specs).where(F.col("reason").isNotNull()).select("query_id", "clause_id", "reason")
+
+
 # ---------------------------------------------------------------- evaluation
 
+#: Parts of a table that each meet every clause of a kind no key narrows.
+SALTS = 64
+
 
-def match_clauses(table: DataFrame, clauses: DataFrame, carry: list[str], condition) -> DataFrame:
+def match_clauses(table: DataFrame, clauses: DataFrame, carry: list[str], condition, keys) -> DataFrame:
     """Rows of ``table`` with the clauses that hold for them.
 
     ``condition(v)`` builds the test, ``v(name)`` being a clause value.  A batch
     of usual size becomes literals of the plan: the scan sees plain predicates,
     nothing is joined, and each pattern is compiled once.  A larger batch is
-    joined instead, broadcast only after its size was checked.
+    joined by ``keys``: (which clauses, keys of a row, keys of a clause), such
+    that a row and a clause that belong together share exactly one key.  So
+    these are hash joins, broadcast only after the clauses were counted.
     """
     rows = take_if_small(clauses, LITERAL_ROWS)
     if rows is not None:
@@ -117,9 +134,21 @@ def match_clauses(table: DataFrame, clauses: DataFrame, carry: list[str], condit
         narrowed = table.where(reduce(lambda a, b: a | b, tests))
         found = narrowed.select("*", F.explode_outer(F.array_compact(F.array(*hit))).alias("_c")).where(F.col("_c").isNotNull())
         return found.select(*[F.col(c) for c in table.columns], *[F.col(f"_c.{c}").alias(c) for c in carry])
-    tagged = clauses.select(*[F.col(c).alias(f"_{c}") for c in clauses.columns])
-    joined = table.join(small_side(tagged), condition(lambda name: F.col(f"_{name}")))
-    return joined.select(*table.columns, *[F.col(f"_{c}").alias(c) for c in carry])
+    parts = []
+    for which, row_keys, clause_keys in keys:
+        tagged = clauses.where(which).withColumn("key", F.explode(clause_keys))
+        tagged = tagged.select(*[F.col(c).alias(f"_{c}") for c in tagged.columns])
+        keyed = table.withColumn("_at", F.explode(row_keys))
+        joined = keyed.join(small_side(tagged), (F.col("_at") == F.col("_key")) & condition(lambda name: F.col(f"_{name}")))
+        parts.append(joined.select(*table.columns, *[F.col(f"_{c}").alias(c) for c in carry]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _any_row(*columns: str) -> tuple[Column, Column]:
+    """Keys for clauses that each row has to be tried with: rows are dealt over
+    salts, clauses go to every salt, so no task gets all rows."""
+    salt = F.array(F.pmod(F.xxhash64(*columns), F.lit(SALTS)))
+    return salt, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
 
 
 def like_pattern(text) -> Column:
@@ -127,33 +156,48 @@ def like_pattern(text) -> Column:
     return F.translate(F.regexp_replace(text, r"([%_\\])", r"\\$1"), "*?", "%_")
 
 
-def _expands(v) -> Column:
-    term, kind, text = F.col("term"), v("kind"), v("text")
+def _expands(v, term=None) -> Column:
+    term = F.col("term") if term is None else term
+    kind, text = v("kind"), v("text")
     n = F.coalesce(v("fuzziness"), F.lit(1))
     near = (F.abs(F.length(term) - F.length(text)) <= n) & (F.call_function("levenshtein", term, text, n) >= 0)
-    return F.when(
-        kind == "regexp", F.rlike(term, F.concat(F.lit("^(?:"), text, F.lit(")$")))
-    ).when(kind == "prefix", F.startswith(term, text)).when(
-        kind == "wildcard", F.like(term, like_pattern(text))
-    ).otherwise(near)
+    return F.when(kind == "regexp", F.rlike(term, whole_term(text))).when(
+        kind == "prefix", F.startswith(term, text)
+    ).when(kind == "wildcard", F.like(term, like_pattern(text))).otherwise(near)
+
+
+def _text_keys(value: Column, salted_by: tuple[str, ...]):
+    """Keys for clauses on a text: its prefixes, its length, or none."""
+    kind, text, n = F.col("kind"), F.col("text"), F.coalesce("fuzziness", F.lit(1))
+    length = F.length(value)
+    prefixes = F.transform(F.when(length > 0, F.sequence(F.lit(1), length)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(value, F.lit(1), i))
+    lengths = F.sequence(F.greatest(F.length(text) - n, F.lit(0)), F.length(text) + F.greatest(n, F.lit(0)))
+    return [
+        (kind == "prefix", prefixes, F.array(text)),
+        (kind == "fuzzy", F.array(length), lengths),
+        (kind.isin("regexp", "wildcard"), *_any_row(*salted_by)),
+    ]
 
 
 def expand_terms(dictionary: DataFrame, clauses: DataFrame, carry: list[str]) -> DataFrame:
     """Q7, Q11, Q12: terms of each collection that a pattern clause stands for."""
-    return match_clauses(dictionary, clauses, carry, _expands)
+    return match_clauses(dictionary, clauses, carry, _expands, _text_keys(F.col("term"), ("index_id", "term")))
 
 
-def literal_terms(clauses: DataFrame, carry: list[str]) -> DataFrame:
+def literal_terms(clauses: DataFrame, carry: list[str], stopwords=()) -> DataFrame:
     """Q2, Q3, Q13: the terms a clause names: ``term, ordinal, mult, width``.
 
     A match counts repeated words (``mult``); a phrase keeps the place of every
-    word (``ordinal``) and its length (``width``).
+    word (``ordinal``) and its length (``width``).  ``stopwords`` have no postings:
+    they are left out, and the other words of a phrase keep their places.
     """
     as_is = clauses.where(F.col("kind") == "term").select(
         *carry, F.col("text").alias("term"), F.lit(0).alias("ordinal"), F.lit(1).alias("mult"), F.lit(1).alias("width")
     )
     words = clauses.where(F.col("kind").isin("match", "phrase")).withColumn("words", terms_of("text"))
-    words = words.select(*carry, F.size("words").alias("n"), F.posexplode_outer("words").alias("ordinal", "term")).where(F.col("term").isNotNull())
+    words = words.withColumn("n", F.size(without_stopwords(F.col("words"), stopwords)))
+    words = words.select(*carry, "n", F.posexplode_outer("words").alias("ordinal", "term")).where(F.col("term").isNotNull())
+    words = words.where(~F.col("term").isin(list(stopwords))) if stopwords else words
     match = words.where(F.col("kind") == "match").groupBy(*carry, "term").agg(F.count(F.lit(1)).cast("int").alias("mult"))
     match = match.select(*carry, "term", F.lit(0).alias("ordinal"), "mult", F.lit(1).alias("width"))
     phrase = words.where(F.col("kind") == "phrase").select(
@@ -163,10 +207,12 @@ def literal_terms(clauses: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def _holds(v) -> Column:
-    """Q1, Q8, Q9, Q10 on a document row."""
+    """Q1, Q8, Q9, Q10 on a document row; text kinds look at the whole value of a
+    keyword field, patterns included."""
     kind, field, text = v("kind"), v("field"), v("text")
+    on_value = lambda value: F.when(kind.isin(*EXPANDING), _expands(v, value)).otherwise(value == text)
     keyword = reduce(
-        lambda rest, name: F.when(field == name, F.col(_COLUMN_OF[name]) == text).otherwise(rest),
+        lambda rest, name: F.when(field == name, on_value(F.col(_COLUMN_OF[name]))).otherwise(rest),
         KEYWORD_FIELDS,
         F.lit(False),
     )
@@ -180,8 +226,32 @@ def _holds(v) -> Column:
     )
 
 
+def _magnitude(n: Column) -> Column:
+    """0 for sizes below 1, then one bin per power of two."""
+    return F.when(n < 1, 0).otherwise(F.floor(F.log2(n)) + 1).cast("int")
+
+
+def _document_keys():
+    kind, field = F.col("kind"), F.col("field")
+    # a value on the border of two bins may be counted to either one: a range takes one bin more on each side
+    sizes = F.sequence(
+        F.greatest(_magnitude(F.coalesce("lo", F.lit(0.0))) - 1, F.lit(0)), _magnitude(F.coalesce("hi", F.lit(float(1 << 62)))) + 1
+    )
+    years = F.sequence(F.coalesce(F.year("lo_ts"), F.lit(1)), F.coalesce(F.year("hi_ts"), F.lit(9999)))
+    keys = [
+        (kind == "match_all", *_any_row("index_id", "path")),
+        (kind == "numeric_range", F.array(_magnitude(F.col("size").cast("double"))), sizes),
+        (kind == "date_range", F.array(F.year("mod_time")), years),
+    ]
+    for name in KEYWORD_FIELDS:
+        value = F.col(_COLUMN_OF[name])
+        keys.append(((field == name) & kind.isin(*ANALYSED), F.array(value), F.array(F.col("text"))))
+        keys += [((field == name) & which, row, clause) for which, row, clause in _text_keys(value, ("index_id", "path"))]
+    return keys
+
+
 def document_hits(documents: DataFrame, clauses: DataFrame, carry: list[str]) -> DataFrame:
-    return match_clauses(documents, clauses, carry, _holds)
+    return match_clauses(documents, clauses, carry, _holds, _document_keys())
 
 
 def occur_code(occur) -> Column:

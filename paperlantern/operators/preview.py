@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlantern.functions.text import ASCII_BOUNDARY, is_regex_input, regex_quote
-from paperlantern.session import small_side
+from paperlantern.session import cut_lineage, small_side
 
 DOC = ["query_id", "index_id", "path"]
 
@@ -99,25 +99,19 @@ def match_locations(segmented: DataFrame) -> DataFrame:
     """Matches as ``row_id, start, end, seg_id`` (characters within the line),
     numbered from 0 across the document.
 
-    Offsets are running lengths inside the array of a line, so lines are not
-    shuffled; the matches are, by document, to be numbered.
+    The pieces of lines with a match go to their document, plain ones as lengths
+    only.  There a running sum gives the offsets and a count the numbers: one
+    shuffle serves both, and a line of many matches costs as much as many lines.
     """
-    start = lambda i: F.aggregate(
-        F.slice("segments", F.lit(1), i), F.lit(0), lambda total, s: total + F.length(s["text"])
-    )
-    located = F.filter(
-        F.transform(
-            "segments",
-            lambda s, i: F.struct(
-                s["is_match"].alias("hit"), start(i).alias("start"), i.alias("seg_id"), s["text"].alias("text")
-            ),
-        ),
-        lambda s: s["hit"],
-    )
     any_match = F.exists("segments", lambda s: s["is_match"])
-    rows = segmented.where(any_match).select(*DOC, "row_id", F.explode_outer(located).alias("m"))
-    rows = rows.where(F.col("m").isNotNull()).select(
-        *DOC, "row_id", "m.start", (F.col("m.start") + F.length("m.text")).alias("end"), "m.seg_id", "m.text"
+    pieces = segmented.where(any_match).select(*DOC, "row_id", F.posexplode_outer("segments").alias("seg_id", "s"))
+    pieces = pieces.where(F.col("s").isNotNull()).select(
+        *DOC, "row_id", "seg_id", F.length("s.text").alias("n"), F.when(F.col("s.is_match"), F.col("s.text")).alias("text")
+    )
+    in_line = Window.partitionBy(*DOC, "row_id").orderBy("seg_id")
+    placed = pieces.repartition(*DOC).withColumn("end", F.sum("n").over(in_line).cast("int"))
+    rows = placed.where(F.col("text").isNotNull()).select(
+        *DOC, "row_id", (F.col("end") - F.col("n")).alias("start"), "end", "seg_id", "text"
     )
     order = Window.partitionBy(*DOC).orderBy("row_id", "start")
     return rows.withColumn("match_no", F.row_number().over(order) - 1)
@@ -136,9 +130,32 @@ def nth_match(matches: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.withColumn("label", F.col("match_no") + 1)
 
 
+def _wanted(hits: DataFrame, specs: DataFrame, compat: bool) -> DataFrame:
+    """Hits with the pattern of their query, computed once."""
+    patterns = search_terms(specs, compat).select("query_id", highlight_pattern("terms").alias("pattern"))
+    return small_side(cut_lineage(hits.select(*DOC).join(patterns, "query_id", "left")))
+
+
 def preview(hits: DataFrame, corpus: DataFrame, specs: DataFrame, compat: bool = False) -> DataFrame:
     """Lines with segments of every hit: the corpus is read for the hits only."""
-    patterns = search_terms(specs, compat).select("query_id", highlight_pattern("terms").alias("pattern"))
-    wanted = hits.select(*DOC).join(small_side(patterns), "query_id", "left")
-    texts = corpus.select("index_id", "path", "content").join(small_side(wanted), ["index_id", "path"])
+    texts = corpus.select("index_id", "path", "content").join(_wanted(hits, specs, compat), ["index_id", "path"])
     return highlight_segments(preview_lines(texts.select(*DOC, "pattern", "content")))
+
+
+def preview_large(hits: DataFrame, lines: DataFrame, specs: DataFrame, compat: bool = False) -> DataFrame:
+    """As :func:`preview` for files read line by line (``block, line_no, content``).
+
+    Rows are numbered within a block; the blocks before it tell where it begins.
+    """
+    key = ["index_id", "path"]
+    unix = F.regexp_replace("content", "\r\\z", "")
+    shown = lines.select(*key, "block", "line_no", unix.alias("line")).where(F.length("line") > 0)
+    asked = _wanted(hits, specs, compat)
+    shown = shown.join(asked.select(*key).distinct(), key, "left_semi")
+    upto = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = shown.groupBy(*key, "block").agg(F.count(F.lit(1)).alias("n"))
+    blocks = blocks.select(*key, "block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
+    in_block = Window.partitionBy(*key, "block").orderBy("line_no")
+    numbered = shown.withColumn("in_block", F.row_number().over(in_block) - 1).join(blocks, [*key, "block"])
+    numbered = numbered.withColumn("row_id", (F.col("base") + F.col("in_block")).cast("int"))
+    return highlight_segments(numbered.join(asked, key).select(*DOC, "pattern", "row_id", "line"))

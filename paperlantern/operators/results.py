@@ -45,8 +45,8 @@ def format_results(results: DataFrame) -> DataFrame:
     )
 
 
-def list_paths(docs: DataFrame, limit: int | None = 10_000) -> DataFrame:
-    """Paths in order, the first ``limit``; None lists all of them."""
+def list_paths(docs: DataFrame, limit: int | None = None) -> DataFrame:
+    """All paths; with a ``limit`` the first ones in order."""
     paths = docs.select("index_id", "path")
     return paths.orderBy("path", "index_id").limit(limit) if limit is not None else paths
 

@@ -1,23 +1,29 @@
 """Index tables in Parquet: writing, opening, updating, compacting.
 
-``<root>/rows/seq=N/bucket=b``   postings (b >= 0, sorted by term) and document
-                               rows (b < 0, empty term) of one segment
-``<root>/terms/seq=N/bucket=b``  document frequencies of that segment
-``<root>/stats/seq=N``           change of document count and bytes it made
-``<root>/segments/seq=N``        written last: the commit record
-``<root>/catalog``               collections
-
-All collections share the tables.  A segment is addressed by its number, and
-writing it again overwrites it, so a replayed batch changes nothing.  Content is
-not kept.  A newer segment supersedes the rows of a key in older ones.
+Below ``<root>``, for every attempt to write segment N (``seq=N/attempt=…``):
+
+``rows/…/bucket=b``   postings (b >= 0, sorted by term) and document rows (b < 0,
+                    empty term)
+``terms/…/bucket=b``  document frequencies
+``stats/…``           change of document count and bytes
+``catalog/…``         collections that the segment brings
+``segments/seq=N``    commit records, written last; the newest one counts
+
+All collections share the tables.  A segment is addressed by its number.  An attempt
+has folders of its own and nothing refers to them before its commit record is
+there: a crash leaves the index as it was, a retry counts once, and writing a
+segment again replaces it as a whole.  Content is not kept.  A newer segment
+supersedes the rows of a key in older ones.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+import uuid
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from paperlantern.functions.paths import path_dir
@@ -33,8 +39,9 @@ from paperlantern.operators.analyze import (
     terms_of,
 )
 from paperlantern.session import settle, small_side
-from paperlantern.sources.catalog import append_catalog, read_catalog, register_index
+from paperlantern.sources.catalog import CATALOG_SCHEMA, register_index
 from paperlantern.sources.storage import exists
+from paperlantern.streaming.progress import ingest_progress
 
 KEY = ["index_id", "path"]
 DEFAULT_BUCKETS = 64
@@ -53,23 +60,24 @@ class IndexTables:
     exact_df: bool = True  # False: df may count superseded documents
     catalog: DataFrame | None = None
     positions: bool = True
+    stopwords: tuple[str, ...] = ()
 
 
-def index_in_memory(docs: DataFrame, buckets: int = 8, positions: bool = True, catalog: DataFrame | None = None) -> IndexTables:
+def index_in_memory(docs: DataFrame, buckets: int = 8, positions: bool = True, catalog: DataFrame | None = None, stopwords=()) -> IndexTables:
     """Tables straight from documents, nothing written."""
-    postings = build_postings(docs, buckets, positions)
+    postings = build_postings(docs, buckets, positions, stopwords=stopwords)
     live = docs.withColumn("n_tokens", F.size(terms_of("content"))).drop("content")
-    return IndexTables(live, postings, term_dictionary(postings), corpus_stats(docs), buckets, True, catalog, positions)
+    return IndexTables(live, postings, term_dictionary(postings), corpus_stats(docs), buckets, True, catalog, positions, tuple(stopwords))
 
 
-def _segment_rows(docs: DataFrame, buckets: int, positions: bool) -> DataFrame:
-    rows = posting_rows(docs.select(*KEY, *_META, "content"), positions, document_row=True)
+def _segment_rows(docs: DataFrame, buckets: int, positions: bool, stopwords=()) -> DataFrame:
+    rows = posting_rows(docs.select(*KEY, *_META, "content"), positions, document_row=True, stopwords=stopwords)
     return _finish_rows(rows, buckets)
 
 
-def _large_rows(lines: DataFrame, buckets: int, positions: bool) -> DataFrame:
+def _large_rows(lines: DataFrame, buckets: int, positions: bool, stopwords=()) -> DataFrame:
     heads = large_file_documents(lines).select(*KEY, *_META, "n_tokens", F.lit("").alias("term"), F.lit(0).alias("tf"))
-    body = large_file_rows(lines, positions)
+    body = large_file_rows(lines, positions, stopwords)
     return _finish_rows(heads.unionByName(body, allowMissingColumns=True), buckets)
 
 
@@ -107,10 +115,38 @@ def _write_bucketed(df: DataFrame, path: str) -> None:
     )
 
 
-def _write_segment(spark, root, seq, rows, buckets, positions, supersedes, before) -> None:
-    _write_bucketed(rows, f"{root}/rows/seq={seq}")
-    written = _read_rows(spark, root, [seq])
-    _write_bucketed(term_dictionary(written.where("bucket >= 0 AND tf > 0")), f"{root}/terms/seq={seq}")
+@dataclass(frozen=True)
+class Segment:
+    """What a commit record tells."""
+
+    seq: int
+    attempt: str
+    buckets: int
+    positions: bool
+    supersedes: bool
+    catalog: bool
+    first: int = -1  # of the numbers that a merged segment stands for
+    weight: int = 1  # segments merged into it
+    stopwords: tuple[str, ...] = ()
+
+    @property
+    def lowest(self) -> int:
+        return self.seq if self.first < 0 else self.first
+
+    @property
+    def folder(self) -> str:
+        return f"seq={self.seq}/attempt={self.attempt}"
+
+
+_COMMIT = "attempt string, buckets int, positions boolean, supersedes boolean, catalog boolean, first long, weight int, stopwords array<string>, at long"
+
+
+def _write_segment(spark, root, seq, rows, like, supersedes, before, catalog=None) -> None:
+    """``like`` is a segment whose layout this one shares."""
+    segment = replace(like, seq=seq, attempt=uuid.uuid4().hex, supersedes=supersedes, catalog=catalog is not None, first=-1, weight=1)
+    _write_bucketed(rows, f"{root}/rows/{segment.folder}")
+    written = _read_rows(spark, root, [segment])
+    _write_bucketed(term_dictionary(written.where("bucket >= 0 AND tf > 0")), f"{root}/terms/{segment.folder}")
     docs = written.where("bucket < 0")
     delta = docs.where("NOT deleted").groupBy("index_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("n_bytes"))
     if before is not None:
@@ -121,20 +157,39 @@ def _write_segment(spark, root, seq, rows, buckets, positions, supersedes, befor
         )
         delta = delta.unionByName(old)
     delta = delta.groupBy("index_id").agg(F.sum("n_docs").cast("long").alias("n_docs"), F.sum("n_bytes").cast("long").alias("n_bytes"))
-    delta.write.mode("overwrite").parquet(f"{root}/stats/seq={seq}")
-    commit = spark.range(1).select(
-        F.lit(buckets).alias("buckets"), F.lit(positions).alias("positions"), F.lit(supersedes).alias("supersedes")
-    )
-    commit.coalesce(1).write.mode("overwrite").parquet(f"{root}/segments/seq={seq}")
+    delta.write.mode("overwrite").parquet(f"{root}/stats/{segment.folder}")
+    if catalog is not None:
+        catalog.select("index_id", "base_path", "extensions", "created_at").write.mode("overwrite").parquet(f"{root}/catalog/{segment.folder}")
+    commit(spark, root, segment)
+
+
+def commit(spark: SparkSession, root: str, segment: Segment) -> None:
+    """From here on the attempt is the segment; one small file, added and never replaced."""
+    record = [(segment.attempt, segment.buckets, segment.positions, segment.supersedes, segment.catalog, segment.lowest, segment.weight, list(segment.stopwords), time.time_ns())]
+    spark.createDataFrame(record, _COMMIT).coalesce(1).write.mode("append").parquet(f"{root}/segments/seq={segment.seq}")
 
 
-def segments(spark: SparkSession, root: str) -> list:
-    """Commit records, oldest first.  Compaction keeps their number small."""
+def segments(spark: SparkSession, root: str) -> list[Segment]:
+    """Committed segments, oldest first; what a merged one stands for is left out."""
     path = f"{root}/segments"
     if not exists(spark, path):
         return []
-    df = spark.read.schema("buckets int, positions boolean, supersedes boolean, seq long").parquet(path)
-    return sorted(df.collect(), key=lambda r: r.seq)
+    newest: dict[tuple[int, int], tuple[int, Segment]] = {}
+    for r in spark.read.schema(f"{_COMMIT}, seq long").parquet(path).collect():
+        segment = Segment(r.seq, r.attempt, r.buckets, r.positions, r.supersedes, r.catalog, r.first, r.weight, tuple(r.stopwords))
+        newest[r.first, r.seq] = max(newest.get((r.first, r.seq), (-1, segment)), (r.at, segment), key=lambda x: x[0])
+    kept: list[Segment] = []
+    for _, segment in sorted(newest.values(), key=lambda x: (x[1].lowest - x[1].seq, x[1].seq)):  # the widest first
+        if not any(k.lowest <= segment.seq <= k.seq for k in kept):
+            kept.append(segment)
+    return sorted(kept, key=lambda k: k.seq)
+
+
+def read_catalog(spark: SparkSession, root: str, found: list[Segment] | None = None) -> DataFrame:
+    """Collections of the committed segments."""
+    found = segments(spark, root) if found is None else found
+    paths = [f"{root}/catalog/{s.folder}" for s in found if s.catalog]
+    return spark.read.schema(CATALOG_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], CATALOG_SCHEMA)
 
 
 def next_seq(spark: SparkSession, root: str) -> int:
@@ -150,29 +205,35 @@ def write_index(
     positions: bool = True,
     large_lines: DataFrame | None = None,
     seq: int | None = None,
+    progress: Observation | str | None = None,
+    stopwords=(),
 ) -> int:
     """Add new collections as one segment; texts are read and analysed once.
 
-    ``catalog`` rows whose collection exists already are refused together with
-    their documents.  ``large_lines`` are files read line by line.
+    ``catalog`` rows whose collection another segment has already are refused
+    together with their documents; writing the same ``seq`` again accepts what it
+    accepted before.  ``large_lines`` are files read line by line.  ``progress``
+    observes the documents that are written (G5).  Buckets, positions and stop words
+    are those of the first segment from then on.
     """
     spark = docs.sparkSession
     found = segments(spark, root)
-    if found:
-        buckets, positions = found[0].buckets, found[0].positions
+    like = found[0] if found else Segment(0, "", buckets, positions, False, False, stopwords=tuple(stopwords))
     seq = seq if seq is not None else (found[-1].seq + 1 if found else 0)
     if catalog is not None:
-        accepted = settle(register_index(read_catalog(spark, root), catalog))
+        others = [s for s in found if s.seq != seq]
+        accepted = settle(register_index(read_catalog(spark, root, others), catalog))
         names = small_side(accepted.select("index_id"))
         docs = docs.join(names, "index_id", "left_semi")
         if large_lines is not None:
             large_lines = large_lines.join(names, "index_id", "left_semi")
-    rows = _segment_rows(docs, buckets, positions)
+    if progress is not None:
+        docs = ingest_progress(docs, progress)
+    layout = (like.buckets, like.positions, like.stopwords)
+    rows = _segment_rows(docs, *layout)
     if large_lines is not None:
-        rows = rows.unionByName(_large_rows(large_lines, buckets, positions))
-    _write_segment(spark, root, seq, rows, buckets, positions, False, None)
-    if catalog is not None:
-        append_catalog(accepted, root)
+        rows = rows.unionByName(_large_rows(large_lines, *layout))
+    _write_segment(spark, root, seq, rows, like, False, None, accepted if catalog is not None else None)
     return seq
 
 
@@ -192,27 +253,42 @@ def append_segment(
     if not found:
         raise ValueError(f"no index at {root}")
     seq = seq if seq is not None else found[-1].seq + 1
-    buckets, positions = found[0].buckets, found[0].positions
+    layout = (found[0].buckets, found[0].positions, found[0].stopwords)
     parts = []
     if docs is not None:
-        parts.append(_segment_rows(docs, buckets, positions))
+        parts.append(_segment_rows(docs, *layout))
     if deleted is not None:
-        parts.append(_tombstones(deleted.select(*KEY).distinct(), buckets))
+        parts.append(_tombstones(deleted.select(*KEY).distinct(), found[0].buckets))
     if large_lines is not None:
-        parts.append(_large_rows(large_lines, buckets, positions))
+        parts.append(_large_rows(large_lines, *layout))
     rows = reduce(DataFrame.unionByName, parts)
     before = open_index(spark, root, upto=seq)
-    _write_segment(spark, root, seq, rows, buckets, positions, True, before)
+    _write_segment(spark, root, seq, rows, found[0], True, before)
     return seq
 
 
-def _read_rows(spark: SparkSession, root: str, seqs: list[int]) -> DataFrame:
+def _read_rows(spark: SparkSession, root: str, found: list[Segment]) -> DataFrame:
     schema = (
         "index_id string, path string, n_tokens int, term string, tf int, positions array<int>, "
-        "ext string, size long, mod_time timestamp, deleted boolean, seq long, bucket int"
+        "ext string, size long, mod_time timestamp, deleted boolean, seq long, attempt string, bucket int"
+    )
+    paths = [f"{root}/rows/{s.folder}" for s in found]
+    return spark.read.schema(schema).option("basePath", f"{root}/rows").parquet(*paths).drop("attempt")
+
+
+def _stats(spark: SparkSession, root: str, found: list[Segment]) -> DataFrame:
+    stats = spark.read.schema("index_id string, n_docs long, n_bytes long").parquet(*[f"{root}/stats/{s.folder}" for s in found])
+    return stats.groupBy("index_id").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_bytes").alias("n_bytes"))
+
+
+def _newest_rows(rows: DataFrame, newer: list[int]) -> DataFrame:
+    """Without the rows of keys that one of the ``newer`` segments replaces."""
+    latest = rows.where(F.col("seq").isin(newer) & (F.col("bucket") < 0)).groupBy(*KEY).agg(F.max("seq").alias("latest"))
+    return rows.alias("r").join(
+        latest.alias("n"),
+        (F.col("r.index_id") == F.col("n.index_id")) & (F.col("r.path") == F.col("n.path")) & (F.col("r.seq") < F.col("n.latest")),
+        "left_anti",
     )
-    paths = [f"{root}/rows/seq={s}" for s in seqs]
-    return spark.read.schema(schema).option("basePath", f"{root}/rows").parquet(*paths)
 
 
 def open_index(spark: SparkSession, root: str, upto: int | None = None) -> IndexTables | None:
@@ -220,32 +296,67 @@ def open_index(spark: SparkSession, root: str, upto: int | None = None) -> Index
     found = [s for s in segments(spark, root) if upto is None or s.seq < upto]
     if not found:
         return None
-    seqs = [s.seq for s in found]
-    rows = _read_rows(spark, root, seqs)
+    rows = _read_rows(spark, root, found)
     newer = [s.seq for s in found if s.supersedes]
-    live = rows
-    if newer:
-        latest = rows.where(F.col("seq").isin(newer) & (F.col("bucket") < 0)).groupBy(*KEY).agg(F.max("seq").alias("latest"))
-        latest = small_side(latest).alias("n")
-        live = rows.alias("r").join(
-            latest,
-            (F.col("r.index_id") == F.col("n.index_id")) & (F.col("r.path") == F.col("n.path")) & (F.col("r.seq") < F.col("n.latest")),
-            "left_anti",
-        )
+    live = _newest_rows(rows, newer) if newer else rows
     documents = live.where("bucket < 0 AND NOT deleted").select(
         *KEY, path_dir("path").alias("dir"), *_META, "n_tokens", "seq", "bucket"
     )
     postings = live.where("bucket >= 0").select(*KEY, "bucket", "term", "n_tokens", "tf", "positions", "seq")
-    terms = spark.read.schema("index_id string, term string, df long, seq long, bucket int").option(
-        "basePath", f"{root}/terms").parquet(*[f"{root}/terms/seq={s}" for s in seqs])
-    if len(seqs) > 1:
+    terms = spark.read.schema("index_id string, term string, df long, seq long, attempt string, bucket int").option(
+        "basePath", f"{root}/terms").parquet(*[f"{root}/terms/{s.folder}" for s in found])
+    if len(found) > 1:
         terms = terms.groupBy("index_id", "bucket", "term").agg(F.sum("df").alias("df"))
-    stats = spark.read.schema("index_id string, n_docs long, n_bytes long").parquet(*[f"{root}/stats/seq={s}" for s in seqs])
-    stats = stats.groupBy("index_id").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_bytes").alias("n_bytes")).where("n_docs > 0")
+    stats = _stats(spark, root, found).where("n_docs > 0")
     return IndexTables(
         documents, postings, terms.select("index_id", "bucket", "term", "df"), stats,
-        found[0].buckets, not newer, read_catalog(spark, root), found[0].positions,
+        found[0].buckets, not newer, read_catalog(spark, root, found), found[0].positions, found[0].stopwords,
+    )
+
+
+#: So many segments of changes of one weight become one.
+FAN = 8
+
+
+def merge_segments(spark: SparkSession, root: str, first: int, last: int) -> Segment:
+    """One segment for those with numbers ``first`` to ``last``: the newest row of each
+    key, deletions included, because older segments may hold the key.
+
+    It takes effect with its commit record; searches before and after it find the same.
+    """
+    chosen = [s for s in segments(spark, root) if first <= s.lowest and s.seq <= last]
+    if not chosen:
+        raise ValueError(f"no segments {first} to {last}")
+    rows = _read_rows(spark, root, chosen)
+    newer = [s.seq for s in chosen if s.supersedes]
+    rows = (_newest_rows(rows, newer) if newer else rows).drop("seq")
+    merged = Segment(
+        chosen[-1].seq, uuid.uuid4().hex, chosen[0].buckets, chosen[0].positions, bool(newer), any(s.catalog for s in chosen),
+        chosen[0].lowest, sum(s.weight for s in chosen), chosen[0].stopwords,
     )
+    _write_bucketed(rows, f"{root}/rows/{merged.folder}")
+    written = _read_rows(spark, root, [merged])
+    _write_bucketed(term_dictionary(written.where("bucket >= 0 AND tf > 0")), f"{root}/terms/{merged.folder}")
+    _stats(spark, root, chosen).write.mode("overwrite").parquet(f"{root}/stats/{merged.folder}")
+    if merged.catalog:
+        read_catalog(spark, root, chosen).write.mode("overwrite").parquet(f"{root}/catalog/{merged.folder}")
+    commit(spark, root, merged)
+    return merged
+
+
+def merge_tail(spark: SparkSession, root: str, fan: int = FAN) -> int:
+    """Merge the last ``fan`` segments of changes while they are of one weight.
+
+    After n batches there are some fan * log(n) segments, and a row is rewritten
+    log(n) times at most.  Returns the number of merges.
+    """
+    merges = 0
+    while True:
+        tail = segments(spark, root)[-fan:]
+        if len(tail) < fan or not all(s.supersedes for s in tail) or len({s.weight for s in tail}) > 1:
+            return merges
+        merge_segments(spark, root, tail[0].lowest, tail[-1].seq)
+        merges += 1
 
 
 def compact(spark: SparkSession, root: str, new_root: str) -> None:
@@ -261,5 +372,4 @@ def compact(spark: SparkSession, root: str, new_root: str) -> None:
         F.lit(None).cast("string").alias("ext"), F.lit(None).cast("long").alias("size"),
         F.lit(None).cast("timestamp").alias("mod_time"), F.lit(None).cast("boolean").alias("deleted"), "bucket",
     )
-    _write_segment(spark, new_root, 0, docs.unionByName(body), found[0].buckets, found[0].positions, False, None)
-    append_catalog(now.catalog, new_root)
+    _write_segment(spark, new_root, 0, docs.unionByName(body), found[0], False, None, now.catalog)

@@ -40,7 +40,7 @@ def apply_changes(spark: SparkSession, root: str, changes: DataFrame, corpus: Da
     ``corpus`` supplies the content of the changed paths: the feed itself, or a
     scan of just those paths.  A path without content there stays as it is.
     """
-    final = last_change(changes)
+    final = cut_lineage(last_change(changes))
     upserts = final.where("op <> 'delete'").select(*KEY)
     docs = filter_extensions(corpus.join(small_side(upserts), KEY, "left_semi"), extensions)
     deleted = final.where("op = 'delete'").select(*KEY)
@@ -56,7 +56,6 @@ def reindex(
     root: str,
     folder: str,
     extensions=DEFAULT_EXTENSIONS,
-    index_id: str | None = None,
     whole_file_bytes: int = WHOLE_FILE_BYTES,
 ) -> int:
     """Bring one folder up to date: listing, difference, changed files only.
@@ -66,16 +65,18 @@ def reindex(
     """
     index = open_index(spark, root)
     base, _, name = folder.rstrip("/").rpartition("/")
-    name = index_id or name
-    listing = corpus_listing(spark, folder, extensions, name)
+    listing = corpus_listing(spark, folder, extensions)
     changes = cut_lineage(snapshot_diff(index.documents.where(F.col("index_id") == name), listing))
     upserts = changes.where("op <> 'delete'").select(*KEY)
     few = take_if_small(upserts, CHANGED_FILES)
-    paths = [_as_glob(f"{base}/{r.path}") for r in few] if few else None
+    deleted = changes.where("op = 'delete'").select(*KEY)
+    if few is not None and not few:
+        return append_segment(spark, root, None, deleted)
+    paths = [_as_glob(f"{base}/{r.path}") for r in few] if few is not None else None
     wanted = small_side(upserts)
-    docs = corpus_scan(spark, folder, extensions, name, whole_file_bytes, paths).join(wanted, KEY, "left_semi")
-    lines = large_file_lines(spark, folder, extensions, name, whole_file_bytes, paths).join(wanted, KEY, "left_semi")
-    return append_segment(spark, root, docs, changes.where("op = 'delete'").select(*KEY), large_lines=lines)
+    docs = corpus_scan(spark, folder, extensions, whole_file_bytes, paths).join(wanted, KEY, "left_semi")
+    lines = large_file_lines(spark, folder, extensions, whole_file_bytes, paths).join(wanted, KEY, "left_semi")
+    return append_segment(spark, root, docs, deleted, large_lines=lines)
 
 
 def remove_folder(spark: SparkSession, root: str, folder: str) -> int:

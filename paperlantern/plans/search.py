@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperlantern.functions.paths import path_dir
 from paperlantern.functions.text import terms_of
-from paperlantern.operators.analyze import term_bucket
+from paperlantern.operators.analyze import term_bucket, without_stopwords
 from paperlantern.operators.clauses import (
     EXPANDING,
     MUST_NOT,
@@ -30,7 +30,7 @@ _CARRY = ["query_id", "clause_id", "occur", "kind", "boost", "n_must", "should_u
 LITERAL_TERMS = 2_000
 
 
-def prepare_clauses(specs: DataFrame) -> DataFrame:
+def prepare_clauses(specs: DataFrame, stopwords=()) -> DataFrame:
     """Clauses with the totals of their query.
 
     A query of must_not clauses only gets a match-all clause of boost 0, so it
@@ -43,7 +43,7 @@ def prepare_clauses(specs: DataFrame) -> DataFrame:
         F.lit("content").alias("field"), F.lit(0.0).alias("boost"),
     )
     specs = specs.unionByName(blank, allowMissingColumns=True)
-    units = F.when((F.col("kind") == "match") & (F.col("field") == "content"), F.size(terms_of("text"))).otherwise(1)
+    units = F.when((F.col("kind") == "match") & (F.col("field") == "content"), F.size(without_stopwords(terms_of("text"), stopwords))).otherwise(1)
     totals = specs.groupBy("query_id").agg(
         F.count_if(F.col("occur") == "must").cast("int").alias("n_must"),
         F.coalesce(F.sum(F.when(F.col("occur") == "should", units)), F.lit(0)).cast("int").alias("should_units"),
@@ -55,7 +55,7 @@ def resolve_terms(index: IndexTables, clauses: DataFrame, stats: DataFrame, scop
     """Query terms per collection with their weights: what the postings are joined with."""
     on_content = clauses.where(F.col("field") == "content")
     expanding = on_content.where(F.col("kind").isin(*EXPANDING))
-    literal = settle(literal_terms(in_one_task(on_content), _CARRY).withColumn("bucket", term_bucket("term", index.buckets)))
+    literal = settle(literal_terms(in_one_task(on_content), _CARRY, index.stopwords).withColumn("bucket", term_bucket("term", index.buckets)))
 
     dictionary = index.dictionary
     if scope is not None:
@@ -127,7 +127,7 @@ def _phrase_hits(postings: DataFrame, terms: DataFrame, scope) -> DataFrame:
 
 def score_documents(index: IndexTables, specs: DataFrame, folders: DataFrame | None = None) -> DataFrame:
     """All matching documents with their scores."""
-    clauses = settle(prepare_clauses(settle(specs)))
+    clauses = settle(prepare_clauses(settle(specs), index.stopwords))
     return _score(index, clauses, settle(index.stats), folders)
 
 
@@ -192,7 +192,7 @@ def search(index: IndexTables, specs: DataFrame, folders: DataFrame | None = Non
     None searches everywhere.  ``order``: ``index`` sorts by collection and rank,
     ``global`` by score over all collections; None leaves the order open.
     """
-    clauses = settle(prepare_clauses(valid_queries(specs)))
+    clauses = settle(prepare_clauses(valid_queries(specs), index.stopwords))
     stats = settle(index.stats)
     hits = top_k(_score(index, clauses, stats, folders), k)
     n_clauses, n_indexes = row_bound(clauses), row_bound(stats)

@@ -24,6 +24,8 @@ def build_session(app_name: str = "paperlantern", master: str | None = None, **c
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "static",
+        # a checkpoint is deleted when nothing refers to it any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # call sites per column expression: many round trips while planning
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         # sessions of one key are merged before the shuffle
@@ -37,11 +39,13 @@ def build_session(app_name: str = "paperlantern", master: str | None = None, **c
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (a test on one machine) a temporary
-    folder is made and remembered in the session.
+    Only on one machine (a ``local`` master) a temporary folder is made where the
+    session names none; a cluster has to name one that all its machines share.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         path = tempfile.mkdtemp(prefix="paperlantern-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:

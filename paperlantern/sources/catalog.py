@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlantern.sources.storage import exists
-
 CATALOG_SCHEMA = "index_id string, base_path string, extensions array<string>, created_at timestamp"
 
 
@@ -34,12 +32,3 @@ def list_indexes(lines: DataFrame, column: str = "value") -> DataFrame:
     """A list of folder paths, one per line, trimmed, blank lines skipped."""
     folder = F.regexp_replace(F.col(column), r"^\s+|\s+$", "")
     return lines.select(folder.alias("folder")).where(F.length("folder") > 0)
-
-
-def read_catalog(spark: SparkSession, root: str) -> DataFrame:
-    path = f"{root}/catalog"
-    return spark.read.schema(CATALOG_SCHEMA).parquet(path) if exists(spark, path) else spark.createDataFrame([], CATALOG_SCHEMA)
-
-
-def append_catalog(rows: DataFrame, root: str) -> None:
-    rows.select("index_id", "base_path", "extensions", "created_at").write.mode("append").parquet(f"{root}/catalog")

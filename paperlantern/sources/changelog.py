@@ -1,19 +1,29 @@
-"""The log of changes seen while nothing is listening (S7, S8): ``op:path``."""
+"""The log of changes seen while nothing is listening.
+
+A line is ``op:path``; a change that knows its time and number is written as
+``op@micros#id:path``, so the log can be replayed in order whatever file a line is in.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlantern.functions.paths import first_segment
 
+_HEAD = r"^(create|update|delete)(?:@(-?[0-9]+)#(-?[0-9]+))?:"
+
 
 def change_lines(changes: DataFrame) -> DataFrame:
-    return changes.select(F.concat_ws(":", "op", "path").alias("value"))
+    head = F.col("op")
+    if "ts" in changes.columns and "event_id" in changes.columns:
+        stamp = F.concat(F.lit("@"), F.unix_micros("ts").cast("string"), F.lit("#"), F.col("event_id").cast("string"))
+        head = F.concat(head, F.coalesce(stamp, F.lit("")))
+    return changes.select(F.concat_ws(":", head, "path").alias("value"))
 
 
 def write_change_log(changes: DataFrame, path: str, checkpoint: str | None = None):
-    """Append ``op:path`` lines; a streaming input returns its running query."""
+    """Append the changes as lines; a streaming input returns its running query."""
     lines = change_lines(changes)
     if changes.isStreaming:
         writer = lines.writeStream.format("text").option("path", path).outputMode("append")
@@ -24,22 +34,31 @@ def write_change_log(changes: DataFrame, path: str, checkpoint: str | None = Non
     return None
 
 
-def parse_change_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Split at the first ``:`` only; a path may contain more of them."""
-    op = F.substring_index(F.col(column), ":", 1)
-    path = F.substr(F.col(column), F.length(op) + 2)
-    out = lines.select(first_segment(path).alias("index_id"), path.alias("path"), op.alias("op"))
-    return out.where(F.col("op").isin("create", "update", "delete") & (F.col("path") != ""))
+def parse_change_lines(lines: DataFrame, column: str = "value", ts: Column | None = None, event_id: Column | None = None) -> DataFrame:
+    """Changes of the lines that are some; a path may contain more ``:``.
+
+    ``ts`` and ``event_id`` stand in for lines that carry none of their own.
+    """
+    line = F.col(column)
+    part = lambda n: F.nullif(F.regexp_extract(line, _HEAD, n), F.lit(""))
+    path = F.regexp_replace(line, _HEAD, "")
+    micros, number = part(2).cast("long"), part(3).cast("long")
+    out = lines.select(
+        first_segment(path).alias("index_id"), path.alias("path"), part(1).alias("op"),
+        F.coalesce(F.timestamp_micros(micros), F.lit(None).cast("timestamp") if ts is None else ts).alias("ts"),
+        F.coalesce(number, F.lit(None).cast("long") if event_id is None else event_id).alias("event_id"),
+    )
+    return out.where(F.col("op").isNotNull() & (F.col("path") != ""))
 
 
 def read_change_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """The log as changes, ordered by ``event_id`` within one file."""
+    """The log as changes: ``index_id, path, op, ts, event_id``, as table or stream.
+
+    A line without a stamp has the time of its file; in a table also its place
+    there, in a stream the number 0.
+    """
     reader = spark.readStream if streaming else spark.read
     raw = reader.format("text").schema("value string").load(path)
-    if streaming:
-        return parse_change_lines(raw)
-    raw = raw.select("value", F.col("_metadata.file_modification_time").alias("ts"), F.monotonically_increasing_id().alias("event_id"))
-    op = F.substring_index("value", ":", 1)
-    rel = F.substr("value", F.length(op) + 2)
-    out = raw.select(first_segment(rel).alias("index_id"), rel.alias("path"), op.alias("op"), "ts", "event_id")
-    return out.where(F.col("op").isin("create", "update", "delete") & (F.col("path") != ""))
+    raw = raw.select("value", F.col("_metadata.file_modification_time").alias("at"))
+    place = F.lit(0).cast("long") if streaming else F.monotonically_increasing_id()
+    return parse_change_lines(raw.withColumn("place", place), "value", F.col("at"), F.col("place"))

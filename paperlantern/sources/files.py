@@ -10,7 +10,7 @@ from paperlantern.functions.paths import file_uri_path, path_dir, path_ext, path
 #: Extensions indexed when the caller names none.
 DEFAULT_EXTENSIONS = (".txt", ".log", ".md", ".go", ".py")
 #: Files up to this size are read as one row; larger ones line by line.
-WHOLE_FILE_BYTES = 256 * 1024 * 1024
+WHOLE_FILE_BYTES = 16 * 1024 * 1024
 
 
 def filter_extensions(docs: DataFrame, extensions=DEFAULT_EXTENSIONS) -> DataFrame:
@@ -44,12 +44,14 @@ def _located(folder: str) -> tuple[str, str]:
     return base, name
 
 
-def _reader(spark: SparkSession, extensions):
+def _reader(spark: SparkSession, extensions, skip: bool = True):
+    """``skip``: a file that cannot be read gives no row.  That is whole files only:
+    of a file read by line a part could be taken for all of it."""
     return (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", _glob(extensions))
-        .option("ignoreCorruptFiles", True)
-        .option("ignoreMissingFiles", True)
+        .option("ignoreCorruptFiles", skip)
+        .option("ignoreMissingFiles", skip)
     )
 
 
@@ -66,13 +68,12 @@ def corpus_scan(
     spark: SparkSession,
     folder: str,
     extensions=DEFAULT_EXTENSIONS,
-    index_id: str | None = None,
     whole_file_bytes: int = WHOLE_FILE_BYTES,
     paths: list[str] | None = None,
 ) -> DataFrame:
     """Every allowed file below ``folder``, one row each, content as one string.
 
-    Unreadable files are skipped.  Bad bytes become U+FFFD.  Files larger than
+    Unreadable files are skipped (:func:`skipped_files` names them).  Bad bytes become U+FFFD.  Files larger than
     ``whole_file_bytes`` are left to :func:`large_file_lines`; size is a file
     attribute, so they are dropped while listing and never opened here.
     ``paths`` restricts the scan to single files below the folder.
@@ -81,23 +82,22 @@ def corpus_scan(
     source = paths if paths is not None else folder
     df = _reader(spark, extensions).text(source, wholetext=True)
     df = df.where(F.col("_metadata.file_size") <= whole_file_bytes)
-    docs = to_documents(_meta(df, F.col("value").alias("content")), index_id or name, base)
+    docs = to_documents(_meta(df, F.col("value").alias("content")), name, base)
     return filter_extensions(docs, extensions)
 
 
-def corpus_listing(spark: SparkSession, folder: str, extensions=DEFAULT_EXTENSIONS, index_id: str | None = None) -> DataFrame:
+def corpus_listing(spark: SparkSession, folder: str, extensions=DEFAULT_EXTENSIONS) -> DataFrame:
     """As :func:`corpus_scan` without content: no file is opened."""
     base, name = _located(folder)
     df = _reader(spark, extensions).format("binaryFile").load(folder)
     raw = _meta(df)
-    return filter_extensions(to_documents(raw, index_id or name, base), extensions)
+    return filter_extensions(to_documents(raw, name, base), extensions)
 
 
 def large_file_lines(
     spark: SparkSession,
     folder: str,
     extensions=DEFAULT_EXTENSIONS,
-    index_id: str | None = None,
     whole_file_bytes: int = WHOLE_FILE_BYTES,
     paths: list[str] | None = None,
 ) -> DataFrame:
@@ -105,10 +105,11 @@ def large_file_lines(
 
     A large file is read by many tasks.  ``block`` is the byte offset of the
     split a line was read from, ``line_no`` grows within it; together they give
-    the order of lines in the file.
+    the order of lines in the file.  A read error fails the job, so that a part of
+    a file is never indexed as the whole.
     """
     base, name = _located(folder)
-    df = _reader(spark, extensions).option("lineSep", "\n").text(paths if paths is not None else folder)
+    df = _reader(spark, extensions, skip=False).option("lineSep", "\n").text(paths if paths is not None else folder)
     df = df.where(F.col("_metadata.file_size") > whole_file_bytes)
     raw = _meta(
         df,
@@ -116,6 +117,14 @@ def large_file_lines(
         F.monotonically_increasing_id().alias("line_no"),
         F.col("value").alias("content"),
     )
-    return filter_extensions(to_documents(raw, index_id or name, base), extensions)
+    return filter_extensions(to_documents(raw, name, base), extensions)
 
 
+
+
+def skipped_files(listing: DataFrame, docs: DataFrame, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """(index_id, path, reason) of the listed files that gave no document: those
+    that could not be read, and empty ones, which Spark's readers leave out."""
+    whole = listing.where(F.col("size") <= whole_file_bytes)
+    missing = whole.join(docs.select("index_id", "path"), ["index_id", "path"], "left_anti")
+    return missing.select("index_id", "path", F.when(F.col("size") == 0, "empty").otherwise("unreadable").alias("reason"))

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlantern.operators.changes import debounce_stream, expand_dir_events
-from paperlantern.plans.index import next_seq
+from paperlantern.plans.index import merge_tail, next_seq
 from paperlantern.plans.maintain import apply_changes
 from paperlantern.session import cut_lineage
 from paperlantern.sources.files import DEFAULT_EXTENSIONS
 from paperlantern.sources.storage import exists
+from paperlantern.streaming.progress import ingest_progress
 
 
 def first_free_seq(spark: SparkSession, root: str, checkpoint: str) -> int:
@@ -31,13 +32,16 @@ def stream_index(
     extensions=DEFAULT_EXTENSIONS,
     gap: str | None = "10 seconds",
     trigger: dict | None = None,
+    progress: str | None = None,
 ):
     """Start the stream: quiet periods → folder events → upserts and deletes.
 
     ``corpus(batch)`` returns the documents of the changed paths of one batch
     (from the feed, or a scan of just these paths); ``listing`` is needed for
-    folder events only.  Batch ``n`` is written as segment ``first + n``; a
-    replay overwrites it.
+    folder events only.  Batch ``n`` is written as segment ``first + n``, and a
+    replay writes that one again; a batch that was merged already stays as it is.
+    Segments of one weight are merged as they add up, so a late batch finds as few
+    of them as an early one.  ``progress`` names the observations of the batches.
     """
     spark = changes.sparkSession
     first = first_free_seq(spark, root, checkpoint)
@@ -48,7 +52,11 @@ def stream_index(
             return
         if listing is not None:
             batch = expand_dir_events(batch, listing() if callable(listing) else listing)
-        apply_changes(batch.sparkSession, root, batch, corpus(batch), extensions, seq=first + batch_id)
+        docs = corpus(batch)
+        if progress is not None:
+            docs = ingest_progress(docs, f"{progress}-{batch_id}")
+        apply_changes(batch.sparkSession, root, batch, docs, extensions, seq=first + batch_id)
+        merge_tail(batch.sparkSession, root)
 
     source = debounce_stream(changes, gap) if gap else changes
     return (

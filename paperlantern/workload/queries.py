@@ -1,7 +1,4 @@
-"""Every registered query with its SQL, side by side.
-
-``QUERIES[name]`` takes ``(spark, sf_dir)``; ``ORACLES[name]`` is the SQL text.
-"""
+"""Registered queries with their SQL, side by side."""
 
 from __future__ import annotations
 
@@ -17,20 +14,7 @@ from paperlantern.sources.files import filter_extensions, to_documents
 from paperlantern.workload import fixtures as fx
 from paperlantern.workload.fixtures import CHANGES_SQL, DOCS_SQL, LAST_SQL, MIXED_DOCS_SQL, PAGE_DIRS_SQL
 from paperlantern.workload.oracle_search import scored_ctes, search_sql
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def _register(name: str, sql: str | None):
-    def keep(function):
-        QUERIES[name] = function
-        if sql is not None:
-            ORACLES[name] = sql
-        return function
-
-    return keep
-
+from paperlantern.workload.registry import ORACLES, QUERIES, register as _register  # noqa: F401
 
 # ------------------------------------------------------------- scans, documents
 
@@ -321,7 +305,7 @@ def b4(spark, sf):
     return rs.format_results(search(fx.stored_index(spark, sf), _specs(spark, MATCHES), None, K))
 
 
-@_register("b5_list_paths", f"WITH {DOCS_SQL} SELECT index_id, path FROM docs ORDER BY path, index_id LIMIT 10000")
+@_register("b5_list_paths", f"WITH {DOCS_SQL} SELECT index_id, path FROM docs")
 def b5(spark, sf):
     return rs.list_paths(fx.stored_index(spark, sf).documents)
 
@@ -413,7 +397,7 @@ PREVIEW = [
 _PATTERNS_SQL = r"""patterns(query_id, pattern) AS (VALUES ('p1', '(?i)\bthe\b|(?i)\bof\b'), ('p2', '(?i)th[a-e]+\b'))"""
 _HITS_SQL = scored_ctes(PREVIEW) + f""",
 {_PATTERNS_SQL},
-hits AS (SELECT r.*, d.content FROM ranked r JOIN docs d USING (index_id, path) WHERE rank <= 5),
+hits AS (SELECT r.*, d.content FROM ranked r JOIN docs d USING (index_id, path)),
 lines AS (
   SELECT query_id, index_id, path, CAST(i - 1 AS INTEGER) AS row_id, l[i] AS line
   FROM (SELECT query_id, index_id, path, l, unnest(range(1, len(l) + 1)) AS i FROM (
@@ -436,7 +420,7 @@ _HITS_SQL = _HITS_SQL.replace(r"'\\0'", r"'\0'")
 
 def _segments(spark, sf):
     specs = _specs(spark, PREVIEW)
-    hits = search(fx.stored_index(spark, sf), specs, None, 5)
+    hits = score_documents(fx.stored_index(spark, sf), specs)
     return pv.preview(hits, fx.documents(spark, sf), specs)
 
 
@@ -476,16 +460,15 @@ def p1_compat(spark, sf):
     return _joined_terms(pv.search_terms(_talk(spark, sf), compat=True))
 
 
-@_register(
-    "p2_highlight_pattern",
-    rf"""WITH {DOCS_SQL}, {_PATTERNS_SQL} SELECT query_id, index_id, path, len(regexp_extract_all(content, pattern)) AS n FROM docs, patterns""",
-)
+@_register("p2_highlight_pattern", _HITS_SQL + """ SELECT query_id, index_id, path, len(regexp_extract_all(content, pattern)) AS n
+  FROM hits JOIN patterns USING (query_id)""")
 def p2(spark, sf):
-    patterns = pv.search_terms(_specs(spark, PREVIEW)).select("query_id", pv.highlight_pattern("terms").alias("pattern"))
-    rows = {r.query_id: r.pattern for r in patterns.collect()}
-    counts = [F.struct(F.lit(q).alias("query_id"), F.regexp_count("content", F.lit(p)).cast("long").alias("n")) for q, p in sorted(rows.items())]
-    docs = fx.documents(spark, sf).select("index_id", "path", F.explode(F.array(*counts)).alias("c"))
-    return docs.select("c.query_id", "index_id", "path", "c.n")
+    """The pattern as a column, as a preview uses it, on every hit."""
+    specs = _specs(spark, PREVIEW)
+    patterns = pv.search_terms(specs).select("query_id", pv.highlight_pattern("terms").alias("pattern"))
+    hits = score_documents(fx.stored_index(spark, sf), specs).select(*pv.DOC).join(patterns, "query_id")
+    docs = fx.documents(spark, sf).select("index_id", "path", "content").join(hits, ["index_id", "path"])
+    return docs.select(*pv.DOC, F.regexp_count("content", F.col("pattern")).cast("long").alias("n"))
 
 
 @_register(
@@ -578,12 +561,15 @@ def c4(spark, sf):
 @_register(
     "c6_expand_dir_events",
     f"""WITH {DOCS_SQL}, {CHANGES_SQL},
-     folder_events AS (SELECT index_id, regexp_replace(path, '/[^/]*$', '') AS folder, op, max(ts) AS ts, max(event_id) AS event_id FROM changes WHERE op <> 'delete' GROUP BY ALL)
-     SELECT d.index_id, d.path, e.op, e.event_id FROM folder_events e JOIN docs d ON d.index_id = e.index_id AND starts_with(d.path, e.folder || '/')""",
+     e AS (SELECT index_id, CASE WHEN event_id % 3 = 0 THEN path ELSE regexp_replace(path, '/[^/]*$', '') END AS path, op, max(ts) AS ts, max(event_id) AS event_id
+           FROM changes GROUP BY ALL)
+     SELECT e.index_id, coalesce(d.path, e.path) AS path, e.op, e.event_id
+     FROM e LEFT JOIN docs d ON e.op <> 'delete' AND d.index_id = e.index_id AND starts_with(d.path, e.path || '/')""",
 )
 def c6(spark, sf):
-    c = fx.changes(spark, sf).where("op <> 'delete'").withColumn("path", path_dir("path"))
-    c = c.groupBy("index_id", "path", "op").agg(F.max("ts").alias("ts"), F.max("event_id").alias("event_id"))
+    """Events on files and on folders, deletes among both."""
+    name = F.when(F.col("event_id") % 3 == 0, F.col("path")).otherwise(path_dir("path"))
+    c = fx.changes(spark, sf).groupBy("index_id", name.alias("path"), "op").agg(F.max("ts").alias("ts"), F.max("event_id").alias("event_id"))
     return ch.expand_dir_events(c, fx.documents(spark, sf).select("index_id", "path")).select("index_id", "path", "op", "event_id")
 
 
@@ -602,7 +588,7 @@ def c7(spark, sf):
     "c8_snapshot_diff",
     f"""WITH {DOCS_SQL}, {CHANGES_SQL}, {LAST_SQL},
      after AS (
-       SELECT d.index_id, CASE WHEN f.op = 'create' THEN d.path || '.new' ELSE d.path END AS path, d.size, CASE WHEN f.op = 'update' THEN f.ts ELSE d.mod_time END AS mod_time
+       SELECT d.index_id, CASE WHEN f.op = 'create' THEN d.path || '.new' ELSE d.path END AS path, d.size + CASE WHEN d.doc_id % 5 = 0 THEN 1 ELSE 0 END AS size, CASE WHEN f.op = 'update' THEN f.ts ELSE d.mod_time END AS mod_time
        FROM docs d LEFT JOIN final f USING (index_id, path) WHERE coalesce(f.op, '') <> 'delete'),
      diff AS (
        SELECT coalesce(o.index_id, n.index_id) AS index_id, coalesce(o.path, n.path) AS path,
@@ -611,12 +597,13 @@ def c7(spark, sf):
      SELECT * FROM diff WHERE op IS NOT NULL""",
 )
 def c8(spark, sf):
-    """Old: all documents.  New: what the event log leaves, creates under a new name."""
-    docs = fx.documents(spark, sf).select("index_id", "path", "size", "mod_time")
+    """Old: all documents.  New: what the event log leaves, creates under a new name, some sizes changed."""
+    docs = fx.documents(spark, sf).select("index_id", "path", "size", "mod_time", F.regexp_extract("path", r"/([0-9]+)\.[a-z]+$", 1).cast("long").alias("doc_id"))
     last = ch.last_change(fx.changes(spark, sf)).select("index_id", "path", "op", "ts")
     after = docs.join(last, ["index_id", "path"], "left").where(F.col("op").isNull() | (F.col("op") != "delete"))
     after = after.select(
-        "index_id", F.when(F.col("op") == "create", F.concat("path", F.lit(".new"))).otherwise(F.col("path")).alias("path"), "size",
+        "index_id", F.when(F.col("op") == "create", F.concat("path", F.lit(".new"))).otherwise(F.col("path")).alias("path"),
+        (F.col("size") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).alias("size"),
         F.when(F.col("op") == "update", F.col("ts")).otherwise(F.col("mod_time")).alias("mod_time"),
     )
     return ch.snapshot_diff(docs, after)

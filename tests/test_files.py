@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from paperlantern.operators.analyze import large_file_documents, large_file_rows, posting_rows
 from paperlantern.operators.clauses import query_specs
-from paperlantern.operators.preview import preview_lines
-from paperlantern.plans.index import compact, open_index, segments
+from paperlantern.operators.changes import last_change
+from paperlantern.operators.preview import highlight_segments, match_locations, preview, preview_large, preview_lines
+from paperlantern.plans import index as index_plans
+from paperlantern.plans.index import compact, open_index, read_catalog, segments, write_index
 from paperlantern.plans.maintain import apply_changes, initial_scan, reindex, remove_folder
 from paperlantern.plans.search import search
-from paperlantern.sources.catalog import catalog_rows, list_indexes, read_catalog, register_index
+from paperlantern.sources.catalog import catalog_rows, list_indexes, register_index
 from paperlantern.sources.changelog import read_change_log, write_change_log
-from paperlantern.sources.files import corpus_listing, corpus_scan, large_file_lines
+from paperlantern.sources.files import corpus_listing, corpus_scan, large_file_lines, skipped_files
 
 FILES = {
     "a.txt": b"hello\r\n\nworld",
@@ -189,3 +191,90 @@ def test_change_log_round_trip(spark, tmp_path):
     write_change_log(spark.createDataFrame([("update", "doc/d.md")], "op string, path string"), log)
     got = sorted((r.index_id, r.path, r.op) for r in read_change_log(spark, log).collect())
     assert got == [("doc", "doc/d.md", "update"), ("src", "src/a:b.md", "create"), ("src", "src/c.md", "delete")]
+
+
+def test_change_log_keeps_the_order(spark, tmp_path):
+    log = str(tmp_path / "log")
+    rows = [("src/a@1#2:b.md", "create", 10, 1), ("src/a@1#2:b.md", "delete", 10, 2), ("src/c.md", "delete", 20, 3), ("src/c.md", "create", 30, 4)]
+    changes = spark.createDataFrame(rows, "path string, op string, s long, event_id long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    for n in (1, 0, 3, 2):  # the later change in the earlier file
+        write_change_log(changes.where(F.col("event_id") == n + 1), log)
+    back = read_change_log(spark, log)
+    assert sorted((r.path, r.op, r.event_id) for r in back.collect()) == sorted((p, o, n) for p, o, _, n in rows)
+    final = {r.path: r.op for r in last_change(back).collect()}
+    assert final == {"src/a@1#2:b.md": "delete", "src/c.md": "create"}
+
+
+def test_skipped_files_are_named(spark, folder):
+    os.chmod(os.path.join(folder, "a.txt"), 0o000)
+    listing = corpus_listing(spark, folder)
+    docs = corpus_scan(spark, folder)
+    got = {(r.path, r.reason) for r in skipped_files(listing, docs).collect()}
+    assert ("base/e.txt", "empty") in got or not [r for r in listing.collect() if r.path == "base/e.txt"]
+    assert (("base/a.txt", "unreadable") in got) == ("base/a.txt" not in paths(docs))
+
+
+def test_preview_of_a_large_file_is_that_of_the_whole(spark, folder):
+    with open(os.path.join(folder, "big.log"), "w") as f:
+        f.write("\r\n".join(f"line {i} the end" if i % 3 else "" for i in range(2000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        specs = query_specs(spark, [{"query_id": "q", "kind": "match", "text": "end"}])
+        hits = spark.createDataFrame([("q", "base", "base/big.log")], "query_id string, index_id string, path string")
+        whole = preview(hits, corpus_scan(spark, folder), specs)
+        lines = preview_large(hits, large_file_lines(spark, folder, whole_file_bytes=1000), specs)
+        assert sorted(map(tuple, match_locations(lines).collect())) == sorted(map(tuple, match_locations(whole).collect()))
+        assert match_locations(lines).count() > 1300
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_many_matches_in_a_line(spark):
+    line = "the x " * 20_000
+    lines = spark.createDataFrame([("q", "i", "p", 0, line, r"\bthe\b")], "query_id string, index_id string, path string, row_id int, line string, pattern string")
+    found = match_locations(highlight_segments(lines)).orderBy("match_no").collect()
+    assert [(r.match_no, r.start, r.end, r.seg_id) for r in found] == [(i, 6 * i, 6 * i + 3, 2 * i) for i in range(20_000)]
+
+
+def small_index(spark):
+    docs = spark.createDataFrame([("base", f"base/{n}.txt", f"text {n}") for n in range(20)], "index_id string, path string, content string")
+    docs = docs.select("*", F.lit(".txt").alias("ext"), F.length("content").cast("long").alias("size"), F.timestamp_seconds(F.lit(0)).alias("mod_time"))
+    return docs, catalog_rows(spark, [("/x/base", [".txt"])])
+
+
+def counts(spark, root):
+    index = open_index(spark, root)
+    return index.documents.count(), [(r.index_id, r.n_docs) for r in index.stats.collect()], [(r.index_id, r.base_path) for r in index.catalog.collect()]
+
+
+def test_writing_a_segment_again_gives_the_same_index(spark, tmp_path):
+    root = str(tmp_path / "index")
+    docs, catalog = small_index(spark)
+    for _ in range(2):
+        write_index(docs, root, catalog, buckets=2, seq=0)
+        assert counts(spark, root) == (20, [("base", 20)], [("base", "/x")])
+    write_index(docs, root, catalog)  # another segment: the name is refused
+    assert counts(spark, root) == (20, [("base", 20)], [("base", "/x")])
+
+
+@pytest.mark.parametrize("step", ["commit", "term_dictionary"])
+def test_a_crash_before_the_commit_leaves_nothing(spark, tmp_path, monkeypatch, step):
+    root = str(tmp_path / "index")
+    docs, catalog = small_index(spark)
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(index_plans, step, crash)
+        with pytest.raises(RuntimeError):
+            write_index(docs, root, catalog, buckets=2)
+    assert open_index(spark, root) is None
+    write_index(docs, root, catalog, buckets=2)
+    assert counts(spark, root) == (20, [("base", 20)], [("base", "/x")])
+    with monkeypatch.context() as m:  # a second attempt at the segment that fails leaves the first
+        m.setattr(index_plans, step, crash)
+        with pytest.raises(RuntimeError):
+            write_index(docs, root, catalog, seq=0)
+    assert counts(spark, root) == (20, [("base", 20)], [("base", "/x")])

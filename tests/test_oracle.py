@@ -4,9 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import TESTDATA, compare, connect
+from paperlantern.workload.registry import ORACLES, QUERIES
 
 SF = f"{TESTDATA}/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")

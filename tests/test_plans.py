@@ -1,12 +1,16 @@
 """What the physical plans must and must not contain."""
 
+import datetime as dt
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from paperlantern.operators import clauses
 from paperlantern.operators.analyze import build_postings, tokenize
+from paperlantern.operators.clauses import query_specs
 from paperlantern.plans.index import _write_bucketed, open_index
+from paperlantern.plans.search import score_documents
 from paperlantern.workload import fixtures as fx
 from paperlantern.workload import queries as wq
 
@@ -65,3 +69,54 @@ def test_index_files_are_sorted_by_term(spark):
     for a, b in zip(first, first[1:]):
         assert a.f != b.f or a.term.encode() <= b.term.encode()
     assert open_index(spark, "/nonexistent/index") is None
+
+
+def _many_clauses(n: int) -> list[dict]:
+    """Clauses of every kind that name documents or terms by value, pattern, range or not at all."""
+    kinds = [
+        {"kind": "prefix", "text": "th"}, {"kind": "fuzzy", "text": "thet", "fuzziness": 1}, {"kind": "regexp", "text": "th[a-c]+"},
+        {"kind": "wildcard", "text": "?nd"}, {"kind": "match_all"}, {"kind": "numeric_range", "lo": 100.0, "hi": 3000.0},
+        {"kind": "numeric_range", "lo": 1024.0}, {"kind": "date_range", "lo_ts": dt.datetime(2024, 1, 1, 1), "hi_ts": dt.datetime(2024, 1, 1, 2)},
+        {"kind": "term", "field": "extension", "text": ".md"}, {"kind": "prefix", "field": "dir", "text": "src1"},
+        {"kind": "regexp", "field": "extension", "text": r"\.(go|py)"}, {"kind": "fuzzy", "field": "dir", "text": "src1/ex"},
+    ]
+    return [{"query_id": f"q{i}", **kinds[i % len(kinds)]} for i in range(n)]
+
+
+def test_joined_clauses_find_what_literal_ones_find(spark, monkeypatch):
+    index = fx.stored_index(spark, SF)
+    specs = query_specs(spark, _many_clauses(24))
+    literal = sorted(map(tuple, score_documents(index, specs).collect()))
+    monkeypatch.setattr(clauses, "LITERAL_ROWS", 0)
+    joined = score_documents(index, specs)
+    assert sorted(map(tuple, joined.collect())) == literal
+
+
+def test_a_thousand_clauses_need_no_nested_loop(spark):
+    index = fx.stored_index(spark, SF)
+    specs = clauses.valid_queries(query_specs(spark, _many_clauses(1_000)))
+    carry = ["query_id", "clause_id"]
+    on_documents = clauses.document_hits(index.documents, specs.where("field <> 'content' OR kind = 'match_all'"), carry)
+    on_terms = clauses.expand_terms(index.dictionary, specs.where("field = 'content' AND kind IN ('prefix', 'fuzzy', 'regexp', 'wildcard')"), carry)
+    for df in (on_documents, on_terms):
+        text = plan(df)
+        assert "NestedLoop" not in text and "CartesianProduct" not in text
+        assert df.groupBy("query_id").count().count() > 200
+
+
+def test_bad_patterns_are_named_at_any_number(spark):
+    bad = spark.range(12_000).select(
+        F.col("id").cast("string").alias("query_id"), F.lit(0).alias("clause_id"), F.lit("should").alias("occur"), F.lit("regexp").alias("kind"),
+        F.lit("content").alias("field"), F.when(F.col("id") == 11_999, "(").otherwise(F.concat(F.lit("a"), F.col("id").cast("string"))).alias("text"),
+        *[F.lit(None).cast(t).alias(n) for n, t in (("lo", "double"), ("hi", "double"), ("lo_ts", "timestamp"), ("hi_ts", "timestamp"), ("fuzziness", "int"))],
+        F.lit(1.0).alias("boost"),
+    )
+    assert [tuple(r) for r in clauses.rejected_queries(bad).collect()] == [("11999", 0, "bad pattern")]
+
+
+def test_kind_has_to_fit_field(spark):
+    specs = query_specs(spark, [
+        {"query_id": "a", "kind": "term", "field": "size", "text": "100"}, {"query_id": "b", "kind": "numeric_range", "field": "mod_time", "lo": 1.0},
+        {"query_id": "c", "kind": "date_range", "field": "size", "lo_ts": dt.datetime(2024, 1, 1)}, {"query_id": "d", "kind": "prefix", "field": "dir", "text": "x"},
+    ])
+    assert {r.query_id: r.reason for r in clauses.rejected_queries(specs).collect()} == dict.fromkeys("abc", "kind does not fit field")

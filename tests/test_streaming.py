@@ -5,7 +5,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from paperlantern.operators.changes import debounce_stream, last_change
-from paperlantern.plans.index import open_index, segments, write_index
+from paperlantern.plans.index import merge_tail, open_index, segments, write_index
 from paperlantern.plans.maintain import apply_changes
 from paperlantern.sources.changelog import read_change_log
 from paperlantern.streaming.progress import ProgressLog, ingest_progress
@@ -52,6 +52,27 @@ def test_stream_equals_batch_and_restarts(spark, feed, tmp_path):
     assert len(segments(spark, stream_root)) == 4
 
 
+def test_late_batches_find_as_few_segments_as_early_ones(spark, tmp_path, monkeypatch):
+    root, other = str(tmp_path / "merged"), str(tmp_path / "plain")
+    docs = documents(spark, [f"text {n}" for n in range(6)])
+    for r in (root, other):
+        write_index(docs, r, buckets=2)
+    most = []
+    for n in range(10):
+        change = spark.createDataFrame([("i", f"i/d/{n % 6}.txt", ["update", "delete"][n % 4 == 3], n, n)], "index_id string, path string, op string, s int, event_id int")
+        change = change.select("index_id", "path", "op", F.timestamp_seconds("s").alias("ts"), "event_id")
+        new = documents(spark, [f"new {n}" for _ in range(6)])
+        for r in (root, other):
+            apply_changes(spark, r, change, new, seq=n + 1)
+        merge_tail(spark, root, fan=3)
+        most.append(len(segments(spark, root)))
+    assert max(most) <= 6 and len(segments(spark, other)) == 11
+    assert state(spark, root) == state(spark, other)
+    # a replayed batch that was merged already changes nothing
+    apply_changes(spark, root, change.withColumn("path", F.lit("i/d/0.txt")), new, seq=2)
+    assert state(spark, root) == state(spark, other)
+
+
 def test_debounced_stream_keeps_the_last_change_per_session(spark, tmp_path):
     rows = [("i", "a", "create", 0, 1), ("i", "a", "update", 5, 2), ("i", "a", "delete", 15, 3), ("i", "a", "update", 60, 4), ("i", "z", "update", 500, 5)]
     df = spark.createDataFrame(rows, "index_id string, path string, op string, s int, event_id int")
