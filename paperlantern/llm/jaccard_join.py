@@ -56,6 +56,10 @@ REPORTED = 4
 #: Postings of one salt of a frequent list, candidates of one salt of a query.
 SALT_ROWS = 2_000
 UNIT_ROWS = 500
+#: Bits (as a power of two) that tell which documents' whole sets are wanted.
+FIELD_BITS = 23
+#: Shingles of a set that travel in one row, so that a batch of rows has a bounded size.
+PART = 256
 _COEFFICIENTS = [np.uint64(c | 1) for c in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x2F4A6C1B7D93E5F7)]
 
 
@@ -316,38 +320,38 @@ def linked(query: np.ndarray, candidates: Sequence[np.ndarray]) -> list[int]:
     return [i for i, n in found.items() if 100 * n >= PERCENT * (len(query) + len(candidates[i]) - n)]
 
 
-def search(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def search(pairs: DataFrame, docs: DataFrame, documents: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` that link: each ``a`` is a query over the sets of its ``b``."""
+    sets = _whole_sets(docs, documents, pairs.select(F.col("a").alias("member")).union(pairs.select("b")).distinct())
     load = pairs.groupBy(F.col("a").alias("q")).agg(F.ceil(F.count("*") / UNIT_ROWS).alias("salts"))
     tried = pairs.join(load, pairs.a == load.q).select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), "b")
     asked = load.select(F.col("q").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
     wanted = asked.withColumn("of", F.col("a")).unionByName(tried.withColumn("of", F.col("b")))
-    rows = wanted.join(sets, F.col("of") == sets.member).select("a", "salt", "b", "shingles")
+    rows = wanted.join(sets, F.col("of") == sets.member).select("a", "salt", "b", "part", "shingles")
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, query, names, members = None, None, [], []
+        """Rows sorted by query, the query's own parts (no ``b``) before its candidates'."""
+        unit, sets = None, {}
 
         def answer() -> pa.RecordBatch:
-            good = linked(query, members) if query is not None else []
-            a = pa.array([unit[0]] * len(good), pa.int64())
-            return pa.RecordBatch.from_arrays([a, pa.array([names[i] for i in good], pa.int64())], ["a", "b"])
+            whole = {b: np.concatenate([parts[i] for i in sorted(parts)]) for b, parts in sets.items()}
+            query = whole.pop(None, None)
+            names = list(whole)
+            good = linked(query, list(whole.values())) if query is not None else []
+            return pa.RecordBatch.from_arrays([pa.array([unit[0]] * len(good), pa.int64()), pa.array([names[i] for i in good], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for a, salt, b, s in zip(batch["a"].to_pylist(), batch["salt"].to_pylist(), batch["b"].to_pylist(), batch["shingles"]):
-                shingles = s.values.to_numpy().view(np.uint64)
+            columns = (batch[c].to_pylist() for c in ("a", "salt", "b", "part"))
+            for a, salt, b, part, s in zip(*columns, batch["shingles"]):
                 if (a, salt) != unit:
                     if unit is not None:
                         yield answer()
-                    unit, query, names, members = (a, salt), None, [], []
-                if b is None:
-                    query = shingles
-                else:
-                    names.append(b)
-                    members.append(shingles)
+                    unit, sets = (a, salt), {}
+                sets.setdefault(b, {})[part] = s.values.to_numpy().view(np.uint64)
         if unit is not None:
             yield answer()
 
-    ready = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    ready = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "b")
     return ready.mapInArrow(units, "a long, b long")
 
 
@@ -408,38 +412,61 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     on_short = rows.join(long, rows.token == long.t, "left_anti")
     on_long = stored(rows.join(long, rows.token == long.t, "left_semi"), "on-long-lists")
 
-    # whole sets of the classes on any list, once
-    members = rows.select("member").distinct()
-    representative = documents.join(members, documents.key == members.member, "left_semi").groupBy("key").agg(F.min(F.struct("doc_id")).alias("d"))
-    chosen = stored(representative.select(F.col("key").alias("chosen_key"), F.col("d.doc_id").alias("chosen_id")), "listed-sets")
-    sets = stored(_whole_sets(docs, chosen), "whole-sets")
-
     merged = _others(_labelled(on_short, None), on_long)
-    links = stored(search(stored(_pairs_within(merged).unionByName(_heads(_labelled(on_long, None), 0)).distinct(), "pairs"), sets), "found-links")
+    links = stored(search(stored(_pairs_within(merged).unionByName(_heads(_labelled(on_long, None), 0)).distinct(), "pairs"), docs, documents), "found-links")
     labels = components(spark, links)
     for turn in range(1, ROUNDS + 1):
         left = stored(_divided(_labelled(on_long, labels)), "divided-lists")
         if left.isEmpty():
             break
         pairs = _heads(left, turn) if turn < ROUNDS else _pairs_within(_others(left, on_short))
-        links = stored(links.unionByName(search(stored(pairs.distinct(), "pairs"), sets)), "found-links")
+        links = stored(links.unionByName(search(stored(pairs.distinct(), "pairs"), docs, documents)), "found-links")
         labels = components(spark, links)
     return documents, labels, links
 
 
-def _whole_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(member, shingles) of one document of every chosen key."""
+def _slots(ids: np.ndarray) -> np.ndarray:
+    """Place of each document id in the bit field."""
+    return ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FIELD_BITS)).astype(np.int64)
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.fill_null(-1).to_numpy()
+
+
+def _whole_sets(docs: DataFrame, documents: DataFrame, members: DataFrame) -> DataFrame:
+    """(member, part, shingles) of a document of every member; more may be in it.
+
+    Texts are not shuffled for this: a bit field of fixed size, made of the ids of
+    the documents wanted, tells the scan which texts to turn into sets.
+    """
+    wanted = documents.join(members, documents.key == members.member, "left_semi").groupBy("key").agg(F.min(F.struct("doc_id")).alias("d"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slots(_ids(batch["doc_id"]))))], ["slot"])
+
+    slots = wanted.select("d.doc_id").mapInArrow(place, "slot long").distinct().toArrow()["slot"].to_numpy()
+    field = np.zeros(1 << FIELD_BITS, bool)
+    field[slots] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(field))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value).view(bool)
         for batch in batches:
-            wanted = batch["chosen_key"].to_pylist()
-            found = [(wanted[i], s.view(np.int64)) for i, s in _sets(batch["text"]) if len(s) and set_key(s) == wanted[i]]
-            keys, sets = [k for k, _ in found], [s for _, s in found]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["member", "shingles"])
+            texts = batch["text"].filter(pa.array(bits[_slots(_ids(batch["doc_id"]))]))
+            for a, b in tk.slices(texts):
+                yield _parts([s for s in shingle_sets(texts.slice(a, b - a)) if len(s)])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    rows = texts.join(chosen, texts.doc_id.eqNullSafe(F.col("chosen_id"))).select("chosen_key", "text")
-    return rows.mapInArrow(read, "member long, shingles array<long>").dropDuplicates(["member"])
+    return texts.mapInArrow(read, "member long, part long, shingles array<long>")
+
+
+def _parts(sets: list[np.ndarray]) -> pa.RecordBatch:
+    """(member, part, shingles): the sets in rows of PART shingles at most."""
+    rows = [(set_key(s), i, s[i * PART : (i + 1) * PART].view(np.int64)) for s in sets for i in range(-(-len(s) // PART))]
+    columns = [pa.array([k for k, _, _ in rows], pa.int64()), pa.array([i for _, i, _ in rows], pa.int64()), pa.array([s for _, _, s in rows], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, ["member", "part", "shingles"])
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
