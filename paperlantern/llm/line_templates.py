@@ -22,39 +22,121 @@ the last one.  Repeated rows are each returned.  Other columns are not looked at
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperlantern.llm import tokens as tk
 from paperlantern.llm.common import stored
 
 LEADING = 3
 SIMILAR = 0.8
-FOLD = 2_000
+FOLD = 500
 VARIABLE = "<*>"
-_TOKENS = r"[^\x20\x09-\x0D]+"
-#: A token with a digit, without backtracking.
-_WITH_DIGIT = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 _LAST = (1 << 63) - 1
+#: Bits (as a power of two) that tell for which leaves the texts of lines are wanted.
+FIELD_BITS = 23
+
+
+@dataclass
+class Lines:
+    """Lines with a token, of consecutive texts."""
+
+    doc: np.ndarray  # index of the text
+    number: np.ndarray  # of the line in its text
+    leaf: np.ndarray  # hash of token count and leading tokens
+    key: np.ndarray  # hash of all tokens
+    tokens: tk.Tokens
+    digit: np.ndarray  # for each token: is it a variable
+    first: np.ndarray  # index of the first token of each line; one entry more than lines
+
+    def masked(self, line: int) -> str:
+        """Its tokens, variables replaced, one space apart."""
+        t = self.tokens
+        span = range(self.first[line], self.first[line + 1])
+        return " ".join(VARIABLE if self.digit[i] else t.raw[t.starts[i] : t.ends[i]].tobytes().decode() for i in span)
+
+
+_VARIABLE_HASH = np.uint64(0x9D8A2F1C6B4E7351)
+
+
+def lines_of(texts: pa.Array) -> Lines:
+    t = tk.tokens_of(texts, tk.WORDS, tk.exact_values())
+    n = len(t.hashes)
+    digits = np.zeros(len(t.raw) + 1, np.int32)
+    np.cumsum((t.raw >= 48) & (t.raw <= 57), out=digits[1:])
+    digit = digits[t.ends] > digits[t.starts]
+    hashes = np.where(digit, _VARIABLE_HASH, t.hashes)
+    ends = np.flatnonzero(t.raw == 10)
+    number = np.searchsorted(ends, t.starts) - np.searchsorted(ends, t.offsets)[t.doc]
+    begins = np.flatnonzero(np.append(n > 0, (number[1:] != number[:-1]) | (t.doc[1:] != t.doc[:-1]))[: n or 0])
+    first = np.append(begins, n)
+    count = np.diff(first)
+    place = np.arange(n) - np.repeat(begins, count)
+    weighed = hashes * tk.powers(int(count.max(initial=0)) + 1)[place]
+    size = count.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    add = lambda x: np.add.reduceat(x, begins) if len(begins) else np.empty(0, np.uint64)
+    key = tk.mixed(add(weighed) + size)
+    leaf = tk.mixed(add(np.where(place < LEADING, weighed, np.uint64(0))) ^ tk.mixed(size))
+    return Lines(t.doc[begins], number[begins], leaf.view(np.int64), key.view(np.int64), t, digit, first)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc, text_key, text of the documents that have a text."""
+    text = F.col("text").cast("string")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    return docs.where(text.isNotNull()).select(doc.alias("doc"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-def masked(line: Column) -> Column:
-    """The line's tokens, variables replaced, one space apart."""
-    spaced = F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")
-    return F.regexp_replace(F.trim(spaced), _WITH_DIGIT, VARIABLE)
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc, text_key, and for each line with a token its number, leaf and key."""
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, text_key = batch["doc"].to_numpy(), batch["text_key"].to_numpy()
+            for a, b in tk.slices(batch["text"]):
+                x = lines_of(batch["text"].slice(a, b - a))
+                columns = [doc[a + x.doc], text_key[a + x.doc], x.number, x.leaf, x.key]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "text_key", "line_no", "leaf", "line_key"])
 
-def _lines(docs: DataFrame, *more: str | Column) -> DataFrame:
-    """doc, key of the text, and a row per line that has a token: number and masked line."""
-    text = F.col("text").cast("string")
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    rows = docs.where(text.isNotNull()).select(doc.alias("doc"), F.xxhash64(text).alias("text_key"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    rows = rows.withColumn("masked", masked(F.col("line"))).where("masked != ''")
-    count = F.length("masked") - F.length(F.translate("masked", " ", ""))
-    leaf = F.xxhash64(count, F.substring_index("masked", " ", LEADING))
-    return rows.select("doc", "text_key", "line_no", leaf.alias("leaf"), F.xxhash64("masked").alias("line_key"), *more)
+    return _texts(docs).mapInArrow(split, "doc long, text_key long, line_no long, leaf long, line_key long")
+
+
+def _slots(leaves: np.ndarray) -> np.ndarray:
+    return (leaves.view(np.uint64) >> np.uint64(64 - FIELD_BITS)).astype(np.int64)
+
+
+def _masked_lines(docs: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(leaf, line_key, masked) of lines in the leaves of ``of_leaf``; lines of a few more may be in it.
+
+    A bit field of fixed size tells the scan which lines to give out as text.
+    """
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slots(batch["of_leaf"].to_numpy())))], ["slot"])
+
+    field = np.zeros(1 << FIELD_BITS, bool)
+    field[leaves.select("of_leaf").mapInArrow(place, "slot long").distinct().toArrow()["slot"].to_numpy()] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(field))
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value).view(bool)
+        seen: set[int] = set()  # keys of the lines given out by this task
+        for batch in batches:
+            for a, b in tk.slices(batch["text"]):
+                x = lines_of(batch["text"].slice(a, b - a))
+                wanted = np.flatnonzero(bits[_slots(x.leaf)])
+                places = dict(zip(x.key[wanted].tolist(), wanted.tolist()))
+                fresh = [i for k, i in places.items() if k not in seen]
+                seen.update(places)
+                columns = [pa.array(x.leaf[fresh]), pa.array(x.key[fresh]), pa.array([x.masked(i) for i in fresh], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["leaf", "line_key", "masked"])
+
+    return _texts(docs).select("text").mapInArrow(give, "leaf long, line_key long, masked string")
 
 
 def parse(lines: list[list[str]], similar: float = SIMILAR) -> tuple[list[int], list[list[str]]]:
@@ -117,7 +199,7 @@ def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     crowd = known.groupBy("leaf").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     crowd = stored(crowd.where("n > 1 AND lo != hi").select(F.col("leaf").alias("of_leaf"), F.ceil(F.col("n") / FOLD).alias("folds")), "leaves")
     # one text of each different line in those leaves
-    texts = _lines(docs, "masked").join(crowd, F.col("leaf") == F.col("of_leaf"))
+    texts = _masked_lines(docs, crowd).join(crowd, F.col("leaf") == F.col("of_leaf"))
     texts = texts.select("leaf", "line_key", "masked", "folds", F.pmod("line_key", "folds").alias("fold")).dropDuplicates(["leaf", "line_key"])
     parsed = stored(_parse_leaves(texts), "templates")
     large = stored(crowd.where("folds > 1"), "large-leaves")
@@ -146,7 +228,8 @@ def _cut(docs: DataFrame) -> DataFrame:
     gone = _dropped(docs)
     text = F.col("text").cast("string")
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    marked = docs.join(gone, (doc == F.col("of_doc")) & (F.xxhash64(text) == F.col("of_text")), "left")
+    # shuffled at every size: the dropped lines grow with the documents
+    marked = docs.join(gone.hint("merge"), (doc == F.col("of_doc")) & (F.xxhash64(text) == F.col("of_text")), "left")
     marked = marked.select(*[F.col(f"`{c}`") for c in docs.columns], text.alias("__text"), F.col("dropped").alias("__dropped"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in slices of about so many bytes; one longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -77,6 +77,15 @@ class Tokens:
     classes: np.ndarray  # class of each token
     doc: np.ndarray  # index of its text within the slice
     first: np.ndarray  # for each text, index of its first token; one entry more than texts
+    starts: np.ndarray  # byte range of each token in ``raw``
+    ends: np.ndarray
+    raw: np.ndarray  # the bytes of all texts of the slice
+    offsets: np.ndarray  # where each text begins there; one entry more than texts
+
+
+def _none(n: int) -> Tokens:
+    no = np.empty(0, np.int64)
+    return Tokens(np.empty(0, np.uint64), np.empty(0, np.uint8), no, np.zeros(n + 1, np.int64), no, no, np.empty(0, np.uint8), np.zeros(n + 1, np.int64))
 
 
 def tokens_of(texts: pa.Array, classes: np.ndarray, values: np.ndarray) -> Tokens:
@@ -84,14 +93,14 @@ def tokens_of(texts: pa.Array, classes: np.ndarray, values: np.ndarray) -> Token
     texts = texts.cast(pa.large_string()).combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts.cast(pa.large_string())
     n = len(texts)
     if n == 0:
-        return Tokens(np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, np.int64), np.zeros(1, np.int64))
+        return _none(0)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
     start, end = int(offsets[0]), int(offsets[-1])
     data = texts.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[start:end] if data is not None and end > start else np.empty(0, np.uint8)
     offsets = offsets - start
     if len(raw) == 0:
-        return Tokens(np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, np.int64), np.zeros(n + 1, np.int64))
+        return _none(n)
     kind = classes[raw]
     change = np.empty(len(raw) + 1, bool)
     change[0] = change[-1] = True
@@ -107,7 +116,12 @@ def tokens_of(texts: pa.Array, classes: np.ndarray, values: np.ndarray) -> Token
     hashes = mixed((total[ends] - total[starts]) * _power(_INVERSE, len(raw))[starts])
     first = np.searchsorted(starts, offsets)
     doc = np.repeat(np.arange(n), np.diff(first))
-    return Tokens(hashes, kind[starts], doc, first)
+    return Tokens(hashes, kind[starts], doc, first, starts, ends, raw, offsets)
+
+
+def powers(n: int) -> np.ndarray:
+    """Coefficients for the places 0 … n-1 of a sequence of hashes."""
+    return _power(_BASE, n)
 
 
 def slices(texts: pa.Array, bound: int = SLICE_BYTES):
