@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from paperlantern.llm import tokens as tk
 from paperlantern.llm.common import held_out, labelled_sample
 
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 BUCKETS = 1 << 14
 DIMENSIONS = 64
 NONZERO = 4

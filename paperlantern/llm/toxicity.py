@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from paperlantern.llm import tokens as tk
 from paperlantern.llm.common import held_out, labelled_sample
 
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 MAX_WORDS = 8_192
 #: A word is kept when its document frequencies in the classes differ by so many standard errors.
 MIN_Z = 3.5
