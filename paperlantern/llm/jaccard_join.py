@@ -327,7 +327,7 @@ def search(pairs: DataFrame, docs: DataFrame, documents: DataFrame) -> DataFrame
     tried = pairs.join(load, pairs.a == load.q).select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), "b")
     asked = load.select(F.col("q").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
     wanted = asked.withColumn("of", F.col("a")).unionByName(tried.withColumn("of", F.col("b")))
-    rows = wanted.join(sets, F.col("of") == sets.member).select("a", "salt", "b", "part", "shingles")
+    rows = wanted.join(sets.hint("merge"), F.col("of") == sets.member).select("a", "salt", "b", "part", "shingles")
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by query, the query's own parts (no ``b``) before its candidates'."""
