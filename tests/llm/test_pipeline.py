@@ -31,7 +31,7 @@ def corpus(spark, tmp_path_factory):
             lines.append("see " + ITEM + " there")
         docs.append((i, "\n".join(lines), "en", f"s{i % 4}"))
     for i in range(40):  # near copies, one long line each, so that lines differ
-        base = docs[i + 1][1].replace("\n", " ").split(" ")
+        base = docs[5 * i + 1][1].replace("\n", " ").split(" ")
         base[rng.randrange(len(base))] = f"x{'abcdefgh'[i % 8]}"
         docs.append((1000 + i, " ".join(base), "en", "s9"))
     docs += [(2000, None, "en", "s1"), (2001, "", None, None)]
