@@ -6,8 +6,7 @@ Equal sets are one class from the start, so copies are never paired.
 1. *Lists.*  Every class posts a few shingles, its first ones in one global order:
    by hash, the frequent shingles last.  A class of n shingles posts
    n - ceil(0.8 n) + ``SHARED`` of them, so linked classes share ``SHARED`` lists at
-   least; of large sets the first ``POSTED`` do, as all but some 1e-14 of linked pairs
-   share ``SHARED`` of so many.
+   least, whatever their size and in any such order.
 2. *Short and long lists.*  Documents on ``SHORT`` or fewer per list are merged: pairs are
    counted over short lists, and stay when the count and the long lists that both are
    on can reach ``SHARED``.  Long lists are not paired: each document on one is tried with
@@ -46,7 +45,6 @@ from paperlantern.llm.common import stored
 SHINGLE = 5
 PERCENT = 80
 SHARED = 4
-POSTED = 28
 SHORT = 64
 ROUNDS = 3
 #: Shingles that come last in the order, at most (the most frequent ones).
@@ -153,7 +151,7 @@ def posted(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np
     often = frequent[at] == shingles if len(frequent) else np.zeros(n, bool)
     last = shingles[often]
     order = np.concatenate([shingles[~often], last[np.lexsort((last, counts[at[often]]))]]) if often.any() else shingles
-    return order[: min(n - (PERCENT * n + 99) // 100 + SHARED, POSTED, n)]
+    return order[: min(n - (PERCENT * n + 99) // 100 + SHARED, n)]
 
 
 def lists(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:

@@ -93,6 +93,16 @@ def test_hot_lists_and_salts(spark, documents, monkeypatch):
     assert rows(jj.jaccard_components(documents(docs)), "doc_id", "n_shingles", "component_id") == brute(docs)
 
 
+@pytest.mark.parametrize("size,copies", [(600, 60), (600, 90), (5_000, 60)])
+def test_long_near_copies(spark, documents, size, copies):
+    """More shingles of their own than a fixed number of lists would hold; the shared ones are frequent."""
+    rng = random.Random(size + copies)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(size)]
+    docs = list(enumerate(near_copies(rng, base, copies, 0.01) + [" ".join(f"q{rng.randrange(900)}" for _ in range(size)) for _ in range(5)]))
+    found = rows(jj.jaccard_components(documents(docs).repartition(4)), "doc_id", "n_shingles", "component_id")
+    assert found == brute(docs)
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_divide_skip(seed):
     rng = random.Random(seed)
