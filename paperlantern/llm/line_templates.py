@@ -9,9 +9,12 @@ from all documents but the first (smallest doc_id), so no text is lost altogethe
 
 Lines travel as 64-bit hashes.  Copies of a line are counted before they meet; only
 leaves with several different lines in several documents are parsed, in order of
-their text.  A leaf with more than ``FOLD`` different lines is parsed in folds of about
-that size, and the templates of its folds are parsed once more; templates that are
-still in different folds then stay apart, so no task holds more than a fold.
+their text.  A line and the first line of its template differ in a share of
+1 - ``SIMILAR`` of their places at most, so of one block of places more than that number
+one block at least is equal in both.  A leaf with more than ``FOLD`` different lines is
+divided into the components of lines that are linked by equal blocks; no template has
+lines of two of them, so each is parsed alone, with the result of one pass over the
+leaf.  A component is one task's work, whatever its size.
 
 Inputs: ``documents`` (doc_id, text).  Lines end at ``\\n``; blank lines are kept.  A null
 text stays null.  Rows of one doc_id are one document; rows without doc_id are another,
@@ -31,6 +34,7 @@ from pyspark.sql import functions as F
 
 from paperlantern.llm import tokens as tk
 from paperlantern.llm.common import stored
+from paperlantern.llm.jaccard_join import components
 
 LEADING = 3
 SIMILAR = 0.8
@@ -139,28 +143,71 @@ def _masked_lines(docs: DataFrame, leaves: DataFrame) -> DataFrame:
     return _texts(docs).select("text").mapInArrow(give, "leaf long, line_key long, masked string")
 
 
+def _blocks(n: int, places: list[int], similar: float) -> list[list[int]]:
+    """``places`` in so many blocks that similar lines of n tokens, equal elsewhere, agree in one."""
+    k = int((1 - similar) * n + 1e-6) + 1
+    return [places[len(places) * i // k : len(places) * (i + 1) // k] for i in range(k)]
+
+
 def parse(lines: list[list[str]], similar: float = SIMILAR) -> tuple[list[int], list[list[str]]]:
-    """Template number of each line (all of one token count), and the templates."""
+    """Template number of each line (all of one token count), and the templates.
+
+    A line is compared with the templates whose first line has a block in common with it.
+    """
     numbers: dict[str, int] = {VARIABLE: 0}
     words = np.array([[numbers.setdefault(w, len(numbers)) for w in line] for line in lines], np.int32)
+    blocks = _blocks(words.shape[1], np.flatnonzero((words != words[0]).any(0)).tolist(), similar)
     templates = np.empty_like(words)
     of: list[int] = []
+    known: dict[tuple[int, bytes], list[int]] = {}
     n = 0
     for row in words:
-        if n:
-            agree = ((templates[:n] == row) & (templates[:n] >= 0)).sum(1)
-            best = int(agree.argmax())
-            if agree[best] >= similar * len(row) - 1e-9:
+        names = [(i, row[b].tobytes()) for i, b in enumerate(blocks)]
+        near = np.array(sorted({t for x in names for t in known.get(x, ())}), np.int64)
+        if len(near):
+            old = templates[near]
+            agree = ((old == row) & (old >= 0)).sum(1)
+            at = int(agree.argmax())
+            if agree[at] >= similar * len(row) - 1e-9:
+                best = int(near[at])
                 templates[best][templates[best] != row] = -1
                 of.append(best)
                 continue
         templates[n] = row
+        for x in names:
+            known.setdefault(x, []).append(n)
         of.append(n)
         n += 1
     names = [VARIABLE, *list(numbers)[1:]]
     return of, [[VARIABLE if w < 0 else names[w] for w in t] for t in templates[:n]]
 
 
+def _components(texts: DataFrame) -> DataFrame:
+    """(member, label): lines of crowded leaves, linked when they have an equal block.
+
+    Each line of a block is linked with one of them, so links grow with the lines.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members, leaves, numbers, blocks = [], [], [], []
+            for leaf, key, text in zip(*(batch[c].to_pylist() for c in ("leaf", "line_key", "masked"))):
+                words = text.split(" ")
+                for i, block in enumerate(_blocks(len(words), list(range(LEADING, len(words))), SIMILAR)):
+                    members.append(key)
+                    leaves.append(leaf)
+                    numbers.append(i)
+                    blocks.append(" ".join(words[j] for j in block))
+            columns = [pa.array(members, pa.int64()), pa.array(leaves, pa.int64()), pa.array(numbers, pa.int64()), pa.array(blocks, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["member", "leaf", "number", "block"])
+
+    rows = texts.select("leaf", "line_key", "masked").mapInArrow(cut, "member long, leaf long, number long, block string")
+    rows = stored(rows.select("member", F.xxhash64("leaf", "number", "block").alias("block")), "line-blocks")
+    head = rows.groupBy(F.col("block").alias("of_block")).agg(F.min("member").alias("head"))
+    links = rows.join(head, rows.block == F.col("of_block")).select(F.col("member").alias("a"), F.col("head").alias("b"))
+    return components(texts.sparkSession, links)
+
+
 _PARSED = "leaf long, line_key long, template long, masked string"
 
 
@@ -200,14 +247,14 @@ def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     crowd = stored(crowd.where("n > 1 AND lo != hi").select(F.col("leaf").alias("of_leaf"), F.ceil(F.col("n") / FOLD).alias("folds")), "leaves")
     # one text of each different line in those leaves
     texts = _masked_lines(docs, crowd).join(crowd, F.col("leaf") == F.col("of_leaf"))
-    texts = texts.select("leaf", "line_key", "masked", "folds", F.pmod("line_key", "folds").alias("fold")).dropDuplicates(["leaf", "line_key"])
-    parsed = stored(_parse_leaves(texts), "templates")
-    large = stored(crowd.where("folds > 1"), "large-leaves")
-    again = parsed.join(large.select("of_leaf"), parsed.leaf == large.of_leaf, "left_semi").select("leaf", F.col("template").alias("line_key"), "masked").distinct()
-    count = again.groupBy(F.col("leaf").alias("of_leaf")).agg(F.ceil(F.count("*") / FOLD).alias("folds"))
-    again = again.join(count, again.leaf == F.col("of_leaf")).withColumn("fold", F.pmod("line_key", "folds"))
-    merged = _parse_leaves(again).select(F.col("line_key").alias("was"), F.col("template").alias("now"))
-    final = parsed.join(merged, parsed.template == F.col("was"), "left").select("line_key", F.coalesce("now", "template").alias("template"))
+    texts = stored(texts.select("leaf", "line_key", "masked", "folds").dropDuplicates(["leaf", "line_key"]), "leaf-lines")
+    plain = texts.where("folds = 1").withColumn("fold", F.lit(0).cast("long"))
+    large = texts.where("folds > 1")
+    if not large.isEmpty():
+        of = _components(large)
+        large = large.join(of, large.line_key == of.member, "left").withColumn("fold", F.coalesce("label", "line_key"))
+        plain = plain.unionByName(large.select(*plain.columns))
+    final = _parse_leaves(plain).select("line_key", "template")
     final = stored(final, "final-templates")
     placed = known.join(final.withColumnRenamed("line_key", "k"), F.col("line_key") == F.col("k"), "left")
     placed = stored(placed.select("line_key", F.coalesce("template", "line_key").alias("template"), "lo", "hi"), "placed-lines")

@@ -88,6 +88,20 @@ def test_crowded_leaf_in_folds(spark, documents, monkeypatch):
     assert sum(n for _, n in found) == len(docs) - 1 and (0, 0) in found
 
 
+def test_two_line_templates_of_a_crowded_leaf(spark, documents):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(4))
+    docs = []
+    for i in range(0, 2_400, 2):
+        line = ["job", "done", "by", *(word() for _ in range(9))]
+        other = list(line)
+        for at in rng.sample(range(3, 12), 2):
+            other[at] = word()
+        docs += [(i, " ".join(line)), (i + 1, " ".join(other))]
+    found = rows(lt.drop_lines(documents(docs)), *COLUMNS)
+    assert found == brute(docs) and sum(r[3] for r in found) >= 1_190
+
+
 def true_nearest(ids, x, q_ids, k=5):
     out = {}
     x = np.asarray(x, float)
