@@ -4,8 +4,10 @@ A small tree builder follows the tags: it closes what the next tag implies close
 ``p`` before a block, an ``li`` before the next, table parts), adds the row that a lone
 cell implies, and ignores stray end tags.  Elements are invisible by kind (``head``,
 ``script``, …), by attribute (``hidden``, inline style) or by a plain rule of the page's
-own style sheet (a tag, class or id with ``display:none`` or ``visibility:hidden``).  All
-other text is kept: blocks on lines of their own, paragraphs and headings apart by a
+own style sheet (a tag, class or id with ``display:none`` or ``visibility:hidden``).  Of
+several rules the important, the more specific, then the later one counts; at-rules count
+when they hold on a screen of ``WIDTH`` pixels.  A visible element inside one of hidden
+visibility is seen.  All other text is kept: blocks on lines of their own, paragraphs and headings apart by a
 blank line, list items with marks and indents, cells of tables in aligned columns.
 
 Elements are handled as they open and close, with a stack and no recursion, so depth
@@ -28,9 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PAD = 60
+WIDTH = 1280
 #: Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head title script style template noscript iframe object audio video canvas svg math datalist".split())
+UNSEEN = frozenset("head title script style template noscript iframe object audio video canvas datalist".split())
+#: The same inside svg and math.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker annotation annotation-xml".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure form fieldset hr".split())
 BLOCKS = APART | frozenset(
     "html body div section article aside header footer nav main address center li dt dd tr caption legend details summary "
@@ -56,11 +61,72 @@ IMPLIED = {
 }
 _SCOPE = frozenset("table td th caption button".split())
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_OFF = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_QUIET = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|<!--|-->""", re.S)
+_MARK = re.compile(r"[{};]")
+_SET = re.compile(r"\s*(display|visibility)\s*:\s*([\w-]+)[^!]*(!\s*important)?\s*", re.I)
+_WIDE = re.compile(r"\(\s*(min-width\s*:|max-width\s*:|width\s*[<>]=?)\s*([\d.]+)(px|em|rem)\s*\)")
 _SIMPLE = re.compile(r"[.#]?[\w-]+")
 
 
+def _fits(part: str) -> bool | None:
+    """Whether a part of a media query holds on the screen; None: not known."""
+    if not part.startswith("("):
+        return part in ("screen", "all")
+    if part.replace(" ", "") in ("(orientation:landscape)", "(orientation:portrait)"):
+        return "landscape" in part
+    m = _WIDE.fullmatch(part)
+    if not m:
+        return None
+    sign, edge = m[1].replace(" ", ""), float(m[2]) * (1 if m[3] == "px" else 16)
+    if sign.startswith("min") or ">" in sign:
+        return WIDTH > edge or WIDTH == edge and sign != "width>"
+    return WIDTH < edge or WIDTH == edge and sign != "width<"
+
+
+def on_screen(query: str) -> bool:
+    """Whether a list of media queries holds on a screen; one that cannot be told does not."""
+    for one in _SPACE.sub(" ", query.lower()).split(","):
+        one = one.strip().removeprefix("only ")
+        fits = [_fits(p.strip()) for p in one.removeprefix("not ").split(" and ")] if one else [True]
+        if None not in fits and all(fits) != one.startswith("not "):
+            return True
+    return False
+
+
+def _set(text: str) -> tuple[str, str, bool] | None:
+    """(property, value, important) of a declaration that can hide."""
+    m = _SET.fullmatch(text)
+    return (m[1].lower(), m[2].lower(), bool(m[3])) if m else None
+
+
+def sheet_rules(sheet: str) -> Iterator[tuple[str, list[tuple[str, str, bool]]]]:
+    """(selectors, declarations that can hide) of the rules that apply on a screen, in order."""
+    sheet = _QUIET.sub(" ", sheet)
+    blocks: list[tuple[bool, str | None, list]] = []  # applies; selectors of a rule; its declarations
+    last = 0
+    for m in [*_MARK.finditer(sheet), None]:
+        text, mark = sheet[last : m.start() if m else len(sheet)].strip(), m[0] if m else ""
+        last = m.end() if m else last
+        if mark == "{":
+            applies = not blocks or blocks[-1][0] and blocks[-1][1] is None
+            if text.startswith("@"):
+                name, *rest = re.split(r"(?=[\s(])", text[1:], maxsplit=1)
+                rest = "".join(rest).strip()
+                holds = {"media": lambda: on_screen(rest), "supports": lambda: not rest.startswith("not"), "layer": lambda: True}
+                blocks.append((applies and name.lower() in holds and holds[name.lower()](), None, []))
+            else:
+                blocks.append((applies, text, []))
+            continue
+        if blocks and blocks[-1][1] is not None and (found := _set(text)):
+            blocks[-1][2].append(found)
+        while blocks and mark != ";":
+            applies, selectors, declarations = blocks.pop()
+            if applies and selectors is not None and declarations:
+                yield selectors, declarations
+            if mark:
+                break
+
+
 class Canvas:
     """Lines of text under an indent; asks for blank lines before the next content."""
 
@@ -182,10 +248,10 @@ class Grid:
 
 
 class Element:
-    __slots__ = ("tag", "seen", "kept", "canvas", "grid", "number", "spans")
+    __slots__ = ("tag", "shown", "seen", "kept", "canvas", "grid", "number", "spans")
 
-    def __init__(self, tag: str, seen: bool, kept: bool):
-        self.tag, self.seen, self.kept = tag, seen, kept
+    def __init__(self, tag: str, shown: bool, seen: bool, kept: bool):
+        self.tag, self.shown, self.seen, self.kept = tag, shown, seen, kept  # shown: has a box; seen: its text is visible
         self.canvas: Canvas | None = None  # of the element outside, while a cell or caption has its own
         self.grid: Grid | None = None
         self.number: int | None = None
@@ -198,7 +264,9 @@ class Page(HTMLParser):
         self.canvas = Canvas()
         self.stack: list[Element] = []
         self.open: dict[str, int] = {}
-        self.off: set[str] = set()
+        self.rules: dict[str, dict[str, tuple[bool, int, int, str]]] = {}  # by selector and property, the one that counts
+        self.order = 0
+        self.media = ""
         self.sheet: list[str] = []
 
     # the tree
@@ -219,7 +287,9 @@ class Page(HTMLParser):
             self._push(tag, given)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)  # the slash of a non-void element means nothing
+        self.handle_starttag(tag, attrs)  # the slash of a non-void element means nothing, but in svg and math
+        if (self.open.get("svg") or self.open.get("math")) and self.stack[-1].tag == tag:
+            self._pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "p" and not self.open.get("p"):
@@ -255,21 +325,39 @@ class Page(HTMLParser):
             if tag in limit:
                 return
 
-    def _hidden(self, tag: str, given: dict) -> bool:
-        if tag in UNSEEN or "hidden" in given or given.get("style") and _OFF.search(given["style"]):
-            return True
-        if not self.off:
-            return False
-        names = [tag, "#" + (given.get("id") or ""), *("." + c for c in (given.get("class") or "").split())]
-        return any(n in self.off for n in names)
+    def _look(self, tag: str, given: dict) -> tuple[bool, bool]:
+        """(shown, seen) of an element that opens here."""
+        above = self.stack[-1] if self.stack else None
+        shown, visible = (above.shown, above.seen) if above is not None else (True, True)
+        if not shown or tag in UNSEEN or tag in UNDRAWN and (self.open.get("svg") or self.open.get("math")):
+            return False, False
+        style = given.get("style")
+        if not self.rules and not style:
+            shown = "hidden" not in given
+            return shown, shown and visible
+        counts: dict[str, tuple[bool, int, int, str]] = {}
+        if self.rules:
+            for name in (tag, "#" + (given.get("id") or ""), *("." + c for c in (given.get("class") or "").split())):
+                for what, rule in self.rules.get(name, {}).items():
+                    counts[what] = max(counts.get(what, rule), rule)
+        for i, found in enumerate(map(_set, _QUIET.sub(" ", style).split(";") if style else ())):
+            if found:
+                rule = (found[2], 3, i, found[1])
+                counts[found[0]] = max(counts.get(found[0], rule), rule)
+        shown = counts["display"][3] != "none" if "display" in counts else "hidden" not in given
+        value = counts["visibility"][3] if "visibility" in counts else ""
+        visible = value not in ("hidden", "collapse") if value in ("hidden", "collapse", "visible", "initial") else visible
+        return shown, shown and visible
 
     def _push(self, tag: str, given: dict) -> None:
         above = self.stack[-1] if self.stack else None
-        seen = (above is None or above.seen) and not self._hidden(tag, given)
-        e = Element(tag, seen, tag in ("pre", "textarea") or above is not None and above.kept)
+        shown, seen = self._look(tag, given)
+        e = Element(tag, shown, seen, tag in ("pre", "textarea") or above is not None and above.kept)
+        if tag == "style":
+            self.media = given.get("media") or ""
         self.stack.append(e)
         self.open[tag] = self.open.get(tag, 0) + 1
-        if seen:
+        if shown:
             self._enter(e, given)
 
     def _pop(self) -> None:
@@ -277,7 +365,7 @@ class Page(HTMLParser):
         self.open[e.tag] -= 1
         if e.tag == "style":
             self._read_sheet()
-        if e.seen:
+        if e.shown:
             self._leave(e)
 
     # the layout
@@ -290,13 +378,18 @@ class Page(HTMLParser):
         self.canvas.text(data, bool(self.stack) and self.stack[-1].kept)
 
     def _read_sheet(self) -> None:
-        for selectors, body in _RULE.findall("".join(self.sheet)):
-            if _OFF.search(body):
-                self.off |= {s.strip() for s in selectors.split(",") if _SIMPLE.fullmatch(s.strip())}
+        for selectors, declarations in sheet_rules("".join(self.sheet)) if on_screen(self.media) else ():
+            for name in (s.strip() for s in selectors.split(",")):
+                if _SIMPLE.fullmatch(name):
+                    for what, value, important in declarations:
+                        self.order += 1
+                        rule = (important, " .#".find(name[0]) if name[0] in ".#" else 0, self.order, value)
+                        known = self.rules.setdefault(name if name[0] in ".#" else name.lower(), {})
+                        known[what] = max(known.get(what, rule), rule)
         self.sheet = []
 
     def _void(self, tag: str, given: dict) -> None:
-        if self.stack and not self.stack[-1].seen or self._hidden(tag, given):
+        if not self._look(tag, given)[1]:
             return
         if tag == "br":
             self.canvas.end_line(always=True)
@@ -346,6 +439,8 @@ class Page(HTMLParser):
                 canvas.indents.append("  ")
         elif tag in BLOCKS:
             canvas.end_line()
+        elif tag == "text" and self.open.get("svg"):
+            canvas.text(" ", False)
 
     def _leave(self, e: Element) -> None:
         tag = e.tag
@@ -365,6 +460,8 @@ class Page(HTMLParser):
             canvas.gap()
         elif tag in BLOCKS and not (tag == "tr" and self._grid()):
             canvas.end_line()
+        elif tag == "text" and self.open.get("svg"):
+            canvas.text(" ", False)
 
     def rendered(self) -> str:
         self.close()

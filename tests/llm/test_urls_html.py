@@ -79,6 +79,25 @@ def test_rendering(html, text):
         assert rendered == text
 
 
+STYLED = [
+    ("<style>@media print { .nav { display:none } } .ad{display:none}</style><p class=nav>a</p><p class=ad>no</p>b", "a\n\nb"),
+    ("<style>@media (max-width:600px){.s{display:none}} @media screen and (min-width:600px){.m{display:none}}</style><p class=s>a<p class=m>no", "a"),
+    ("<style>@import 'x'; .menu{display:none} .menu{display:block} /* } */ #i{display:none}</style><p class=menu>a<p id=i class=menu>no", "a"),
+    ("<style>.a{display:none !important} .a{display:block}</style><p class=a>no<p>b", "b"),
+    ("<style media=print>p{display:none}</style><p>a", "a"),
+    ("<style>@font-face{src:url(x)} @keyframes k{from{visibility:hidden}} .x{color:red;visibility:hidden", ""),
+    ("<style>p{display:none}</style><p style='display:block'>a", "a"),
+    ("<div style='visibility:hidden'>no <b style='visibility:visible'>a</b></div>b", "a\nb"),
+    ("<div style='display:none'>no <b style='visibility:visible;display:block'>no</b></div>b", "b"),
+    ("x <svg><title>no</title><desc/><path d='M0'/><text>one</text><text>two</text></svg> <math><mi>y</mi><mo>=</mo><mn>2</mn></math>", "x one two y=2"),
+]
+
+
+@pytest.mark.parametrize("html,text", STYLED)
+def test_styled_pages(html, text):
+    assert html_text.render(html) == text
+
+
 def test_deep_and_wide_pages():
     assert html_text.render("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
     wide = html_text.render("<table>" + "".join(f"<tr><td>{'w' * 5_000 if i == 0 else i}<td>b" for i in range(2_000)) + "</table>")
