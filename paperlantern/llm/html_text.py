@@ -65,6 +65,7 @@ _QUIET = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'
 _MARK = re.compile(r"[{};]")
 _SET = re.compile(r"\s*(display|visibility)\s*:\s*([\w-]+)[^!]*(!\s*important)?\s*", re.I)
 _WIDE = re.compile(r"\(\s*(min-width\s*:|max-width\s*:|width\s*[<>]=?)\s*([\d.]+)(px|em|rem)\s*\)")
+_INTEGER = re.compile(r"[ \t\n\r\f]*([+-]?[0-9]{1,18})(?![0-9])")
 _SIMPLE = re.compile(r"[.#]?[\w-]+")
 
 
@@ -197,6 +198,11 @@ def _span(value: str | None) -> int:
     return min(max(int(value), 1), 1000) if value and value.strip().isdigit() and len(value) < 9 else 1
 
 
+def _integer(value: str | None, default: int) -> int:
+    m = _INTEGER.match(value or "")
+    return int(m[1]) if m else default
+
+
 class Grid:
     """Rows of a table; a cell is (column, number of columns, lines)."""
 
@@ -232,8 +238,10 @@ class Grid:
             for column, columns, lines in row:
                 longest = max(map(len, lines), default=0) if columns == 1 else 0
                 width[column] = max(width.get(column, 0), min(longest, PAD))
-        columns = sorted(width)
-        start = dict(zip(columns, (sum(width[c] + 2 for c in columns[:i]) for i in range(len(columns))))) if len(columns) <= 200 else {}
+        start, at = {}, 0
+        for column in sorted(width):
+            start[column] = at
+            at += width[column] + 2
         out = []
         for row in self.rows:
             for i in range(max((len(lines) for _, _, lines in row), default=0)):
@@ -414,8 +422,7 @@ class Page(HTMLParser):
             canvas.end_line()
             owner = next((x for x in reversed(self.stack[:-1]) if x.tag in ("ul", "ol", "menu", "dir")), None)
             if owner is not None and owner.number is not None:
-                value = given.get("value") or ""
-                owner.number = int(value) if value.isdigit() and len(value) < 9 else owner.number
+                owner.number = _integer(given.get("value"), owner.number)
                 canvas.mark = f"{owner.number}. "
                 owner.number += 1
             else:
@@ -429,7 +436,7 @@ class Page(HTMLParser):
                 canvas.end_line()
             else:
                 canvas.gap()
-            e.number = _span(given.get("start")) if tag == "ol" else None
+            e.number = _integer(given.get("start"), 1) if tag == "ol" else None
         elif tag == "table":
             canvas.gap()
             e.grid = Grid()

@@ -98,6 +98,16 @@ def test_styled_pages(html, text):
     assert html_text.render(html) == text
 
 
+@pytest.mark.parametrize("start", [1500, 0, -3])
+def test_list_starts(start):
+    assert html_text.render(f"<ol start={start}><li>a<li>b</ol>") == f"{start}. a\n{start + 1}. b"
+
+
+def test_columns_of_a_wide_table():
+    one, two = html_text.render("<table><tr>" + "<td>aaa" * 300 + "<tr>" + "<td>b" * 300 + "</table>").split("\n")
+    assert len(one) == 5 * 299 + 3 and len(two) == 5 * 299 + 1
+
+
 def test_deep_and_wide_pages():
     assert html_text.render("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
     wide = html_text.render("<table>" + "".join(f"<tr><td>{'w' * 5_000 if i == 0 else i}<td>b" for i in range(2_000)) + "</table>")
