@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlantern.llm import ann, decontaminate, html_text, jaccard_join, language, line_templates, mixing, quality, toxicity, urls
+from paperlantern.llm import ann, decontaminate, html_text, jaccard_join, language, line_templates, mixing, quality, resampling, sharding, toxicity, urls, whitening
 from paperlantern.llm.common import table
 
 
@@ -50,13 +50,27 @@ def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+def op12_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.importance_ranks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op13_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_language_id, op3_toxicity, op4_quality, op5_line_dedup, op6_nearest_neighbours,
         op7_decontamination, op8_mixing, op9_url_filter, op10_html_extraction,
+        op11_whitening, op12_resampling, op13_sharding,
     )
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": jaccard_join.SQL, "op7_decontamination": decontaminate.SQL, "op8_mixing": mixing.SQL, "op9_url_filter": urls.SQL,
+    "op12_resampling": resampling.SQL,
 }
