@@ -25,7 +25,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that :func:`stored` wrote, once all that was made of them is written."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -4,16 +4,20 @@ Documents are sets of five-word shingles; two link at a Jaccard similarity of 0.
 Equal sets are one class from the start, so copies are never paired.
 
 1. *Lists.*  Every class posts a few shingles, its first ones in one global order:
-   by hash, the frequent shingles last.  A class of n shingles posts
-   n - ceil(0.8 n) + ``SHARED`` of them, so linked classes share ``SHARED`` lists at
-   least, whatever their size and in any such order.
+   by hash, the frequent shingles last.  A class of n shingles posts n - ceil(0.8 n) + 1
+   of them, so linked classes share a list, whatever their size and in any such order.
+   Of two classes that have to share k shingles, the first shared one is among the first
+   n - k + 1 of either: a posting carries its place, and a pair needs a list
+   on which both places are that early.
 2. *Short and long lists.*  Documents on ``SHORT`` or fewer per list are merged: pairs are
-   counted over short lists, and stay when the count and the long lists that both are
-   on can reach ``SHARED``.  Long lists are not paired: each document on one is tried with
-   the one document that shares most long lists with it as their head.  Links found
-   so join classes; lists whose documents are all in one class are done.  After
-   ``ROUNDS`` such rounds the pairs left on long lists, between different classes only,
-   are counted like the others.  No pair is dropped for the length of a list.
+   counted over short lists, and stay when the count, the long lists that both are on
+   and all that is not posted can reach the overlap that 0.8 needs.  Long lists are not
+   paired: each document on one is tried with the one document that shares most long lists
+   with it as their head.  Links found so join classes; lists whose documents are all in
+   one class are done.  After ``ROUNDS`` such rounds the early places left on long lists,
+   between different classes only, are paired.  Documents half alike have too many
+   shingles of their own before the first shared one, so they make no pairs.
+   No pair is dropped for the length of a list.
 3. *Search.*  Each larger set is a query over the whole sets of its candidates:
    :func:`divide_skip` heap-merges the short lists, probes the long ones by binary
    search, and keeps documents that reach the overlap which 0.8 needs.
@@ -40,11 +44,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlantern.llm import tokens as tk
-from paperlantern.llm.common import stored
+from paperlantern.llm.common import release, stored
 
 SHINGLE = 5
 PERCENT = 80
-SHARED = 4
+#: Sets of fewer shingles link with equal sets only.
+LEAST = 4
 SHORT = 64
 ROUNDS = 3
 #: Shingles that come last in the order, at most (the most frequent ones).
@@ -54,10 +59,13 @@ REPORTED = 4
 #: Postings of one salt of a frequent list, candidates of one salt of a query.
 SALT_ROWS = 2_000
 UNIT_ROWS = 500
-#: Bits (as a power of two) that tell which documents' whole sets are wanted.
-FIELD_BITS = 23
+#: Bits (as a power of two, and for each document wanted) that tell whose whole sets are wanted.
+FIELD_BITS = 27
+BITS_EACH = 16
 #: Shingles of a set that travel in one row, so that a batch of rows has a bounded size.
 PART = 256
+#: A posting's size and place share a number.
+PLACE_BITS = 31
 _COEFFICIENTS = [np.uint64(c | 1) for c in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x2F4A6C1B7D93E5F7)]
 
 
@@ -151,13 +159,13 @@ def posted(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np
     often = frequent[at] == shingles if len(frequent) else np.zeros(n, bool)
     last = shingles[often]
     order = np.concatenate([shingles[~often], last[np.lexsort((last, counts[at[often]]))]]) if often.any() else shingles
-    return order[: min(n - (PERCENT * n + 99) // 100 + SHARED, n)]
+    return order[: n - (PERCENT * n + 99) // 100 + 1]
 
 
 def lists(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(token, salt, member, size) of lists with two members at least; salted lists in full.
+    """(token, salt, member, size, place) of lists with two members at least; salted lists in full.
 
-    Sets of fewer than SHARED shingles link with equal sets only and are not posted.
+    Sets of fewer than LEAST shingles link with equal sets only and are not posted.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((frequent, counts))
@@ -168,7 +176,7 @@ def lists(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFram
         for batch in batches:
             tokens, members, sizes = [], [], []
             for _, s in _sets(batch["text"]):
-                if len(s) < SHARED or (key := set_key(s)) in seen:
+                if len(s) < LEAST or (key := set_key(s)) in seen:
                     continue
                 seen.add(key)
                 tokens.append(posted(s, often, often_counts))
@@ -183,19 +191,20 @@ def lists(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFram
             load = np.where(often[at] == token, often_counts[at], 0) if len(often) else np.zeros(len(token), np.int64)
             salts = -(-load // SALT_ROWS)
             salt = np.where(salts > 1, np.abs(member >> 5) % np.maximum(salts, 1), -1)
-            yield _postings(token.view(np.int64), salt, member, np.repeat(np.array(sizes, np.int64), n))
+            place = np.concatenate([np.arange(k) for k in n])
+            yield _postings(token.view(np.int64), salt, member, np.repeat(np.array(sizes, np.int64), n) << PLACE_BITS | place)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by list and member: drop repeats, and lists of one member."""
-        names = ("token", "salt", "member", "size")
+        names = ("token", "salt", "member", "shape")
         before, open_run = None, False  # the last row so far; whether its list has been given out
         for batch in batches:
-            token, salt, member, size = (batch[c].to_numpy() for c in names)
+            token, salt, member, shape = (batch[c].to_numpy() for c in names)
             if before is not None:
-                token, salt, member, size = (np.append(b, x) for b, x in zip(before, (token, salt, member, size)))
+                token, salt, member, shape = (np.append(b, x) for b, x in zip(before, (token, salt, member, shape)))
             new = np.append(True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]))
             fresh = new | np.append(True, member[1:] != member[:-1])
-            token, salt, member, size, new = (x[fresh] for x in (token, salt, member, size, new))
+            token, salt, member, shape, new = (x[fresh] for x in (token, salt, member, shape, new))
             run = np.cumsum(new) - 1
             keep = (np.bincount(run)[run] > 1) | (salt >= 0)
             out = keep.copy()
@@ -203,31 +212,55 @@ def lists(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFram
                 keep |= run == 0
                 out |= run == 0
                 out[0] = False  # given out with the batch before
-            before, open_run = tuple(x[-1:] for x in (token, salt, member, size)), bool(keep[-1])
+            before, open_run = tuple(x[-1:] for x in (token, salt, member, shape)), bool(keep[-1])
             if out.any():
-                yield _postings(*(x[out] for x in (token, salt, member, size)))
+                yield _postings(*(x[out] for x in (token, salt, member, shape)))
 
-    schema = "token long, salt long, member long, size long"
+    schema = "token long, salt long, member long, shape long"
     postings = docs.select(F.col("text").cast("string")).where("text IS NOT NULL").mapInArrow(post, schema)
-    return postings.repartition("token", "salt").sortWithinPartitions("token", "salt", "member").mapInArrow(joined, schema)
+    met = postings.repartition("token", "salt").sortWithinPartitions("token", "salt", "member").mapInArrow(joined, schema)
+    place = F.col("shape").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("place")
+    return met.select("token", "salt", "member", F.shiftright("shape", PLACE_BITS).alias("size"), place)
 
 
 def _postings(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "salt", "member", "size"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "salt", "member", "shape"])
 
 
 def _near_sizes(a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
 
 
-def _pairs_within(rows: DataFrame) -> DataFrame:
-    """(a, b, n): pairs of members on one list, with the number of such lists; a has the larger set."""
-    a = rows.select("token", F.col("member").alias("a"), F.col("size").alias("a_size"), F.col("label").alias("a_label"), F.col("others").alias("a_others"))
-    b = rows.select(F.col("token").alias("on"), F.col("member").alias("b"), F.col("size").alias("b_size"), F.col("label").alias("b_label"), F.col("others").alias("b_others"))
+def _needed(a: str, b: str):
+    """Shingles that sets of these sizes have to share."""
+    return F.ceil((F.col(a) + F.col(b)) * PERCENT / (100 + PERCENT)).cast("long")
+
+
+def _met(rows: DataFrame, *carried: str) -> DataFrame:
+    """Members a and b of one list, a with the larger set; ``early``: both in the places of a first shared shingle."""
+    a, b = (rows.select(F.col("token").alias(f"{x}_token"), F.col("member").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("size", "place", *carried)]) for x in "ab")
     larger = (F.col("a_size") > F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a") > F.col("b")))
-    met = a.join(b, (a.token == b.on) & larger & _near_sizes("a_size", "b_size") & (F.col("a_label") != F.col("b_label")))
-    counted = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("a_others").alias("a_others"), F.first("b_others").alias("b_others"))
-    return counted.where(F.col("n") + F.least("a_others", "b_others") >= SHARED).select("a", "b")
+    needed = _needed("a_size", "b_size")
+    early = (F.col("a_place") <= F.col("a_size") - needed) & (F.col("b_place") <= F.col("b_size") - needed)
+    on = (F.col("a_token") == F.col("b_token")) & larger & _near_sizes("a_size", "b_size")
+    if "label" in carried:  # only early places count there
+        on = on & (F.col("a_label") != F.col("b_label")) & early
+    return a.join(b, on).withColumn("early", early)
+
+
+def _pairs_on_short(rows: DataFrame) -> DataFrame:
+    """(a, b) that meet early and can reach their overlap: shared short lists, long lists
+    that both are on, and what the larger set doesn't post."""
+    counted = _met(rows, "others").groupBy("a", "b").agg(
+        F.count("*").alias("n"), F.max("early").alias("early"), *[F.first(c).alias(c) for c in ("a_size", "b_size", "a_others", "b_others")])
+    unposted = F.ceil(F.col("a_size") * PERCENT / 100).cast("long") - 1
+    reach = F.col("n") + F.least("a_others", "b_others") + unposted
+    return counted.where(F.col("early") & (reach >= _needed("a_size", "b_size"))).select("a", "b")
+
+
+def _pairs_on_long(rows: DataFrame) -> DataFrame:
+    """(a, b) of different classes that meet early on a long list."""
+    return _met(rows, "label").select("a", "b").distinct()
 
 
 def _others(rows: DataFrame, elsewhere: DataFrame) -> DataFrame:
@@ -318,9 +351,8 @@ def linked(query: np.ndarray, candidates: Sequence[np.ndarray]) -> list[int]:
     return [i for i, n in found.items() if 100 * n >= PERCENT * (len(query) + len(candidates[i]) - n)]
 
 
-def search(pairs: DataFrame, docs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` that link: each ``a`` is a query over the sets of its ``b``."""
-    sets = _whole_sets(docs, documents, pairs.select(F.col("a").alias("member")).union(pairs.select("b")).distinct())
+def search(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` that link: each ``a`` is a query over the ``sets`` of its ``b``."""
     load = pairs.groupBy(F.col("a").alias("q")).agg(F.ceil(F.count("*") / UNIT_ROWS).alias("salts"))
     tried = pairs.join(load, pairs.a == load.q).select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), "b")
     asked = load.select(F.col("q").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
@@ -370,16 +402,23 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         parent = stored(parent.select("node", F.least("node", "near").alias("up")), "parents")
         for _ in range(2):
             above = parent.select(F.col("node").alias("n2"), F.col("up").alias("up2"))
-            parent = stored(parent.join(above, parent.up == above.n2).select("node", F.col("up2").alias("up")), "parents")
+            parent = _after(stored(parent.join(above, parent.up == above.n2).select("node", F.col("up2").alias("up")), "parents"), parent)
         up_a, up_b = parent.toDF("na", "ua"), parent.toDF("nb", "ub")
-        labels = labels.join(parent, labels.label == parent.node, "left").select("member", F.coalesce("up", "label").alias("label"))
-        labels = stored(labels, "labels")
         moved = edges.join(up_a, F.col("a") == F.col("na")).join(up_b, F.col("b") == F.col("nb"))
         moved = moved.where("ua != ub").select(F.greatest("ua", "ub").alias("a"), F.least("ua", "ub").alias("b"))
-        edges = stored(moved.distinct(), "links")
+        edges = _after(stored(moved.distinct(), "links"), edges)
+        raised = labels.join(parent, labels.label == parent.node, "left").select("member", F.coalesce("up", "label").alias("label"))
+        labels = _after(stored(raised, "labels"), labels, parent)
+    release(edges)
     return labels
 
 
+def _after(new: DataFrame, *old: DataFrame) -> DataFrame:
+    """``new``, written already, in place of the tables it was made of."""
+    release(*old)
+    return new
+
+
 # the operator
 
 
@@ -410,22 +449,29 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     on_short = rows.join(long, rows.token == long.t, "left_anti")
     on_long = stored(rows.join(long, rows.token == long.t, "left_semi"), "on-long-lists")
 
-    merged = _others(_labelled(on_short, None), on_long)
-    links = stored(search(stored(_pairs_within(merged).unionByName(_heads(_labelled(on_long, None), 0)).distinct(), "pairs"), docs, documents), "found-links")
+    pairs = stored(_pairs_on_short(_others(on_short, on_long)).unionByName(_heads(_labelled(on_long, None), 0)).distinct(), "pairs")
+    release(rows, long)
+    # all that this and the later rounds may ask for is read once
+    members = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).union(on_long.select("member")).distinct()
+    sets = stored(_whole_sets(docs, documents, members), "whole-sets")
+    links = stored(search(pairs, sets), "found-links")
+    release(pairs)
     labels = components(spark, links)
     for turn in range(1, ROUNDS + 1):
         left = stored(_divided(_labelled(on_long, labels)), "divided-lists")
         if left.isEmpty():
+            release(left)
             break
-        pairs = _heads(left, turn) if turn < ROUNDS else _pairs_within(_others(left, on_short))
-        links = stored(links.unionByName(search(stored(pairs.distinct(), "pairs"), docs, documents)), "found-links")
-        labels = components(spark, links)
+        pairs = stored((_heads(left, turn) if turn < ROUNDS else _pairs_on_long(left)).distinct(), "pairs")
+        links = _after(stored(links.unionByName(search(pairs, sets)), "found-links"), links, pairs, left)
+        labels = _after(components(spark, links), labels)
+    release(on_long, sets)
     return documents, labels, links
 
 
-def _slots(ids: np.ndarray) -> np.ndarray:
-    """Place of each document id in the bit field."""
-    return ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FIELD_BITS)).astype(np.int64)
+def _slots(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Place of each document id in a bit field of 2**bits."""
+    return ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -433,26 +479,32 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _whole_sets(docs: DataFrame, documents: DataFrame, members: DataFrame) -> DataFrame:
-    """(member, part, shingles) of a document of every member; more may be in it.
+    """(member, part, shingles) of a document of every member; a few others may be in it.
 
-    Texts are not shuffled for this: a bit field of fixed size, made of the ids of
-    the documents wanted, tells the scan which texts to turn into sets.
+    Texts are not shuffled for this: a bit field, made of the ids of the documents
+    wanted, tells the scan which texts to turn into sets.  It grows with their
+    number up to 2**FIELD_BITS bits; beyond that more sets are read than needed.
     """
     wanted = documents.join(members, documents.key == members.member, "left_semi").groupBy("key").agg(F.min(F.struct("doc_id")).alias("d"))
+    wanted = stored(wanted.select("d.doc_id"), "wanted-documents")
+    bits = min(FIELD_BITS, max(10, (wanted.count() * BITS_EACH).bit_length()))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slots(_ids(batch["doc_id"]))))], ["slot"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slots(_ids(batch["doc_id"]), bits)))], ["slot"])
 
-    slots = wanted.select("d.doc_id").mapInArrow(place, "slot long").distinct().toArrow()["slot"].to_numpy()
-    field = np.zeros(1 << FIELD_BITS, bool)
-    field[slots] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(field))
+    words = wanted.mapInArrow(place, "slot long").groupBy(F.shiftright("slot", 6).alias("word"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))
+    found = words.agg(F.bit_or(one).alias("bits")).toArrow()
+    release(wanted)
+    field = np.zeros(1 << bits - 6, np.int64)
+    field[found["word"].to_numpy()] = found["bits"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).view(bool)
         for batch in batches:
-            texts = batch["text"].filter(pa.array(bits[_slots(_ids(batch["doc_id"]))]))
+            slot = _slots(_ids(batch["doc_id"]), bits)
+            texts = batch["text"].filter(pa.array((shared.value[slot >> 6] >> (slot & 63) & 1).astype(bool)))
             for a, b in tk.slices(texts):
                 yield _parts([s for s in shingle_sets(texts.slice(a, b - a)) if len(s)])
 
@@ -469,7 +521,8 @@ def _parts(sets: list[np.ndarray]) -> pa.RecordBatch:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
-    documents, labels, _ = classes(docs)
+    documents, labels, links = classes(docs)
+    release(links)
     rows = documents.join(labels, documents.key == labels.member, "left")
     rows = stored(rows.select("doc_id", "n", F.coalesce("label", "key").alias("class")), "document-classes")
     smallest = rows.where("class IS NOT NULL").groupBy(F.col("class").alias("of")).agg(F.min("doc_id").alias("smallest"))
@@ -479,7 +532,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, of which one of each component stays: its smallest doc_id."""
-    documents, labels, _ = classes(docs)
+    documents, labels, links = classes(docs)
+    release(links)
     rows = documents.join(labels, documents.key == labels.member, "left").where("key IS NOT NULL")
     first = rows.groupBy(F.coalesce("label", "key").alias("class")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")).alias("f"))
     kept = stored(first.select(F.col("f.doc_id").alias("__id"), F.col("f.key").alias("__key")), "kept-documents")

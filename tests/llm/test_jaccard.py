@@ -103,6 +103,28 @@ def test_long_near_copies(spark, documents, size, copies):
     assert found == brute(docs)
 
 
+@pytest.mark.parametrize("changed,copies", [(2, 90), (3, 150)])
+def test_groups_that_are_alike_but_not_enough(spark, documents, monkeypatch, changed, copies):
+    """Similarity about 0.8 and well below it between copies of one text; longer lists than a short one."""
+    rng = random.Random(changed)
+    base = [f"b{i}" for i in range(100)]
+    docs = list(enumerate(near_copies(rng, base, copies, changed / 100) + [" ".join(base)] * 5))
+    made = []
+    long = jj._pairs_on_long
+    monkeypatch.setattr(jj, "_pairs_on_long", lambda rows: made.append(long(rows).count()) or long(rows))
+    assert rows(jj.jaccard_components(documents(docs)), "doc_id", "n_shingles", "component_id") == brute(docs)
+    assert changed == 2 or sum(made) < copies  # of some copies ** 2 / 2 pairs; at 0.79 places tell little
+
+
+def test_nothing_is_left_behind(spark, documents):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    jj.jaccard_components(documents(corpus(1))).count()
+    assert {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before} <= {"shingle-sets", "labels", "document-classes"}
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_divide_skip(seed):
     rng = random.Random(seed)
