@@ -270,8 +270,11 @@ def _others(rows: DataFrame, elsewhere: DataFrame) -> DataFrame:
 
 
 def _heads(rows: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each member of a long list with the head that it shares most lists with."""
-    order = F.struct("size", "member") if turn == 0 else F.struct(F.xxhash64("member", F.lit(turn)), "member")
+    """(a, b): each member of a long list with the head that it shares most lists with.
+
+    At first the head is the member with the fewest shingles of its own before the
+    list's one: among near copies that is the one most of them link with."""
+    order = F.struct("place", "size", "member") if turn == 0 else F.struct(F.xxhash64("member", F.lit(turn)), "member")
     part = rows.groupBy("token", "salt").agg(F.min(F.struct(order.alias("o"), "member", "size", "label")).alias("head"))
     # a salted list has a head per salt, and one of these is the head of the others
     top = part.groupBy(F.col("token").alias("t")).agg(F.min("head").alias("top"))
