@@ -3,16 +3,19 @@
 A small tree builder follows the tags: it closes what the next tag implies closed (a
 ``p`` before a block, an ``li`` before the next, table parts), adds the row that a lone
 cell implies, and ignores stray end tags.  Elements are invisible by kind (``head``,
-``script``, …), by attribute (``hidden``, inline style) or by a plain rule of the page's
-own style sheet (a tag, class or id with ``display:none`` or ``visibility:hidden``).  Of
-several rules the important, the more specific, then the later one counts; at-rules count
-when they hold on a screen of ``WIDTH`` pixels.  A visible element inside one of hidden
-visibility is seen.  All other text is kept: blocks on lines of their own, paragraphs and headings apart by a
+``script``, …), by attribute (``hidden``, inline style), in a closed ``details`` or ``dialog``,
+or by a rule of the page's own style sheet with ``display:none`` or ``visibility:hidden``
+(tags, classes, ids and attributes, inside or directly below others; selectors with anything
+else are not applied).  Of several rules the important, the more specific, then the later one
+counts; at-rules count when they hold on a screen of ``WIDTH`` pixels.  A visible element
+inside one of hidden visibility is seen.  All other text is kept: blocks on lines of their own, paragraphs and headings apart by a
 blank line, list items with marks and indents, cells of tables in aligned columns.
 
 Elements are handled as they open and close, with a stack and no recursion, so depth
-does not matter.  A column is padded to at most ``PAD`` characters, so a table's text
-stays in proportion to its input.
+does not matter.  Comments and tags that never end reach to the end of the page.  So that
+time and text stay in proportion to the page, an indent is drawn up to ``INDENT``
+characters, a column padded to ``PAD`` and a row of empty cells to ``GAP``, and tables
+nested deeper than ``NEST`` have their cells on lines of their own.
 
 Input: ``pages`` (page_id, html), each whole page in one task's memory.  A null or empty
 page gives an empty text.  Repeated rows are rendered one by one; other columns are not
@@ -30,6 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PAD = 60
+GAP = 4 * PAD
+INDENT = 40
+NEST = 16
 WIDTH = 1280
 #: Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,7 +72,9 @@ _MARK = re.compile(r"[{};]")
 _SET = re.compile(r"\s*(display|visibility)\s*:\s*([\w-]+)[^!]*(!\s*important)?\s*", re.I)
 _WIDE = re.compile(r"\(\s*(min-width\s*:|max-width\s*:|width\s*[<>]=?)\s*([\d.]+)(px|em|rem)\s*\)")
 _INTEGER = re.compile(r"[ \t\n\r\f]*([+-]?[0-9]{1,18})(?![0-9])")
-_SIMPLE = re.compile(r"[.#]?[\w-]+")
+_COMPOUND = re.compile(r"""(\*|[\w-]+)?((?:[.#][\w-]+|\[[\w-]+(?:=(?:"[^"\]]*"|'[^'\]]*'|[\w-]+))?\])*)""")
+_NAME = re.compile(r"""[.#][\w-]+|\[[^\]]*\]""")
+_LISTS = ("ul", "ol", "menu", "dir")
 
 
 def _fits(part: str) -> bool | None:
@@ -128,6 +136,51 @@ def sheet_rules(sheet: str) -> Iterator[tuple[str, list[tuple[str, str, bool]]]]
                 break
 
 
+class Rule:
+    """A selector, the compounds of which are sets of names that an element has to bear."""
+
+    __slots__ = ("compounds", "below", "weight", "declared")
+
+    def __init__(self, compounds: list[frozenset[str]], below: list[bool], weight: tuple[int, int, int]) -> None:
+        self.compounds, self.weight = compounds, weight
+        self.below = below  # whether a compound has to stand directly below the one before
+        self.declared: dict[str, tuple[bool, tuple[int, int, int], int, str]] = {}
+
+
+def selector(text: str) -> Rule | None:
+    """None for what is not applied."""
+    compounds, below, weight, direct = [], [], [0, 0, 0], False
+    for part in text.replace(">", " > ").split():
+        if part == ">":
+            if direct or not compounds:
+                return None
+            direct = True
+            continue
+        m = _COMPOUND.fullmatch(part)
+        if not m or not part:
+            return None
+        names = {n.replace('"', "").replace("'", "") for n in _NAME.findall(m[2])}
+        weight[0] += sum(n[0] == "#" for n in names)
+        weight[1] += sum(n[0] != "#" for n in names)
+        if m[1] and m[1] != "*":
+            names.add(m[1].lower())
+            weight[2] += 1
+        compounds.append(frozenset(names))
+        below.append(direct)
+        direct = False
+    return Rule(compounds, below, tuple(weight)) if compounds and not direct else None
+
+
+def bears(tag: str, given: dict) -> frozenset[str]:
+    """The names of an element that selectors ask for."""
+    names = {tag, *("." + c for c in (given.get("class") or "").split())}
+    if given.get("id"):
+        names.add("#" + given["id"])
+    for name, value in given.items():
+        names |= {f"[{name}]", f"[{name}={value or ''}]"}
+    return frozenset(names)
+
+
 class Canvas:
     """Lines of text under an indent; asks for blank lines before the next content."""
 
@@ -135,9 +188,18 @@ class Canvas:
         self.lines: list[str] = []
         self.now: list[str] = []
         self.blank = False
-        self.indents: list[str] = []
+        self.indents: list[int] = []
+        self.indent = 0
         self.mark = ""
 
+    def enter(self, width: int) -> None:
+        self.indents.append(width)
+        self.indent += width
+
+    def leave(self) -> None:
+        if self.indents:
+            self.indent -= self.indents.pop()
+
     def text(self, s: str, kept: bool) -> None:
         if kept:
             first, *rest = s.replace("\r\n", "\n").split("\n")
@@ -164,9 +226,9 @@ class Canvas:
             self.lines.append("")
         if line:
             self.blank = False
-        lead = "".join(self.indents)
+        lead = " " * min(self.indent, INDENT)
         if self.mark and line:
-            lead = "".join(self.indents[:-1]) + self.mark
+            lead = " " * min(self.indent - self.indents[-1], INDENT) + self.mark
             self.mark = ""
         self.lines.append((lead + line).rstrip())
 
@@ -189,9 +251,8 @@ class Canvas:
         lines = self.lines
         while lines and not lines[-1]:
             lines.pop()
-        while lines and not lines[0]:
-            lines.pop(0)
-        return lines
+        first = next((i for i, line in enumerate(lines) if line), 0)
+        return lines[first:] if first else lines
 
 
 def _span(value: str | None) -> int:
@@ -208,28 +269,25 @@ class Grid:
 
     def __init__(self) -> None:
         self.rows: list[list[tuple[int, int, list[str]]]] = []
-        self.taken: dict[int, int] = {}  # column: rows that a cell from above still covers
+        self.taken: list[tuple[int, int, int]] = []  # from, to: columns that a cell from above covers; up to which row
         self.column = 0
+        self.at = 0  # of those in ``taken``, the first one not left of the column
 
     def row(self) -> None:
-        if self.rows:
-            while self.taken.get(self.column, 0) > 0:
-                self._skip()
-        self.taken = {c: n - 1 for c, n in self.taken.items() if n > 1}
+        self.taken = sorted(t for t in self.taken if t[2] > len(self.rows))
         self.rows.append([])
-        self.column = 0
-
-    def _skip(self) -> None:
-        self.column += 1
+        self.column = self.at = 0
 
     def cell(self, lines: list[str], columns: int, rows: int) -> None:
         if not self.rows:
             self.row()
-        while self.taken.get(self.column, 0) > 0:
-            self._skip()
+        while self.at < len(self.taken) and self.taken[self.at][0] <= self.column:
+            self.column = max(self.column, self.taken[self.at][1])
+            self.at += 1
         self.rows[-1].append((self.column, columns, lines))
         if rows > 1:
-            self.taken |= {c: rows for c in range(self.column, self.column + columns)}
+            self.taken.insert(self.at, (self.column, self.column + columns, len(self.rows) - 1 + rows))
+            self.at += 1
         self.column += columns
 
     def lines(self) -> list[str]:
@@ -245,18 +303,19 @@ class Grid:
         out = []
         for row in self.rows:
             for i in range(max((len(lines) for _, _, lines in row), default=0)):
-                line = ""
+                line, size = [], 0
                 for column, _, lines in row:
                     piece = lines[i] if i < len(lines) else ""
                     if piece:
-                        gap = start.get(column, 0) - len(line)
-                        line += " " * max(gap, 2 if line else 0) + piece
-                out.append(line.rstrip())
+                        gap = min(max(start.get(column, 0) - size, 2 if line else 0), GAP)
+                        line += [" " * gap, piece]
+                        size += gap + len(piece)
+                out.append("".join(line).rstrip())
         return [x for x in out if x]
 
 
 class Element:
-    __slots__ = ("tag", "shown", "seen", "kept", "canvas", "grid", "number", "spans")
+    __slots__ = ("tag", "shown", "seen", "kept", "canvas", "grid", "number", "spans", "closed", "names", "lasting", "direct")
 
     def __init__(self, tag: str, shown: bool, seen: bool, kept: bool):
         self.tag, self.shown, self.seen, self.kept = tag, shown, seen, kept  # shown: has a box; seen: its text is visible
@@ -264,6 +323,11 @@ class Element:
         self.grid: Grid | None = None
         self.number: int | None = None
         self.spans = (1, 1)
+        self.closed = False  # a details element of which only the summary is seen
+        self.names: frozenset[str] = frozenset()
+        # selectors met in part: (rule, compounds met), for all that is inside and for what is directly below
+        self.lasting: frozenset[tuple[Rule, int]] = frozenset()
+        self.direct: list[tuple[Rule, int]] = []
 
 
 class Page(HTMLParser):
@@ -271,14 +335,41 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.canvas = Canvas()
         self.stack: list[Element] = []
-        self.open: dict[str, int] = {}
-        self.rules: dict[str, dict[str, tuple[bool, int, int, str]]] = {}  # by selector and property, the one that counts
+        self.open: dict[str, list[int]] = {}  # places in the stack
+        self.grids: list[Grid | None] = []
+        self.starts: dict[str, list[Rule]] = {}  # rules by a name of their first compound
+        self.selectors: dict[str, Rule | None] = {}
         self.order = 0
         self.media = ""
         self.sheet: list[str] = []
 
+    # what never ends; the whole page is given at once
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        end = super().parse_comment(i, report)
+        return end if end >= 0 else len(self.rawdata)
+
+    def parse_pi(self, i: int) -> int:
+        end = super().parse_pi(i)
+        return end if end >= 0 else len(self.rawdata)
+
+    def parse_html_declaration(self, i: int) -> int:
+        end = super().parse_html_declaration(i)
+        return end if end >= 0 else len(self.rawdata)
+
+    def parse_starttag(self, i: int) -> int:
+        end = super().parse_starttag(i)
+        if end < 0:
+            self.handle_data(self.rawdata[i:])
+            return len(self.rawdata)
+        return end
+
     # the tree
 
+    def _last(self, tags) -> int:
+        """Place of the nearest open element of these."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         given = dict(reversed(attrs))
         if tag in BLOCKS and self.open.get("p"):
@@ -287,7 +378,7 @@ class Page(HTMLParser):
             self._close_nearest(*IMPLIED[tag])
         if tag in HEADINGS and self.stack and self.stack[-1].tag in HEADINGS:
             self._pop()
-        if tag in CELLS and self.open.get("table") and not self._inside("tr", "table"):
+        if tag in CELLS and self.open.get("table") and self._last(("tr",)) < self._last(("table",)):
             self._push("tr", {})
         if tag in VOID:
             self._void(tag, given)
@@ -313,64 +404,70 @@ class Page(HTMLParser):
                 limit = frozenset() if tag == "table" else frozenset({"table", *CELLS})
             self._close_nearest(frozenset({tag}), limit)
 
-    def _inside(self, tag: str, limit: str) -> bool:
-        for e in reversed(self.stack):
-            if e.tag == tag:
-                return True
-            if e.tag == limit:
-                return False
-        return False
-
     def _close_nearest(self, tags: frozenset, limit: frozenset) -> None:
-        if not any(self.open.get(t) for t in tags):
-            return
-        for at in range(len(self.stack) - 1, -1, -1):
-            tag = self.stack[at].tag
-            if tag in tags:
-                while len(self.stack) > at:
-                    self._pop()
-                return
-            if tag in limit:
-                return
-
-    def _look(self, tag: str, given: dict) -> tuple[bool, bool]:
-        """(shown, seen) of an element that opens here."""
+        at = self._last(tags)
+        if at >= 0 and at >= self._last(limit):
+            while len(self.stack) > at:
+                self._pop()
+
+    def _met(self, names: frozenset[str], above: Element | None) -> tuple[list[Rule], frozenset, list]:
+        """(rules that apply to an element, rules met in part for all inside it, for what is directly below)."""
+        begun = [(rule, 0) for name in (*names, "") for rule in self.starts.get(name, ())]
+        inherited = [*above.lasting, *above.direct] if above is not None else []
+        whole, lasting, direct = [], [], []
+        for rule, n in begun + inherited:
+            if rule.compounds[n] <= names:
+                if n + 1 == len(rule.compounds):
+                    whole.append(rule)
+                else:
+                    (direct if rule.below[n + 1] else lasting).append((rule, n + 1))
+        before = above.lasting if above is not None else frozenset()
+        return whole, before if before.issuperset(lasting) else before | frozenset(lasting), direct
+
+    def _look(self, tag: str, given: dict) -> Element:
+        """An element that opens here."""
         above = self.stack[-1] if self.stack else None
+        e = Element(tag, False, False, tag in ("pre", "textarea") or above is not None and above.kept)
         shown, visible = (above.shown, above.seen) if above is not None else (True, True)
+        counts: dict[str, tuple[bool, tuple[int, int, int], int, str]] = {}
+        e.names = bears(tag, given)
+        if self.starts:
+            whole, e.lasting, e.direct = self._met(e.names, above)
+            for rule in whole:
+                for what, declared in rule.declared.items():
+                    counts[what] = max(counts.get(what, declared), declared)
+        if above is not None and above.closed:
+            if tag != "summary":
+                return e
+            visible = True
         if not shown or tag in UNSEEN or tag in UNDRAWN and (self.open.get("svg") or self.open.get("math")):
-            return False, False
+            return e
         style = given.get("style")
-        if not self.rules and not style:
-            shown = "hidden" not in given
-            return shown, shown and visible
-        counts: dict[str, tuple[bool, int, int, str]] = {}
-        if self.rules:
-            for name in (tag, "#" + (given.get("id") or ""), *("." + c for c in (given.get("class") or "").split())):
-                for what, rule in self.rules.get(name, {}).items():
-                    counts[what] = max(counts.get(what, rule), rule)
         for i, found in enumerate(map(_set, _QUIET.sub(" ", style).split(";") if style else ())):
             if found:
-                rule = (found[2], 3, i, found[1])
-                counts[found[0]] = max(counts.get(found[0], rule), rule)
-        shown = counts["display"][3] != "none" if "display" in counts else "hidden" not in given
+                declared = (found[2], (1 << 30, 0, 0), i, found[1])
+                counts[found[0]] = max(counts.get(found[0], declared), declared)
+        usual = "hidden" not in given and (tag != "dialog" or "open" in given)
+        e.shown = counts["display"][3] != "none" if "display" in counts else usual
         value = counts["visibility"][3] if "visibility" in counts else ""
         visible = value not in ("hidden", "collapse") if value in ("hidden", "collapse", "visible", "initial") else visible
-        return shown, shown and visible
+        e.seen = e.shown and visible
+        if tag == "details" and "open" not in given and e.seen:
+            e.closed, e.seen = True, False
+        return e
 
     def _push(self, tag: str, given: dict) -> None:
-        above = self.stack[-1] if self.stack else None
-        shown, seen = self._look(tag, given)
-        e = Element(tag, shown, seen, tag in ("pre", "textarea") or above is not None and above.kept)
+        e = self._look(tag, given)
         if tag == "style":
             self.media = given.get("media") or ""
+        self.open.setdefault(tag, []).append(len(self.stack))
         self.stack.append(e)
-        self.open[tag] = self.open.get(tag, 0) + 1
-        if shown:
+        if e.shown:
             self._enter(e, given)
 
     def _pop(self) -> None:
         e = self.stack.pop()
-        self.open[e.tag] -= 1
+        self.open[e.tag].pop()
         if e.tag == "style":
             self._read_sheet()
         if e.shown:
@@ -386,18 +483,27 @@ class Page(HTMLParser):
         self.canvas.text(data, bool(self.stack) and self.stack[-1].kept)
 
     def _read_sheet(self) -> None:
+        further = False
         for selectors, declarations in sheet_rules("".join(self.sheet)) if on_screen(self.media) else ():
-            for name in (s.strip() for s in selectors.split(",")):
-                if _SIMPLE.fullmatch(name):
-                    for what, value, important in declarations:
-                        self.order += 1
-                        rule = (important, " .#".find(name[0]) if name[0] in ".#" else 0, self.order, value)
-                        known = self.rules.setdefault(name if name[0] in ".#" else name.lower(), {})
-                        known[what] = max(known.get(what, rule), rule)
+            for name in (" ".join(n.split()) for n in selectors.split(",")):
+                if name not in self.selectors:
+                    rule = self.selectors[name] = selector(name)
+                    if rule is not None:
+                        further |= len(rule.compounds) > 1
+                        first = max(rule.compounds[0], key=lambda n: (n[0] in "#", n[0] in ".[", n), default="")
+                        self.starts.setdefault(first, []).append(rule)
+                rule = self.selectors[name]
+                for what, value, important in declarations if rule is not None else ():
+                    self.order += 1
+                    declared = (important, rule.weight, self.order, value)
+                    rule.declared[what] = max(rule.declared.get(what, declared), declared)
         self.sheet = []
+        if further:  # what is open already can be the first part of the new ones
+            for above, e in zip([None, *self.stack], self.stack):
+                _, e.lasting, e.direct = self._met(e.names, above)
 
     def _void(self, tag: str, given: dict) -> None:
-        if not self._look(tag, given)[1]:
+        if not self._look(tag, given).seen:
             return
         if tag == "br":
             self.canvas.end_line(always=True)
@@ -409,7 +515,7 @@ class Page(HTMLParser):
             self.canvas.text(given.get("value") or "", False)
 
     def _grid(self) -> Grid | None:
-        return next((e.grid for e in reversed(self.stack) if e.grid is not None), None)
+        return self.grids[-1] if self.grids else None
 
     def _enter(self, e: Element, given: dict) -> None:
         canvas, tag = self.canvas, e.tag
@@ -420,18 +526,19 @@ class Page(HTMLParser):
             self._grid().row()
         elif tag == "li":
             canvas.end_line()
-            owner = next((x for x in reversed(self.stack[:-1]) if x.tag in ("ul", "ol", "menu", "dir")), None)
+            at = self._last(_LISTS)
+            owner = self.stack[at] if at >= 0 else None
             if owner is not None and owner.number is not None:
                 owner.number = _integer(given.get("value"), owner.number)
                 canvas.mark = f"{owner.number}. "
                 owner.number += 1
             else:
                 canvas.mark = "- "
-            canvas.indents.append(" " * len(canvas.mark))
+            canvas.enter(len(canvas.mark))
         elif tag == "dd":
             canvas.end_line()
-            canvas.indents.append("  ")
-        elif tag in ("ul", "ol", "menu", "dir"):
+            canvas.enter(2)
+        elif tag in _LISTS:
             if self.open.get("li"):
                 canvas.end_line()
             else:
@@ -439,11 +546,12 @@ class Page(HTMLParser):
             e.number = _integer(given.get("start"), 1) if tag == "ol" else None
         elif tag == "table":
             canvas.gap()
-            e.grid = Grid()
+            e.grid = Grid() if sum(g is not None for g in self.grids[:NEST]) < NEST else None
+            self.grids.append(e.grid)
         elif tag in APART:
             canvas.gap()
             if tag == "blockquote":
-                canvas.indents.append("  ")
+                canvas.enter(2)
         elif tag in BLOCKS:
             canvas.end_line()
         elif tag == "text" and self.open.get("svg"):
@@ -459,8 +567,9 @@ class Page(HTMLParser):
         if tag in ("li", "dd", "blockquote"):
             canvas.end_line()
             canvas.mark = ""
-            if canvas.indents:
-                canvas.indents.pop()
+            canvas.leave()
+        if tag == "table":
+            self.grids.pop()
         if e.grid is not None:
             canvas.put(e.grid.lines())
         if tag in APART and not (tag in ("ul", "ol") and self.open.get("li")):

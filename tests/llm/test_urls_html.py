@@ -93,6 +93,18 @@ STYLED = [
 ]
 
 
+STYLED += [
+    ("<style>div.a{display:none} .b .c{display:none} ul > .d{display:none}</style><div class=a>no</div><p class=a>x</p><div class=b><i><b class=c>no</b></i>y</div>"
+     "<b class=c>z</b><ul><li><b class=d>v</b></ul><ul class=e><b class=d>no</b></ul>", "x\n\ny\nz\n\n- v"),
+    ("<style>.a.b{display:none} .a{display:block} [data-x=no]{display:none} p:hover{display:none}</style><p class='a b'>no<p class=a>x<p data-x=no>no<p data-x=yes>y", "x\n\ny"),
+    ("<div class=o><style>.o .i{display:none}</style><p class=i>no</p>a</div>", "a"),
+    ("<style>p p,.x{display:none}</style><p>a<p>b<p class=x>no", "a\n\nb"),
+    ("<details><summary>more</summary>no <p>no</p></details><details open><summary>s</summary>t</details>", "more\ns\nt"),
+    ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+    ("a<!-- never <p>ended", "a"), ("a<?php never ended", "a"), ("a<!doctype never", "a"),
+]
+
+
 @pytest.mark.parametrize("html,text", STYLED)
 def test_styled_pages(html, text):
     assert html_text.render(html) == text
@@ -115,6 +127,36 @@ def test_deep_and_wide_pages():
     assert html_text.render("<" * 1_000 + "a" * 200_000).endswith("a")
 
 
+LONG = {
+    "lists": "<ul><li>x" * 110_000,
+    "comments": "<!--" * 250_000,
+    "instructions": "<?" * 500_000,
+    "open tags": "<a " * 330_000,
+    "tables": "<table><tr><td>x" * 62_000,
+    "spans": "<table><tr>" + "<td colspan=1000 rowspan=1000>x" * 32_000,
+    "rows below spans": "<table><tr>" + "<td rowspan=900>" * 500 + "<td>a" + "<tr><td>b" * 100_000,
+    "buttons": "<p><button>" + "<span>" * 80_000 + "<div></div>" * 45_000,
+    "items in blocks": "<ul><li><ul>" + "<div>" * 90_000 + "<li>x" * 90_000,
+    "quotes": "<blockquote>x" * 80_000,
+    "rules": "<style>.b .c{display:none} .c > .d{display:none}</style>" + "<i class=c>x" * 80_000,
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_long_pages_take_time_in_proportion(kind):
+    import time
+
+    begun = time.process_time()
+    text = html_text.render(LONG[kind])
+    assert time.process_time() - begun < 15  # of a page of a megabyte
+    assert len(text) < 30 * len(LONG[kind])
+
+
+def test_cells_below_spans():
+    html = "<table><tr><td rowspan=2>a<td colspan=2>b<td rowspan=3>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>"
+    assert html_text.render(html) == "a  b     c\n   d  e\nf  g  h"
+
+
 def test_extract_edges(spark):
     pages = spark.createDataFrame([(1, "<p>a<p>b", "t"), (1, "<p>a<p>b", "t"), (2, None, "t"), (None, "", "t")], "page_id long, html string, text string")
     assert rows(html_text.extract_text(pages), "page_id", "text", "n_lines") == sorted([(1, "a\n\nb", 3), (1, "a\n\nb", 3), (2, "", 0), (None, "", 0)], key=repr)
