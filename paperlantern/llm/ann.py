@@ -131,8 +131,14 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, the largest entry near 1: no digit changes and no square leaves the range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None])
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, each pair summed alike wherever it stands."""
+    a, b = scaled(a), scaled(b)
     dot = (a * b).sum(1)
     return dot / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 

@@ -83,8 +83,8 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return items.select("item_id", "length", F.array_join(F.slice("words", F.col("at"), F.col("length")), " ").alias("window")).distinct()
 
 
-def _hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, key, n_words, n_rows, hits): ``hits`` holds the fingerprints met."""
+def _hits(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n_words, n_rows, met) per document, ``met`` counting fingerprints met; and the benchmark's fingerprints."""
     spark = docs.sparkSession
     lengths = sorted(r.length for r in windows.where(F.col("length") < ITEM_WINDOW).select("length").distinct().collect())
     split = F.split("window", " ")
@@ -103,17 +103,18 @@ def _hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     met = rows.join(known, rows.found == known.known, "left")
     return met.groupBy("doc_id", "key").agg(
         F.max("n_words").alias("n_words"), F.count_if(F.coalesce(F.col("no"), F.lit(0)) == 0).alias("n_rows"),
-        F.collect_set("known").alias("hits"),
-    )
+        F.count("known").alias("met"),
+    ), known
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     windows = stored(item_windows(benchmark), "benchmark-windows")
-    found = stored(_hits(docs, windows), "document-hits")
-    extended = _extended(docs, found.where(F.size("hits") > 0), windows)
-    result = found.select("doc_id", "key", "n_words", "n_rows").join(extended, _same_document(found, "of_id", "of_key"), "left")
+    hits, known = _hits(docs, windows)
+    found = stored(hits, "document-hits")
+    extended = _extended(docs, found.where("met > 0"), known, windows)
+    result = found.select("doc_id", "key", "n_words", "n_rows").join(extended, _same_document(found, "__of_id", "__of_key"), "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     result = result.select(
@@ -128,43 +129,53 @@ def _same_document(df: DataFrame, doc_id: str, key: str) -> Column:
     return df.doc_id.eqNullSafe(F.col(doc_id)) & (df.key == F.col(key))
 
 
-def _extended(docs: DataFrame, hits: DataFrame, windows: DataFrame) -> DataFrame:
-    """(of_id, of_key, n_hit, items) of the documents in which a hit holds."""
+def _extended(docs: DataFrame, hits: DataFrame, known: DataFrame, windows: DataFrame) -> DataFrame:
+    """(__of_id, __of_key, n_hit, items) of the documents in which a hit holds.
+
+    The grams of the candidates are joined with the fingerprints, so the work grows with
+    the words of a document and not with its words times its hits.
+    """
+    same = ["__of_id", "__of_key"]
     lengths = [r.length for r in windows.select("length").distinct().collect()]
-    hits = stored(hits.select(F.col("doc_id").alias("of_id"), F.col("key").alias("of_key"), "hits"), "document-candidates")
+    if not lengths:
+        return hits.select(F.col("doc_id").alias("__of_id"), F.col("key").alias("__of_key"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items")).limit(0)
+    hits = stored(hits.select(F.col("doc_id").alias("__of_id"), F.col("key").alias("__of_key")).distinct(), "document-candidates")
     read = docs.withColumn("key", F.xxhash64("text"))
-    read = read.join(hits, _same_document(read, "of_id", "of_key")).dropDuplicates(["of_id", "of_key"])
+    read = read.join(hits, _same_document(read, *same)).dropDuplicates(same).select(*same, "text")
 
-    def starts(words: Column) -> Column:
-        """Where a window that covers a met gram may begin, by window length."""
-        def of(hashes: Column, n: int) -> Column:
-            gram, back = (GRAM, ITEM_WINDOW - GRAM) if n == ITEM_WINDOW else (n, 0)
+    def grams(hashes: Column) -> Column:
+        """Place, window length and hash of every gram by which a window can be met."""
+        def of(n: int) -> Column:
+            found = gram_hashes(hashes, GRAM if n == ITEM_WINDOW else n)
             mark = (lambda h: h) if n == ITEM_WINDOW else (lambda h: F.xxhash64(F.lit("short"), h))
-            met = lambda grams: F.filter(_upto(F.size(grams)), lambda i: F.array_contains(F.col("hits"), mark(F.get(grams, i))))
-            begin = F.flatten(F.transform(let(gram_hashes(hashes, gram), met), lambda i: F.sequence(F.greatest(i - back, F.lit(0)), i)))
-            begin = F.filter(F.array_distinct(begin), lambda i: i + n <= F.size(hashes))
-            return F.transform(begin, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n")))
-
-        return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.concat(*[of(h, n) for n in lengths]))
-
-    if not lengths:
-        return hits.select("of_id", "of_key", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items")).limit(0)
-    texts = let(words_of(F.col("text")), lambda w: F.transform(starts(w), lambda s: F.struct(
+            return F.transform(found, lambda h, i: F.struct(i.alias("at"), F.lit(n).alias("n"), mark(h).alias("gram"), F.size(hashes).alias("words")))
+
+        return F.concat(*[of(n) for n in lengths])
+
+    listed = read.select(*same, F.explode(let(F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)), grams)).alias("g")).select(*same, "g.*")
+    met = listed.join(known, listed.gram == known.known)
+    # a window that covers a met gram begins at it or up to so many words before
+    back = F.when(F.col("n") == ITEM_WINDOW, ITEM_WINDOW - GRAM).otherwise(0)
+    begin = met.select(*same, "n", "words", F.explode(F.sequence(F.greatest(F.col("at") - back, F.lit(0)), F.col("at"))).alias("at"))
+    starts = begin.where(F.col("at") + F.col("n") <= F.col("words")).groupBy(*same).agg(F.collect_set(F.struct("at", "n")).alias("starts"))
+    starts = starts.select(F.col("__of_id").alias("s_id"), F.col("__of_key").alias("s_key"), "starts")
+    again = read.join(starts, F.col("__of_id").eqNullSafe(F.col("s_id")) & (F.col("__of_key") == F.col("s_key")))
+    texts = let(words_of(F.col("text")), lambda w: F.transform("starts", lambda s: F.struct(
         s["at"].alias("at"), s["n"].alias("n"), F.array_join(F.slice(w, s["at"] + 1, s["n"]), " ").alias("window"))))
-    tried = read.select("of_id", "of_key", F.explode(texts).alias("s")).select("of_id", "of_key", "s.at", "s.n", "s.window")
+    tried = again.select(*same, F.explode(texts).alias("s")).select(*same, "s.at", "s.n", "s.window")
     real = tried.join(windows, (tried.n == windows.length) & (tried.window == windows.window))
     covered = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("at", "n")), lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
-    return real.groupBy("of_id", "of_key").agg(F.size(covered).cast("long").alias("n_hit"), F.collect_set("item_id").alias("items"))
+    return real.groupBy(*same).agg(F.size(covered).cast("long").alias("n_hit"), F.collect_set("item_id").alias("items"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without a shared window."""
     windows = stored(item_windows(benchmark), "benchmark-windows")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = _hits(plain, windows)
-    hit = stored(_extended(plain, found.where(F.size("hits") > 0), windows).select("of_id", "of_key"), "contaminated")
+    found, known = _hits(plain, windows)
+    hit = stored(_extended(plain, found.where("met > 0"), known, windows).select("__of_id", "__of_key"), "contaminated")
     key = F.xxhash64(F.col("text").cast("string"))
-    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("of_id")) & (key == F.col("of_key")), "left_anti")
+    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("__of_id")) & (key == F.col("__of_key")), "left_anti")
 
 
 SQL = r"""

@@ -264,10 +264,10 @@ def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _dropped(docs: DataFrame) -> DataFrame:
-    """(of_doc, of_text, dropped): numbers of the lines to drop."""
+    """(__of_doc, __of_text, __dropped): numbers of the lines to drop."""
     lines, again = recurring(docs)
     gone = lines.join(again, lines.line_key == again.k).where("doc != first_doc")
-    return stored(gone.groupBy(F.col("doc").alias("of_doc"), F.col("text_key").alias("of_text")).agg(F.collect_set("line_no").alias("dropped")), "dropped-lines")
+    return stored(gone.groupBy(F.col("doc").alias("__of_doc"), F.col("text_key").alias("__of_text")).agg(F.collect_set("line_no").alias("__dropped")), "dropped-lines")
 
 
 def _cut(docs: DataFrame) -> DataFrame:
@@ -276,8 +276,8 @@ def _cut(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     # shuffled at every size: the dropped lines grow with the documents
-    marked = docs.join(gone.hint("merge"), (doc == F.col("of_doc")) & (F.xxhash64(text) == F.col("of_text")), "left")
-    marked = marked.select(*[F.col(f"`{c}`") for c in docs.columns], text.alias("__text"), F.col("dropped").alias("__dropped"))
+    marked = docs.join(gone.hint("merge"), (doc == F.col("__of_doc")) & (F.xxhash64(text) == F.col("__of_text")), "left")
+    marked = marked.select(*[F.col(f"`{c}`") for c in docs.columns], text.alias("__text"), F.col("__dropped"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

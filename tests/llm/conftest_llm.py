@@ -1,5 +1,11 @@
+import glob
+import os
+import re
+
 import pytest
 
+import paperlantern.llm
+
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -14,10 +20,19 @@ def documents(spark):
     return make
 
 
+def names_inside():
+    """Every plain column name that the operators give something with ``alias`` or ``withColumn``."""
+    found = set()
+    for file in glob.glob(f"{os.path.dirname(paperlantern.llm.__file__)}/*.py"):
+        with open(file) as f:
+            found |= set(re.findall(r"""(?:alias|withColumn|withColumnRenamed|toDF)\("([a-z]\w*)\"""", f.read()))
+    return found - {"doc_id", "text", "lang", "source", "n_chars"}
+
+
 @pytest.fixture
 def clashing(documents):
     """The same with columns named like those that the operators use inside."""
-    names = ("key", "label", "score", "size", "rank", "target", "member", "words", "held_out", "doc", "line_no", "n", "taken", "u", "bin")
+    names = sorted(names_inside())
 
     def make(rows):
         from pyspark.sql import functions as F

@@ -143,6 +143,16 @@ def test_vectors_edges(spark):
     assert ann.every_fiftieth(df.where("vec_id = 50")).count() == 0
 
 
+def test_vast_and_tiny_entries(spark):
+    vectors = [(0, [1e-200, 0.0]), (50, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0**600] * 2), (3, [2.0**-1040] * 2)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.every_fiftieth(df).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+    half = round(0.5**0.5, 9)
+    assert found == {0: [(50, 1.0), (2, half), (3, half), (1, 0.0)], 50: [(0, 1.0), (2, half), (3, half), (1, 0.0)]}
+
+
 def test_blocks_and_ties(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_ROWS", 16)
     monkeypatch.setattr(ann, "BLOCK_QUERIES", 3)

@@ -71,6 +71,12 @@ def test_decontamination_edges(spark, clashing):
     assert dc.drop_contaminated(df, none).count() == len(docs)
 
 
+def test_long_copies_of_long_items(spark, documents):
+    text = " ".join(f"w{i % 9_973}x{i % 31}" for i in range(60_000))
+    found = dc.decontaminate(documents([(1, text), (2, "clean")]), spark.createDataFrame([(1, text)], BENCHMARK)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in found) == [(1, 60_000, 60_000, 1), (2, 1, 0, 0)]
+
+
 def test_decontamination_is_native(spark, documents):
     plan = dc.decontaminate(documents([(1, "a b")]), spark.createDataFrame([(1, "a")], BENCHMARK))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
