@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlantern.functions.text import terms_of
-from paperlantern.operators.analyze import without_stopwords
+from paperlantern.operators.analyze import term_bucket, without_stopwords
+from paperlantern.operators.lookup import DELETES, LITERALS, pattern_grams, terms_by_gram, terms_by_spelling
 from paperlantern.session import LITERAL_ROWS, settle, small_side, take_if_small
 
 SPEC_SCHEMA = (
@@ -179,9 +180,43 @@ def _text_keys(value: Column, salted_by: tuple[str, ...]):
     ]
 
 
-def expand_terms(dictionary: DataFrame, clauses: DataFrame, carry: list[str]) -> DataFrame:
-    """Q7, Q11, Q12: terms of each collection that a pattern clause stands for."""
-    return match_clauses(dictionary, clauses, carry, _expands, _text_keys(F.col("term"), ("index_id", "term")))
+def expand_terms(
+    dictionary: DataFrame, clauses: DataFrame, carry: list[str], grams: DataFrame | None = None, spelled: DataFrame | None = None, buckets: int | None = None
+) -> DataFrame:
+    """Q7, Q11, Q12: terms of each collection that a pattern clause stands for.
+
+    With the lookup tables (``grams``, ``spelled``) only terms that can match are
+    read: by trigrams, or by spellings for up to ``DELETES`` edits.  A pattern that names
+    no trigram (``.*``, ``a|b``) meets the whole dictionary.
+    """
+    whole = lambda some: match_clauses(dictionary, some, carry, _expands, _text_keys(F.col("term"), ("index_id", "term")))
+    if grams is None or spelled is None:
+        return whole(clauses)
+    n = F.coalesce("fuzziness", F.lit(1))
+    by_spelling = (F.col("kind") == "fuzzy") & n.between(0, DELETES)
+    asked = clauses.withColumn("clause", F.monotonically_increasing_id()).withColumn("grams", pattern_grams(F.col("kind"), F.col("text")))
+    asked = settle(asked.withColumn("way", F.when(by_spelling, "spelling").when(F.size("grams") > 0, "gram").otherwise("whole")))
+    ways = {r.way for r in asked.select("way").distinct().collect()}
+    possible = []
+    if "gram" in ways:
+        possible.append(terms_by_gram(grams, asked.where("way = 'gram'")))
+    if "spelling" in ways:
+        possible.append(terms_by_spelling(spelled, asked.where("way = 'spelling'").select("clause", "text", n.alias("n"))))
+    parts = [whole(asked.where("way = 'whole'").select(*clauses.columns))] if "whole" in ways else []
+    if possible:
+        met = reduce(DataFrame.unionByName, possible).join(small_side(asked), "clause")
+        met = settle(met.where(_expands(lambda name: F.col(name))).select(F.col("term").alias("_term"), *carry))
+        terms = take_if_small(met.select("_term").distinct(), LITERALS)
+        named = dictionary
+        if terms is not None:
+            named = named.where(F.col("term").isin([r[0] for r in terms]))
+            if buckets is not None and terms:
+                folders = met.select(term_bucket("_term", buckets).alias("b")).distinct().collect()
+                named = named.where(F.col("bucket").isin(sorted(r.b for r in folders)))
+        parts.append(named.join(small_side(met), F.col("term") == F.col("_term")).select(*dictionary.columns, *carry))
+    if not parts:
+        return whole(clauses)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def literal_terms(clauses: DataFrame, carry: list[str], stopwords=()) -> DataFrame:

@@ -5,6 +5,8 @@ Below ``<root>``, for every attempt to write segment N (``seq=N/attempt=…``):
 ``rows/…/bucket=b``   postings (b >= 0, sorted by term) and document rows (b < 0,
                     empty term)
 ``terms/…/bucket=b``  document frequencies
+``grams/…``           trigrams of the terms, sorted, for patterns
+``spellings/…``       beginnings of the terms with characters left out, sorted, for near spellings
 ``stats/…``           change of document count and bytes
 ``catalog/…``         collections that the segment brings
 ``segments/seq=N``    commit records, written last; the newest one counts
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -38,6 +41,7 @@ from paperlantern.operators.analyze import (
     term_dictionary,
     terms_of,
 )
+from paperlantern.operators.lookup import term_grams, term_spellings
 from paperlantern.session import settle, small_side
 from paperlantern.sources.catalog import CATALOG_SCHEMA, register_index
 from paperlantern.sources.storage import exists
@@ -61,6 +65,8 @@ class IndexTables:
     catalog: DataFrame | None = None
     positions: bool = True
     stopwords: tuple[str, ...] = ()
+    grams: DataFrame | None = None  # gram term
+    spellings: DataFrame | None = None  # spelling term
 
 
 def index_in_memory(docs: DataFrame, buckets: int = 8, positions: bool = True, catalog: DataFrame | None = None, stopwords=()) -> IndexTables:
@@ -145,9 +151,38 @@ def _write_segment(spark, root, seq, rows, like, supersedes, before, catalog=Non
     """``like`` is a segment whose layout this one shares."""
     segment = replace(like, seq=seq, attempt=uuid.uuid4().hex, supersedes=supersedes, catalog=catalog is not None, first=-1, weight=1)
     _write_bucketed(rows, f"{root}/rows/{segment.folder}")
-    written = _read_rows(spark, root, [segment])
-    _write_bucketed(term_dictionary(written.where("bucket >= 0 AND tf > 0")), f"{root}/terms/{segment.folder}")
-    docs = written.where("bucket < 0")
+    beside = [lambda: _write_terms(spark, root, segment), lambda: _write_stats(spark, root, segment, before)]
+    if catalog is not None:
+        found = catalog.select("index_id", "base_path", "extensions", "created_at")
+        beside.append(lambda: found.write.mode("overwrite").parquet(f"{root}/catalog/{segment.folder}"))
+    _at_once(*beside)
+    commit(spark, root, segment)
+
+
+def _at_once(*jobs) -> None:
+    """Writes that do not wait for each other."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for done in [pool.submit(job) for job in jobs]:
+            done.result()
+
+
+def _write_terms(spark: SparkSession, root: str, segment: Segment) -> None:
+    """Document frequencies of the written rows, and what finds terms by pattern and spelling."""
+    rows = _read_rows(spark, root, [segment])
+    _write_bucketed(term_dictionary(rows.where("bucket >= 0 AND tf > 0")), f"{root}/terms/{segment.folder}")
+    terms = spark.read.schema("term string").parquet(f"{root}/terms/{segment.folder}").distinct()
+
+    def sorted_by(column: str, table: DataFrame, folder: str) -> None:
+        table.repartitionByRange(column).sortWithinPartitions(column, "term").write.mode("overwrite").parquet(f"{root}/{folder}/{segment.folder}")
+
+    _at_once(
+        lambda: sorted_by("gram", term_grams(terms), "grams"),
+        lambda: sorted_by("spelling", term_spellings(terms), "spellings"),
+    )
+
+
+def _write_stats(spark: SparkSession, root: str, segment: Segment, before) -> None:
+    docs = _read_rows(spark, root, [segment]).where("bucket < 0")
     delta = docs.where("NOT deleted").groupBy("index_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("n_bytes"))
     if before is not None:
         # what the changed keys held until now, read from their buckets only
@@ -158,9 +193,6 @@ def _write_segment(spark, root, seq, rows, like, supersedes, before, catalog=Non
         delta = delta.unionByName(old)
     delta = delta.groupBy("index_id").agg(F.sum("n_docs").cast("long").alias("n_docs"), F.sum("n_bytes").cast("long").alias("n_bytes"))
     delta.write.mode("overwrite").parquet(f"{root}/stats/{segment.folder}")
-    if catalog is not None:
-        catalog.select("index_id", "base_path", "extensions", "created_at").write.mode("overwrite").parquet(f"{root}/catalog/{segment.folder}")
-    commit(spark, root, segment)
 
 
 def commit(spark: SparkSession, root: str, segment: Segment) -> None:
@@ -308,9 +340,15 @@ def open_index(spark: SparkSession, root: str, upto: int | None = None) -> Index
     if len(found) > 1:
         terms = terms.groupBy("index_id", "bucket", "term").agg(F.sum("df").alias("df"))
     stats = _stats(spark, root, found).where("n_docs > 0")
+
+    def lookup(folder: str, column: str) -> DataFrame:
+        table = spark.read.schema(f"{column} string, term string").parquet(*[f"{root}/{folder}/{s.folder}" for s in found])
+        return table.distinct() if len(found) > 1 else table
+
     return IndexTables(
         documents, postings, terms.select("index_id", "bucket", "term", "df"), stats,
         found[0].buckets, not newer, read_catalog(spark, root, found), found[0].positions, found[0].stopwords,
+        lookup("grams", "gram"), lookup("spellings", "spelling"),
     )
 
 
@@ -335,8 +373,7 @@ def merge_segments(spark: SparkSession, root: str, first: int, last: int) -> Seg
         chosen[0].lowest, sum(s.weight for s in chosen), chosen[0].stopwords,
     )
     _write_bucketed(rows, f"{root}/rows/{merged.folder}")
-    written = _read_rows(spark, root, [merged])
-    _write_bucketed(term_dictionary(written.where("bucket >= 0 AND tf > 0")), f"{root}/terms/{merged.folder}")
+    _write_terms(spark, root, merged)
     _stats(spark, root, chosen).write.mode("overwrite").parquet(f"{root}/stats/{merged.folder}")
     if merged.catalog:
         read_catalog(spark, root, chosen).write.mode("overwrite").parquet(f"{root}/catalog/{merged.folder}")

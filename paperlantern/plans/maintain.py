@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlantern.operators.changes import below_folder, last_change, snapshot_diff
-from paperlantern.plans.index import append_segment, open_index, write_index
+from paperlantern.plans.index import IndexTables, append_segment, open_index, write_index
 from paperlantern.session import cut_lineage, small_side, take_if_small
 from paperlantern.sources.catalog import catalog_rows
 from paperlantern.sources.files import (
@@ -47,6 +47,13 @@ def apply_changes(spark: SparkSession, root: str, changes: DataFrame, corpus: Da
     return append_segment(spark, root, docs, deleted, seq)
 
 
+def _opened(spark: SparkSession, root: str) -> IndexTables:
+    index = open_index(spark, root)
+    if index is None:
+        raise ValueError(f"no index at {root}")
+    return index
+
+
 def _as_glob(path: str) -> str:
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
@@ -63,7 +70,7 @@ def reindex(
     Up to some thousand changed files are opened by name; more are picked from a
     scan of the folder.
     """
-    index = open_index(spark, root)
+    index = _opened(spark, root)
     base, _, name = folder.rstrip("/").rpartition("/")
     listing = corpus_listing(spark, folder, extensions)
     changes = cut_lineage(snapshot_diff(index.documents.where(F.col("index_id") == name), listing))
@@ -81,7 +88,7 @@ def reindex(
 
 def remove_folder(spark: SparkSession, root: str, folder: str) -> int:
     """Bury every document of a (relative) folder and of the folders below it."""
-    index = open_index(spark, root)
+    index = _opened(spark, root)
     return append_segment(spark, root, None, below_folder(index.documents, folder).select(*KEY))
 
 

@@ -70,7 +70,7 @@ def resolve_terms(index: IndexTables, clauses: DataFrame, stats: DataFrame, scop
     found = present.select(*columns)
     if not at_most(expanding, 0):
         one = F.lit(1)
-        expanded = expand_terms(dictionary, expanding, _CARRY)
+        expanded = expand_terms(dictionary, expanding, _CARRY, index.grams, index.spellings, index.buckets)
         expanded = expanded.withColumns({"ordinal": F.lit(0), "mult": one, "width": one, "literal": F.lit(False)})
         found = found.unionByName(expanded.select(*columns))
     sizes = small_side(stats.select("index_id", "n_docs"))

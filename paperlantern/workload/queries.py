@@ -251,6 +251,40 @@ MATCHES = [c for name in ("q03_match", "q04_boolean", "q14_boost") for c in SPEC
 FOLDERS = ["src1/en", "src10/fr", "src10/de", "src2", "src7/es"]
 
 
+_WORD_SQL = "regexp_extract(lower(text), '[a-z]{5,}', 0)"
+
+
+@_register(
+    "q07_q11_q12_expand_batch",
+    rf"""WITH {DOCS_SQL},
+dict AS (SELECT index_id, term, count(DISTINCT path) AS df FROM (SELECT index_id, path, unnest(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+')) AS term FROM docs) GROUP BY ALL),
+terms AS (SELECT term, count(*) AS n_indexes, CAST(sum(df) AS BIGINT) AS df FROM dict GROUP BY term),
+w AS (SELECT item_id, {_WORD_SQL} AS w FROM benchmark),
+q AS (SELECT CAST(item_id AS VARCHAR) AS query_id, item_id % 4 AS kind, w, substr(w, 1, 2) || '.' || substr(w, 4) || '.*' AS wild,
+             substr(w, 1, 3) || '[a-z]*' || substr(w, length(w) - 1) AS pattern, CASE WHEN item_id % 8 = 3 THEN 2 ELSE 1 END AS n FROM w WHERE w <> '')
+SELECT query_id, term, n_indexes, df FROM terms JOIN q ON
+     (kind = 0 AND regexp_full_match(term, pattern)) OR (kind = 1 AND regexp_full_match(term, wild)) OR (kind = 2 AND starts_with(term, substr(w, 1, 4)))
+  OR (kind = 3 AND levenshtein(regexp_replace(term, '[^\x00-\x7F]', '~', 'g'), w) <= n)""",
+)
+def expand_batch(spark, sf):
+    """A pattern or near spelling of a word of every benchmark item, found by the lookup tables."""
+    index = fx.stored_index(spark, sf)
+    items = fx.table(spark, sf, "benchmark").select("item_id", F.regexp_extract(F.lower("text"), "[a-z]{5,}", 0).alias("w")).where("w != ''")
+    part = lambda first, n: F.substring("w", first, n)
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("regexp", "wildcard", "prefix", "fuzzy")]), (F.col("item_id") % 4 + 1).cast("int"))
+    text = (
+        F.when(kind == "regexp", F.concat(part(1, 3), F.lit("[a-z]*"), F.substring("w", F.length("w") - 1, F.lit(2))))
+        .when(kind == "wildcard", F.concat(part(1, 2), F.lit("?"), part(4, 1_000), F.lit("*")))
+        .when(kind == "prefix", part(1, 4)).otherwise(F.col("w"))
+    )
+    specs = items.select(
+        F.col("item_id").cast("string").alias("query_id"), F.lit(0).alias("clause_id"), kind.alias("kind"), text.alias("text"),
+        F.when(F.col("item_id") % 8 == 3, 2).otherwise(1).alias("fuzziness"),
+    )
+    found = cl.expand_terms(index.dictionary, specs, ["query_id", "clause_id"], index.grams, index.spellings, index.buckets)
+    return found.groupBy("query_id", "term").agg(F.count("*").alias("n_indexes"), F.sum("df").alias("df"))
+
+
 @_register("r1_score", scored_ctes(MATCHES) + "\nSELECT query_id, index_id, path, score FROM scored")
 def r1(spark, sf):
     return score_documents(fx.stored_index(spark, sf), _specs(spark, MATCHES))
