@@ -10,6 +10,7 @@ Below ``<root>``, for every attempt to write segment N (``seq=N/attempt=…``):
 ``stats/…``           change of document count and bytes
 ``catalog/…``         collections that the segment brings
 ``segments/seq=N``    commit records, written last; the newest one counts
+``claims/seq=N``      empty files by which writers take numbers
 
 All collections share the tables.  A segment is addressed by its number.  An attempt
 has folders of its own and nothing refers to them before its commit record is
@@ -44,7 +45,7 @@ from paperlantern.operators.analyze import (
 from paperlantern.operators.lookup import term_grams, term_spellings
 from paperlantern.session import settle, small_side
 from paperlantern.sources.catalog import CATALOG_SCHEMA, register_index
-from paperlantern.sources.storage import exists
+from paperlantern.sources.storage import create_new, exists, listed, remove
 from paperlantern.streaming.progress import ingest_progress
 
 KEY = ["index_id", "path"]
@@ -229,6 +230,50 @@ def next_seq(spark: SparkSession, root: str) -> int:
     return found[-1].seq + 1 if found else 0
 
 
+def claim_seq(spark: SparkSession, root: str, first: int) -> int:
+    """The smallest number from ``first`` on that no other writer has taken, taken for the caller.
+
+    Writers that run at once get numbers of their own, so no commit hides another.  A
+    writer that dies leaves a number unused."""
+    seq = max([first, *(int(name[4:]) + 1 for name, _ in listed(spark, f"{root}/claims") if int(name[4:]) >= first)])
+    while not create_new(spark, f"{root}/claims/seq={seq}"):
+        seq += 1
+    return seq
+
+
+#: Folders below the root that hold one folder per attempt.
+_FOLDERS = ("rows", "terms", "grams", "spellings", "stats", "catalog")
+
+
+def clean_up(spark: SparkSession, root: str, older_than: float = 86_400.0) -> int:
+    """Delete what no search can read any more: attempts without a commit that counts, and
+    commit records and claims of segments that were merged.  Returns how many folders went.
+
+    ``older_than`` seconds must have passed since a folder's last change: longer than any
+    write takes, and than any search that began before a merge.  The last segment's
+    record always stays, so numbers are not used again.
+    """
+    found = segments(spark, root)
+    if not found:
+        return 0
+    limit = (time.time() - older_than) * 1000
+    used, gone = {(s.seq, s.attempt) for s in found}, []
+    merged = [n for s in found for n in range(s.lowest, s.seq)]
+    for folder in _FOLDERS:
+        for name, _ in listed(spark, f"{root}/{folder}"):
+            if not name.startswith("seq=") or int(name[4:]) > found[-1].seq:
+                continue  # not yet committed
+            attempts = [(a, at) for a, at in listed(spark, f"{root}/{folder}/{name}") if a.startswith("attempt=")]
+            dead = [a for a, at in attempts if at < limit and (int(name[4:]), a[8:]) not in used]
+            gone += [f"{root}/{folder}/{name}"] if len(dead) == len(attempts) else [f"{root}/{folder}/{name}/{a}" for a in dead]
+    for folder in ("segments", "claims"):
+        there = dict(listed(spark, f"{root}/{folder}"))
+        gone += [f"{root}/{folder}/seq={n}" for n in merged if there.get(f"seq={n}", limit) < limit]
+    for path in gone:
+        remove(spark, path)
+    return len(gone)
+
+
 def write_index(
     docs: DataFrame,
     root: str,
@@ -251,7 +296,7 @@ def write_index(
     spark = docs.sparkSession
     found = segments(spark, root)
     like = found[0] if found else Segment(0, "", buckets, positions, False, False, stopwords=tuple(stopwords))
-    seq = seq if seq is not None else (found[-1].seq + 1 if found else 0)
+    seq = seq if seq is not None else claim_seq(spark, root, found[-1].seq + 1 if found else 0)
     if catalog is not None:
         others = [s for s in found if s.seq != seq]
         accepted = settle(register_index(read_catalog(spark, root, others), catalog))
@@ -279,12 +324,11 @@ def append_segment(
 ) -> int:
     """Replace documents by key and delete others, as one segment.
 
-    One writer at a time: a caller that runs a stream beside other writers gives
-    ``seq`` itself."""
+    Writers may run at once; of a key that two of them change, the higher number counts."""
     found = segments(spark, root)
     if not found:
         raise ValueError(f"no index at {root}")
-    seq = seq if seq is not None else found[-1].seq + 1
+    seq = seq if seq is not None else claim_seq(spark, root, found[-1].seq + 1)
     layout = (found[0].buckets, found[0].positions, found[0].stopwords)
     parts = []
     if docs is not None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlantern.operators.changes import debounce_stream, expand_dir_events
-from paperlantern.plans.index import merge_tail, next_seq
+from paperlantern.plans.index import clean_up, merge_tail, next_seq
 from paperlantern.plans.maintain import apply_changes
 from paperlantern.session import cut_lineage
 from paperlantern.sources.files import DEFAULT_EXTENSIONS
@@ -33,6 +33,7 @@ def stream_index(
     gap: str | None = "10 seconds",
     trigger: dict | None = None,
     progress: str | None = None,
+    keep_seconds: float = 86_400.0,
 ):
     """Start the stream: quiet periods → folder events → upserts and deletes.
 
@@ -56,7 +57,8 @@ def stream_index(
         if progress is not None:
             docs = ingest_progress(docs, f"{progress}-{batch_id}")
         apply_changes(batch.sparkSession, root, batch, docs, extensions, seq=first + batch_id)
-        merge_tail(batch.sparkSession, root)
+        if merge_tail(batch.sparkSession, root):
+            clean_up(batch.sparkSession, root, keep_seconds)
 
     source = debounce_stream(changes, gap) if gap else changes
     return (
