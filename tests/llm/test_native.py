@@ -135,7 +135,48 @@ def test_mix(spark, clashing):
     assert mixing.mix(clashing([])).count() == 0 and mixing.mixed(clashing([])).count() == 0
 
 
-def test_inclusion_is_as_wanted(spark, documents):
-    docs = documents([(i, "w w w", "en", "a" if i % 4 else "b") for i in range(8_000)])
-    by = {r.target / r.source_size: r.share for r in mixing.mix(docs).groupBy("target", "source_size").agg((F.sum("copies") / F.count("*")).alias("share")).collect()}
-    assert all(abs(wanted - got) < 0.01 for wanted, got in by.items())
+def wanted(sizes, favours, target, most=3):
+    """Copies by favour: the common level of those that are not at their limit, by rounds."""
+    open_, left = set(favours), target
+    while open_:
+        level = left / sum(sizes[f] * f for f in open_)
+        over = {f for f in open_ if level * f > most}
+        if not over:
+            break
+        left -= sum(most * sizes[f] for f in over)
+        open_ -= over
+    return {f: level * f if f in open_ else most for f in favours}
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_unequal_inclusion_is_as_wanted(spark, documents, own):
+    lengths = (1, 3, 9, 40, 170)
+    docs = [(i, "w " * lengths[i % 5], "en", "abcd"[i % 4 * (i % 3 > 0)]) for i in range(24_000)]
+    favour = F.when(F.col("n_chars") > 50, 1).otherwise(5) if own else None
+    favours = {n: (1 if 2 * n > 50 else 5) if own else n.bit_length() for n in lengths}
+    found = mixing.mix(documents(docs), favour).collect()
+    source = {d[0]: d[3] for d in docs}
+    by_source = {}
+    for r in found:
+        by_source.setdefault(source[r.doc_id], []).append(r)
+    unequal = 0
+    for mine in by_source.values():
+        sizes = {}
+        for r in mine:
+            sizes[favours[r.size]] = sizes.get(favours[r.size], 0) + r.size
+        expected = wanted(sizes, set(sizes), mine[0].target)
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(lengths) / 2 + 1
+        for n in lengths:
+            copies = [r.copies for r in mine if r.size == n]
+            chance = expected[favours[n]] % 1
+            assert all(r.expected == pytest.approx(expected[favours[n]]) for r in mine if r.size == n)
+            assert {int(expected[favours[n]] + 1e-9)} <= set(copies) <= {int(expected[favours[n]] + 1e-9), int(expected[favours[n]] + 1e-9) + 1}
+            assert abs(sum(copies) / len(copies) - expected[favours[n]]) <= 5 * (chance * (1 - chance) / len(copies)) ** 0.5 + 0.01
+        unequal += len({round(v % 1, 6) for v in expected.values()}) > 1
+    assert unequal >= 2
+
+
+def test_copies_where_all_are_at_the_limit(spark, documents):
+    docs = [(1, "a b c", "en", "small"), (2, "a", "en", "small"), (3, "", "en", "small"), (4, "x " * 4_000, "en", "t"), (5, None, "en", "none")]
+    found = {r.doc_id: (r.taken, r.copies) for r in mixing.mix(documents(docs)).collect()}
+    assert found[1] == (9, 3) and found[2] == (3, 3) and found[3] == (0, 3) and found[5] == (0, 0)
