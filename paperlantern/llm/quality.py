@@ -39,6 +39,8 @@ FEATURES = DIMENSIONS + 1
 #: Rows of the table that travel together; tokens whose vectors are in memory at once.
 BLOCK = 256
 CHUNK = 100_000
+#: Tasks that share the first level of adding up.
+SALTS = 64
 
 
 def pieces_of(texts: pa.Array) -> tk.Tokens:
@@ -143,8 +145,9 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7, steps: int = 1500, l2: floa
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The table of unit vectors, from every whole text.
 
-    Each task adds up its own table and sends blocks of it; the blocks are added
-    up by the executors, and the driver gets one table of fixed size.
+    Each task adds up its own table and sends blocks of it.  The blocks are added up by
+    the executors in two levels, (block, salt) and block, batch by batch, so a task holds
+    one table at most whatever the number of tasks; the driver gets one table of fixed size.
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,16 +159,19 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         full = np.flatnonzero(parts.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([parts[i].tobytes() for i in full], pa.binary())], ["block", "sums"])
 
-    def add(block: pa.Table) -> pa.Table:
-        total = np.zeros(BLOCK * DIMENSIONS, np.int64)
-        for cell in block["sums"]:
-            total += np.frombuffer(cell.as_buffer(), np.int64)
-        return pa.table({"block": block["block"].slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, cell in zip(batch["block"].to_pylist(), batch["sums"]):
+                total.setdefault(block, np.zeros(BLOCK * DIMENSIONS, np.int64))[:] += np.frombuffer(cell.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["block", "sums"])
 
     schema = "block long, sums binary"
     parts = docs.select(F.col("text").cast("string")).mapInArrow(gather, schema)
+    salted = parts.withColumn("salt", F.spark_partition_id() % SALTS).repartition(SALTS, "block", "salt")
+    total = salted.select("block", "sums").mapInArrow(add, schema).repartition(BUCKETS // BLOCK, "block").mapInArrow(add, schema)
     sums = np.zeros((BUCKETS // BLOCK, BLOCK * DIMENSIONS), np.int64)
-    for row in parts.groupBy("block").applyInArrow(add, schema).toArrow().to_pylist():
+    for row in total.toArrow().to_pylist():
         sums[row["block"]] = np.frombuffer(row["sums"], np.int64)
     return unit_rows(sums)
 
