@@ -9,6 +9,7 @@ Below ``<root>``, for every attempt to write segment N (``seq=N/attempt=…``):
 ``spellings/…``       beginnings of the terms with characters left out, sorted, for near spellings
 ``stats/…``           change of document count and bytes
 ``catalog/…``         collections that the segment brings
+``skipped/…``         listed files that gave no document
 ``segments/seq=N``    commit records, written last; the newest one counts
 ``claims/seq=N``      empty files by which writers take numbers
 
@@ -45,6 +46,7 @@ from paperlantern.operators.analyze import (
 from paperlantern.operators.lookup import term_grams, term_spellings
 from paperlantern.session import settle, small_side
 from paperlantern.sources.catalog import CATALOG_SCHEMA, register_index
+from paperlantern.sources.files import skipped_files
 from paperlantern.sources.storage import create_new, exists, listed, remove
 from paperlantern.streaming.progress import ingest_progress
 
@@ -135,6 +137,7 @@ class Segment:
     first: int = -1  # of the numbers that a merged segment stands for
     weight: int = 1  # segments merged into it
     stopwords: tuple[str, ...] = ()
+    skipped: bool = False
 
     @property
     def lowest(self) -> int:
@@ -145,17 +148,21 @@ class Segment:
         return f"seq={self.seq}/attempt={self.attempt}"
 
 
-_COMMIT = "attempt string, buckets int, positions boolean, supersedes boolean, catalog boolean, first long, weight int, stopwords array<string>, at long"
+_COMMIT = "attempt string, buckets int, positions boolean, supersedes boolean, catalog boolean, first long, weight int, stopwords array<string>, at long, skipped boolean"
 
 
-def _write_segment(spark, root, seq, rows, like, supersedes, before, catalog=None) -> None:
+def _write_segment(spark, root, seq, rows, like, supersedes, before, catalog=None, listing=None) -> None:
     """``like`` is a segment whose layout this one shares."""
-    segment = replace(like, seq=seq, attempt=uuid.uuid4().hex, supersedes=supersedes, catalog=catalog is not None, first=-1, weight=1)
+    segment = replace(
+        like, seq=seq, attempt=uuid.uuid4().hex, supersedes=supersedes, catalog=catalog is not None, first=-1, weight=1, skipped=listing is not None
+    )
     _write_bucketed(rows, f"{root}/rows/{segment.folder}")
     beside = [lambda: _write_terms(spark, root, segment), lambda: _write_stats(spark, root, segment, before)]
     if catalog is not None:
         found = catalog.select("index_id", "base_path", "extensions", "created_at")
         beside.append(lambda: found.write.mode("overwrite").parquet(f"{root}/catalog/{segment.folder}"))
+    if listing is not None:
+        beside.append(lambda: _write_skipped(spark, root, segment, listing))
     _at_once(*beside)
     commit(spark, root, segment)
 
@@ -196,9 +203,36 @@ def _write_stats(spark: SparkSession, root: str, segment: Segment, before) -> No
     delta.write.mode("overwrite").parquet(f"{root}/stats/{segment.folder}")
 
 
+def _write_skipped(spark: SparkSession, root: str, segment: Segment, listing: DataFrame) -> None:
+    """The listed files that are not among the written documents."""
+    docs = _read_rows(spark, root, [segment]).where("bucket < 0 AND NOT deleted")
+    skipped_files(listing, docs, None).write.mode("overwrite").parquet(f"{root}/skipped/{segment.folder}")
+
+
+def skipped(spark: SparkSession, root: str) -> DataFrame:
+    """(index_id, path, reason, seq) of the files that a write listed and could not read, or
+    found empty, as of the last write that tried; without those that a later segment
+    holds or buries."""
+    found = segments(spark, root)
+    if not any(s.skipped for s in found):
+        return spark.createDataFrame([], f"{_SKIPPED}, seq long")
+    return _still_skipped(spark, root, found)
+
+
+def _still_skipped(spark: SparkSession, root: str, found: list[Segment]) -> DataFrame:
+    paths = [f"{root}/skipped/{s.folder}" for s in found if s.skipped]
+    rows = spark.read.schema(f"{_SKIPPED}, seq long, attempt string").option("basePath", f"{root}/skipped").parquet(*paths)
+    last = rows.groupBy(*KEY).agg(F.max_by("reason", "seq").alias("reason"), F.max("seq").alias("seq"))
+    later = _read_rows(spark, root, found).where("bucket < 0").select(*KEY, F.col("seq").alias("later"))
+    return last.join(later, (last.index_id == later.index_id) & (last.path == later.path) & (F.col("later") > F.col("seq")), "left_anti")
+
+
+_SKIPPED = "index_id string, path string, reason string"
+
+
 def commit(spark: SparkSession, root: str, segment: Segment) -> None:
     """From here on the attempt is the segment; one small file, added and never replaced."""
-    record = [(segment.attempt, segment.buckets, segment.positions, segment.supersedes, segment.catalog, segment.lowest, segment.weight, list(segment.stopwords), time.time_ns())]
+    record = [(segment.attempt, segment.buckets, segment.positions, segment.supersedes, segment.catalog, segment.lowest, segment.weight, list(segment.stopwords), time.time_ns(), segment.skipped)]
     spark.createDataFrame(record, _COMMIT).coalesce(1).write.mode("append").parquet(f"{root}/segments/seq={segment.seq}")
 
 
@@ -209,7 +243,7 @@ def segments(spark: SparkSession, root: str) -> list[Segment]:
         return []
     newest: dict[tuple[int, int], tuple[int, Segment]] = {}
     for r in spark.read.schema(f"{_COMMIT}, seq long").parquet(path).collect():
-        segment = Segment(r.seq, r.attempt, r.buckets, r.positions, r.supersedes, r.catalog, r.first, r.weight, tuple(r.stopwords))
+        segment = Segment(r.seq, r.attempt, r.buckets, r.positions, r.supersedes, r.catalog, r.first, r.weight, tuple(r.stopwords), bool(r.skipped))
         newest[r.first, r.seq] = max(newest.get((r.first, r.seq), (-1, segment)), (r.at, segment), key=lambda x: x[0])
     kept: list[Segment] = []
     for _, segment in sorted(newest.values(), key=lambda x: (x[1].lowest - x[1].seq, x[1].seq)):  # the widest first
@@ -242,7 +276,7 @@ def claim_seq(spark: SparkSession, root: str, first: int) -> int:
 
 
 #: Folders below the root that hold one folder per attempt.
-_FOLDERS = ("rows", "terms", "grams", "spellings", "stats", "catalog")
+_FOLDERS = ("rows", "terms", "grams", "spellings", "stats", "catalog", "skipped")
 
 
 def clean_up(spark: SparkSession, root: str, older_than: float = 86_400.0) -> int:
@@ -284,13 +318,15 @@ def write_index(
     seq: int | None = None,
     progress: Observation | str | None = None,
     stopwords=(),
+    listing: DataFrame | None = None,
 ) -> int:
     """Add new collections as one segment; texts are read and analysed once.
 
     ``catalog`` rows whose collection another segment has already are refused
     together with their documents; writing the same ``seq`` again accepts what it
     accepted before.  ``large_lines`` are files read line by line.  ``progress``
-    observes the documents that are written (G5).  Buckets, positions and stop words
+    observes the documents that are written (G5).  ``listing`` rows (index_id, path, size)
+    without a document are kept as :func:`skipped` files.  Buckets, positions and stop words
     are those of the first segment from then on.
     """
     spark = docs.sparkSession
@@ -304,13 +340,15 @@ def write_index(
         docs = docs.join(names, "index_id", "left_semi")
         if large_lines is not None:
             large_lines = large_lines.join(names, "index_id", "left_semi")
+        if listing is not None:
+            listing = listing.join(names, "index_id", "left_semi")
     if progress is not None:
         docs = ingest_progress(docs, progress)
     layout = (like.buckets, like.positions, like.stopwords)
     rows = _segment_rows(docs, *layout)
     if large_lines is not None:
         rows = rows.unionByName(_large_rows(large_lines, *layout))
-    _write_segment(spark, root, seq, rows, like, False, None, accepted if catalog is not None else None)
+    _write_segment(spark, root, seq, rows, like, False, None, accepted if catalog is not None else None, listing)
     return seq
 
 
@@ -321,9 +359,12 @@ def append_segment(
     deleted: DataFrame | None = None,
     seq: int | None = None,
     large_lines: DataFrame | None = None,
+    listing: DataFrame | None = None,
 ) -> int:
     """Replace documents by key and delete others, as one segment.
 
+    ``listing`` names the files that were to be read (:func:`skipped`).
+
     Writers may run at once; of a key that two of them change, the higher number counts."""
     found = segments(spark, root)
     if not found:
@@ -339,7 +380,7 @@ def append_segment(
         parts.append(_large_rows(large_lines, *layout))
     rows = reduce(DataFrame.unionByName, parts)
     before = open_index(spark, root, upto=seq)
-    _write_segment(spark, root, seq, rows, found[0], True, before)
+    _write_segment(spark, root, seq, rows, found[0], True, before, listing=listing)
     return seq
 
 
@@ -414,13 +455,15 @@ def merge_segments(spark: SparkSession, root: str, first: int, last: int) -> Seg
     rows = (_newest_rows(rows, newer) if newer else rows).drop("seq")
     merged = Segment(
         chosen[-1].seq, uuid.uuid4().hex, chosen[0].buckets, chosen[0].positions, bool(newer), any(s.catalog for s in chosen),
-        chosen[0].lowest, sum(s.weight for s in chosen), chosen[0].stopwords,
+        chosen[0].lowest, sum(s.weight for s in chosen), chosen[0].stopwords, any(s.skipped for s in chosen),
     )
     _write_bucketed(rows, f"{root}/rows/{merged.folder}")
     _write_terms(spark, root, merged)
     _stats(spark, root, chosen).write.mode("overwrite").parquet(f"{root}/stats/{merged.folder}")
     if merged.catalog:
         read_catalog(spark, root, chosen).write.mode("overwrite").parquet(f"{root}/catalog/{merged.folder}")
+    if merged.skipped:
+        _still_skipped(spark, root, chosen).drop("seq").write.mode("overwrite").parquet(f"{root}/skipped/{merged.folder}")
     commit(spark, root, merged)
     return merged
 

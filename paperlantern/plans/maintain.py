@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlantern.operators.changes import below_folder, last_change, snapshot_diff
-from paperlantern.plans.index import IndexTables, append_segment, open_index, write_index
+from paperlantern.plans.index import IndexTables, append_segment, open_index, skipped, write_index
 from paperlantern.session import cut_lineage, small_side, take_if_small
 from paperlantern.sources.catalog import catalog_rows
 from paperlantern.sources.files import (
@@ -28,10 +28,11 @@ CHANGED_FILES = 5_000
 def initial_scan(
     spark: SparkSession, root: str, folder: str, extensions=DEFAULT_EXTENSIONS, whole_file_bytes: int = WHOLE_FILE_BYTES, **options
 ) -> int:
-    """Index a folder: scan, analyse, write (C11)."""
+    """Index a folder: scan, analyse, write (C11).  Files that gave no document are kept as rows (``index.skipped``)."""
+    listing = corpus_listing(spark, folder, extensions)  # before the scan: a file that comes in between is not missed
     docs = corpus_scan(spark, folder, extensions, whole_file_bytes=whole_file_bytes)
     lines = large_file_lines(spark, folder, extensions, whole_file_bytes=whole_file_bytes)
-    return write_index(docs, root, catalog_rows(spark, [(folder, list(extensions))]), large_lines=lines, **options)
+    return write_index(docs, root, catalog_rows(spark, [(folder, list(extensions))]), large_lines=lines, listing=listing, **options)
 
 
 def apply_changes(spark: SparkSession, root: str, changes: DataFrame, corpus: DataFrame, extensions=DEFAULT_EXTENSIONS, seq: int | None = None) -> int:
@@ -68,7 +69,7 @@ def reindex(
     """Bring one folder up to date: listing, difference, changed files only.
 
     Up to some thousand changed files are opened by name; more are picked from a
-    scan of the folder.
+    scan of the folder.  Files that cannot be read are tried again each time and kept as rows.
     """
     index = _opened(spark, root)
     base, _, name = folder.rstrip("/").rpartition("/")
@@ -76,14 +77,16 @@ def reindex(
     changes = cut_lineage(snapshot_diff(index.documents.where(F.col("index_id") == name), listing))
     upserts = changes.where("op <> 'delete'").select(*KEY)
     few = take_if_small(upserts, CHANGED_FILES)
-    deleted = changes.where("op = 'delete'").select(*KEY)
+    # a file that could not be read and is gone since is buried too
+    gone = skipped(spark, root).where(F.col("index_id") == name).join(listing, KEY, "left_anti")
+    deleted = changes.where("op = 'delete'").select(*KEY).unionByName(gone.select(*KEY))
     if few is not None and not few:
         return append_segment(spark, root, None, deleted)
     paths = [_as_glob(f"{base}/{r.path}") for r in few] if few is not None else None
     wanted = small_side(upserts)
     docs = corpus_scan(spark, folder, extensions, whole_file_bytes, paths).join(wanted, KEY, "left_semi")
     lines = large_file_lines(spark, folder, extensions, whole_file_bytes, paths).join(wanted, KEY, "left_semi")
-    return append_segment(spark, root, docs, deleted, large_lines=lines)
+    return append_segment(spark, root, docs, deleted, large_lines=lines, listing=listing.join(wanted, KEY, "left_semi"))
 
 
 def remove_folder(spark: SparkSession, root: str, folder: str) -> int:

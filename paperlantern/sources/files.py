@@ -73,7 +73,7 @@ def corpus_scan(
 ) -> DataFrame:
     """Every allowed file below ``folder``, one row each, content as one string.
 
-    Unreadable files are skipped (:func:`skipped_files` names them).  Bad bytes become U+FFFD.  Files larger than
+    Unreadable files are skipped; a write keeps their names (``plans.index.skipped``).  Bad bytes become U+FFFD.  Files larger than
     ``whole_file_bytes`` are left to :func:`large_file_lines`; size is a file
     attribute, so they are dropped while listing and never opened here.
     ``paths`` restricts the scan to single files below the folder.
@@ -120,11 +120,10 @@ def large_file_lines(
     return filter_extensions(to_documents(raw, name, base), extensions)
 
 
-
-
-def skipped_files(listing: DataFrame, docs: DataFrame, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+def skipped_files(listing: DataFrame, docs: DataFrame, whole_file_bytes: int | None = WHOLE_FILE_BYTES) -> DataFrame:
     """(index_id, path, reason) of the listed files that gave no document: those
-    that could not be read, and empty ones, which Spark's readers leave out."""
-    whole = listing.where(F.col("size") <= whole_file_bytes)
+    that could not be read, and empty ones, which Spark's readers leave out.
+    ``docs`` holds files up to ``whole_file_bytes``, None: of every size."""
+    whole = listing if whole_file_bytes is None else listing.where(F.col("size") <= whole_file_bytes)
     missing = whole.join(docs.select("index_id", "path"), ["index_id", "path"], "left_anti")
     return missing.select("index_id", "path", F.when(F.col("size") == 0, "empty").otherwise("unreadable").alias("reason"))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from paperlantern.operators import changes as ch
 from paperlantern.operators.clauses import query_specs, validate_queries
-from paperlantern.plans.index import merge_segments, open_index, read_catalog, segments, write_index
-from paperlantern.plans.maintain import apply_changes, initial_scan, reindex, remove_folder
+from paperlantern.plans.index import merge_segments, open_index, read_catalog, segments, skipped, write_index
+from paperlantern.plans.maintain import apply_changes, initial_scan, live_documents, reindex, remove_folder
 from paperlantern.plans.search import search
 from paperlantern.session import scratch_dir
 from paperlantern.sources.changelog import read_change_log, write_change_log
@@ -60,6 +60,20 @@ def s4(spark, sf):
     return _shown(spark, root)
 
 
+@register(
+    "s1_skipped_files",
+    f"""WITH {DOCS_SQL}, {CHANGES_SQL}, {LAST_SQL}
+  SELECT d.index_id, d.path, CASE WHEN d.size = 0 THEN 'empty' ELSE 'unreadable' END AS reason
+  FROM docs d JOIN final f USING (index_id, path) WHERE f.op = 'delete'""",
+)
+def s1_skipped(spark, sf):
+    """Files that were deleted between the listing and the reading of a folder."""
+    root, docs = _folder(spark, "upkeep"), fx.documents(spark, sf)
+    read = live_documents(docs, fx.changes(spark, sf))
+    write_index(read, root, fx.catalog(spark, sf), buckets=16, positions=False, listing=docs.select(*KEY, "size"))
+    return skipped(spark, root).select(*KEY, "reason")
+
+
 @register("s6_catalog", "SELECT DISTINCT source AS index_id, '/data/corpus' AS base_path, CAST(5 AS INTEGER) AS n_extensions FROM documents")
 def s6(spark, sf):
     catalog = read_catalog(spark, _written(spark, sf))

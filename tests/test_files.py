@@ -10,7 +10,7 @@ from paperlantern.operators.clauses import query_specs
 from paperlantern.operators.changes import last_change
 from paperlantern.operators.preview import highlight_segments, match_locations, preview, preview_large, preview_lines
 from paperlantern.plans import index as index_plans
-from paperlantern.plans.index import compact, open_index, read_catalog, segments, write_index
+from paperlantern.plans.index import compact, merge_segments, open_index, read_catalog, segments, skipped, write_index
 from paperlantern.plans.maintain import apply_changes, initial_scan, reindex, remove_folder
 from paperlantern.plans.search import search
 from paperlantern.sources.catalog import catalog_rows, list_indexes, register_index
@@ -214,6 +214,27 @@ def test_skipped_files_are_named(spark, folder):
     assert (("base/a.txt", "unreadable") in got) == ("base/a.txt" not in paths(docs))
 
 
+def test_skipped_files_are_rows_of_the_write(spark, folder, tmp_path, monkeypatch):
+    from paperlantern.plans import maintain
+
+    root, scan, broken = str(tmp_path / "index"), maintain.corpus_scan, {"base/a.txt", "base/a+b.md"}
+    monkeypatch.setattr(maintain, "corpus_scan", lambda *args, **named: scan(*args, **named).where(~F.col("path").isin(list(broken))))
+    initial_scan(spark, root, folder, whole_file_bytes=1000)
+    left = {r.path for r in skipped(spark, root).where("reason = 'unreadable'").collect()}
+    assert left == broken and not left & set(paths(open_index(spark, root).documents))
+    broken.remove("base/a.txt")
+    reindex(spark, root, folder, whole_file_bytes=1000)  # tries both again
+    got = {(r.path, r.seq) for r in skipped(spark, root).where("reason = 'unreadable'").collect()}
+    assert got == {("base/a+b.md", 1)} and "base/a.txt" in paths(open_index(spark, root).documents)
+    merge_segments(spark, root, 0, 1)
+    assert {(r.path, r.seq) for r in skipped(spark, root).where("reason = 'unreadable'").collect()} == got
+    os.remove(os.path.join(folder, "a+b.md"))
+    reindex(spark, root, folder, whole_file_bytes=1000)
+    assert skipped(spark, root).where("reason = 'unreadable'").count() == 0
+    write_index(scan(spark, folder).limit(0), str(tmp_path / "other"))
+    assert skipped(spark, str(tmp_path / "other")).count() == 0
+
+
 def test_preview_of_a_large_file_is_that_of_the_whole(spark, folder):
     with open(os.path.join(folder, "big.log"), "w") as f:
         f.write("\r\n".join(f"line {i} the end" if i % 3 else "" for i in range(2000)))
