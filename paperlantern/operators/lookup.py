@@ -1,7 +1,8 @@
 """Which terms a pattern or a near spelling can mean, without looking at all of them (Q7, Q11, Q12).
 
 Two tables beside the term dictionary, written with every segment and sorted by what
-they are asked for:
+they are asked for, as a 64-bit hash: it sorts fast and falls evenly over the files.  Two
+texts of one hash only give candidates more, and all candidates are tried:
 
 *Trigrams* ``(gram, term)``, a mark before and after the term counting as characters.  A
 pattern is taken apart into the runs of characters that a match must hold; a term that
@@ -15,6 +16,8 @@ most n characters left out on either side, so an equal join finds all candidates
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,24 +46,35 @@ def _grams(text: Column) -> Column:
 def term_grams(terms: DataFrame) -> DataFrame:
     """(gram, term) of every term."""
     marked = F.concat(F.lit(START), F.col("term"), F.lit(END))
-    return terms.select(F.explode(F.array_distinct(_grams(marked))).alias("gram"), "term")
+    return terms.select(F.explode(F.array_distinct(_grams(marked))).alias("gram"), "term").select(F.xxhash64("gram").alias("gram"), "term")
 
 
 def spellings(text, most: int) -> Column:
-    """The beginning of a text with up to ``most`` characters left out, in all ways."""
+    """The beginning of a text with up to ``most`` characters left out, in all ways.
+
+    One plain expression per choice of places, no lambda, so that it is compiled; a place
+    behind the end leaves nothing out, which repeats a spelling that is there already.
+    """
     head = F.substring(text, 1, PREFIX)
 
-    def shorter(s: Column) -> Column:
-        left_out = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.lit(PREFIX))))
-        return F.when(F.length(s) > 0, left_out).otherwise(_none())
+    def without(places: tuple[int, ...]) -> Column:
+        edges = zip((0, *places), (*places, PREFIX + 1))
+        kept = [F.substring(head, before + 1, after - before - 1) for before, after in edges if after - before > 1]
+        return F.concat(*kept)
 
-    found = [F.array(head), shorter(head), F.flatten(F.transform(shorter(head), shorter))]
-    return F.array_distinct(F.concat(*found[: most + 1]))
+    places = range(1, PREFIX + 1)
+    return F.array_distinct(F.array(*[without(chosen) for n in range(most + 1) for chosen in combinations(places, n)]))
 
 
 def term_spellings(terms: DataFrame) -> DataFrame:
     """(spelling, term) of every term."""
-    return terms.select(F.explode(spellings(F.col("term"), DELETES)).alias("spelling"), "term")
+    each = terms.select(F.explode(spellings(F.col("term"), DELETES)).alias("spelling"), "term")
+    return each.select(F.xxhash64("spelling").alias("spelling"), "term")
+
+
+def lookup_part(key, parts: int) -> Column:
+    """Which of ``parts`` equal ranges of hashes, in their order without sign, a hash is in."""
+    return F.floor(F.shiftrightunsigned(key, 33) * F.lit(parts) / F.lit(float(1 << 31))).cast("int")
 
 
 def pattern_grams(kind: Column, text: Column) -> Column:
@@ -95,7 +109,7 @@ def _asked(table: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
 
 def terms_by_gram(grams: DataFrame, clauses: DataFrame) -> DataFrame:
     """(clause, term) from (clause, grams): terms that hold the rarest trigrams of a clause."""
-    wanted = settle(clauses.select("clause", F.explode("grams").alias("gram")))
+    wanted = settle(clauses.select("clause", F.explode("grams").alias("gram")).select("clause", F.xxhash64("gram").alias("gram")).distinct())
     there = _asked(grams, "gram", wanted)
     counts = there.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = Window.partitionBy("clause").orderBy(F.coalesce("n", F.lit(0)), "gram")
@@ -110,7 +124,8 @@ def terms_by_spelling(table: DataFrame, clauses: DataFrame) -> DataFrame:
     """(clause, term) from (clause, text, n): terms that share a spelling with n characters left out at most."""
     n, text = F.col("n"), F.col("text")
     each = F.when(n == 0, spellings(text, 0)).when(n == 1, spellings(text, 1)).otherwise(spellings(text, DELETES))
-    wanted = settle(clauses.select("clause", "n", F.explode(each).alias("spelling")))
+    wanted = clauses.select("clause", "n", F.explode(each).alias("spelling"))
+    wanted = settle(wanted.select("clause", "n", F.length("spelling").alias("kept"), F.xxhash64("spelling").alias("spelling")))
     met = _asked(table, "spelling", wanted).join(small_side(wanted), "spelling")
-    left_out = F.length(F.substring("term", 1, PREFIX)) - F.length("spelling")
+    left_out = F.length(F.substring("term", 1, PREFIX)) - F.col("kept")
     return met.where(left_out <= F.col("n")).select("clause", "term").distinct()

@@ -5,8 +5,8 @@ Below ``<root>``, for every attempt to write segment N (``seq=N/attempt=…``):
 ``rows/…/bucket=b``   postings (b >= 0, sorted by term) and document rows (b < 0,
                     empty term)
 ``terms/…/bucket=b``  document frequencies
-``grams/…``           trigrams of the terms, sorted, for patterns
-``spellings/…``       beginnings of the terms with characters left out, sorted, for near spellings
+``grams/…``           trigrams of the terms (hashes), by range and sorted, for patterns
+``spellings/…``       beginnings of the terms with characters left out (hashes), likewise, for near spellings
 ``stats/…``           change of document count and bytes
 ``catalog/…``         collections that the segment brings
 ``skipped/…``         listed files that gave no document
@@ -43,7 +43,7 @@ from paperlantern.operators.analyze import (
     term_dictionary,
     terms_of,
 )
-from paperlantern.operators.lookup import term_grams, term_spellings
+from paperlantern.operators.lookup import lookup_part, term_grams, term_spellings
 from paperlantern.session import settle, small_side
 from paperlantern.sources.catalog import CATALOG_SCHEMA, register_index
 from paperlantern.sources.files import skipped_files
@@ -68,8 +68,8 @@ class IndexTables:
     catalog: DataFrame | None = None
     positions: bool = True
     stopwords: tuple[str, ...] = ()
-    grams: DataFrame | None = None  # gram term
-    spellings: DataFrame | None = None  # spelling term
+    grams: DataFrame | None = None  # gram (hash) term
+    spellings: DataFrame | None = None  # spelling (hash) term
 
 
 def index_in_memory(docs: DataFrame, buckets: int = 8, positions: bool = True, catalog: DataFrame | None = None, stopwords=()) -> IndexTables:
@@ -178,17 +178,30 @@ def _write_terms(spark: SparkSession, root: str, segment: Segment) -> None:
     """Document frequencies of the written rows, and what finds terms by pattern and spelling."""
     rows = _read_rows(spark, root, [segment])
     _write_bucketed(term_dictionary(rows.where("bucket >= 0 AND tf > 0")), f"{root}/terms/{segment.folder}")
-    terms = spark.read.schema("term string").parquet(f"{root}/terms/{segment.folder}").distinct()
+    terms = spark.read.schema("term string").parquet(f"{root}/terms/{segment.folder}")
+    parts = _lookup_parts(terms)
+    terms = terms.repartition(parts, "term").distinct()
 
-    def sorted_by(column: str, table: DataFrame, folder: str) -> None:
-        table.repartitionByRange(column).sortWithinPartitions(column, "term").write.mode("overwrite").parquet(f"{root}/{folder}/{segment.folder}")
+    def by_range(column: str, table: DataFrame, folder: str) -> None:
+        table = table.repartitionById(parts, lookup_part(column, parts)).sortWithinPartitions(column)
+        table.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{folder}/{segment.folder}")
 
     _at_once(
-        lambda: sorted_by("gram", term_grams(terms), "grams"),
-        lambda: sorted_by("spelling", term_spellings(terms), "spellings"),
+        lambda: by_range("gram", term_grams(terms), "grams"),
+        lambda: by_range("spelling", term_spellings(terms), "spellings"),
     )
 
 
+#: A term makes some thirty rows: so many bytes of the written terms go to one task.
+_LOOKUP_BYTES = 256 * 1024
+
+
+def _lookup_parts(terms: DataFrame) -> int:
+    """Partitions of the lookup tables, from the size of the files that hold the terms; no job."""
+    size = int(str(terms._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, min(int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // _LOOKUP_BYTES)))
+
+
 def _write_stats(spark: SparkSession, root: str, segment: Segment, before) -> None:
     docs = _read_rows(spark, root, [segment]).where("bucket < 0")
     delta = docs.where("NOT deleted").groupBy("index_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("n_bytes"))
@@ -427,7 +440,7 @@ def open_index(spark: SparkSession, root: str, upto: int | None = None) -> Index
     stats = _stats(spark, root, found).where("n_docs > 0")
 
     def lookup(folder: str, column: str) -> DataFrame:
-        table = spark.read.schema(f"{column} string, term string").parquet(*[f"{root}/{folder}/{s.folder}" for s in found])
+        table = spark.read.schema(f"{column} long, term string").parquet(*[f"{root}/{folder}/{s.folder}" for s in found])
         return table.distinct() if len(found) > 1 else table
 
     return IndexTables(
