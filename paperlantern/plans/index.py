@@ -43,8 +43,9 @@ from paperlantern.operators.analyze import (
     term_dictionary,
     terms_of,
 )
+from paperlantern.operators.changes import byte_batches
 from paperlantern.operators.lookup import lookup_part, term_grams, term_spellings
-from paperlantern.session import settle, small_side
+from paperlantern.session import scratch_dir, settle, small_side
 from paperlantern.sources.catalog import CATALOG_SCHEMA, register_index
 from paperlantern.sources.files import skipped_files
 from paperlantern.sources.storage import create_new, exists, listed, remove
@@ -114,13 +115,13 @@ def _tombstones(keys: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-def _write_bucketed(df: DataFrame, path: str) -> None:
+def _write_bucketed(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One shuffle by bucket.  ``rebalance`` lets AQE split a bucket that a very
     frequent term made large over several tasks and files, and join small ones."""
     (
         df.hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "term", "index_id")
-        .write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(path)
+        .write.mode(mode).partitionBy("bucket").option("compression", "zstd").parquet(path)
     )
 
 
@@ -152,11 +153,12 @@ _COMMIT = "attempt string, buckets int, positions boolean, supersedes boolean, c
 
 
 def _write_segment(spark, root, seq, rows, like, supersedes, before, catalog=None, listing=None) -> None:
-    """``like`` is a segment whose layout this one shares."""
+    """``like`` is a segment whose layout this one shares.  ``rows`` is a list of tables, written one after another."""
     segment = replace(
         like, seq=seq, attempt=uuid.uuid4().hex, supersedes=supersedes, catalog=catalog is not None, first=-1, weight=1, skipped=listing is not None
     )
-    _write_bucketed(rows, f"{root}/rows/{segment.folder}")
+    for part in rows:
+        _write_bucketed(part, f"{root}/rows/{segment.folder}", "append")
     beside = [lambda: _write_terms(spark, root, segment), lambda: _write_stats(spark, root, segment, before)]
     if catalog is not None:
         found = catalog.select("index_id", "base_path", "extensions", "created_at")
@@ -361,7 +363,7 @@ def write_index(
     rows = _segment_rows(docs, *layout)
     if large_lines is not None:
         rows = rows.unionByName(_large_rows(large_lines, *layout))
-    _write_segment(spark, root, seq, rows, like, False, None, accepted if catalog is not None else None, listing)
+    _write_segment(spark, root, seq, [rows], like, False, None, accepted if catalog is not None else None, listing)
     return seq
 
 
@@ -373,10 +375,13 @@ def append_segment(
     seq: int | None = None,
     large_lines: DataFrame | None = None,
     listing: DataFrame | None = None,
+    batch_bytes: int | None = None,
 ) -> int:
     """Replace documents by key and delete others, as one segment.
 
-    ``listing`` names the files that were to be read (:func:`skipped`).
+    ``listing`` names the files that were to be read (:func:`skipped`).  With ``batch_bytes``,
+    documents of more than so many bytes are analysed and written in parts of about that size,
+    one after another; all parts take effect with the one commit record (C7).
 
     Writers may run at once; of a key that two of them change, the higher number counts."""
     found = segments(spark, root)
@@ -384,19 +389,43 @@ def append_segment(
         raise ValueError(f"no index at {root}")
     seq = seq if seq is not None else claim_seq(spark, root, found[-1].seq + 1)
     layout = (found[0].buckets, found[0].positions, found[0].stopwords)
-    parts = []
-    if docs is not None:
-        parts.append(_segment_rows(docs, *layout))
+    others = []
     if deleted is not None:
-        parts.append(_tombstones(deleted.select(*KEY).distinct(), found[0].buckets))
+        others.append(_tombstones(deleted.select(*KEY).distinct(), found[0].buckets))
     if large_lines is not None:
-        parts.append(_large_rows(large_lines, *layout))
-    rows = reduce(DataFrame.unionByName, parts)
+        others.append(_large_rows(large_lines, *layout))
     before = open_index(spark, root, upto=seq)
-    _write_segment(spark, root, seq, rows, found[0], True, before, listing=listing)
+    parts, folder = ([docs] if docs is not None else []), None
+    try:
+        if docs is not None and batch_bytes is not None:
+            folder = f"{scratch_dir(spark)}/parts-{uuid.uuid4().hex}"
+            parts = _parts(docs, batch_bytes, folder)
+        rows = [_segment_rows(part, *layout) for part in parts]
+        # deletions and lines go with the first part, so that a small change is one write
+        rows = [reduce(DataFrame.unionByName, [*rows[:1], *others]), *rows[1:]]
+        _write_segment(spark, root, seq, rows, found[0], True, before, listing=listing)
+    finally:
+        if folder is not None:
+            remove(spark, folder)
     return seq
 
 
+def _parts(docs: DataFrame, limit: int, folder: str) -> list[DataFrame]:
+    """Documents in parts that end with the one that reaches ``limit`` bytes.
+
+    Up to ``limit`` bytes they stay as they are.  Beyond it they are read once and written below
+    ``folder``, a folder per part; a task sorts what falls to one hash of the path, about ``limit`` bytes."""
+    total = docs.agg(F.sum("size")).first()[0] or 0
+    if total <= limit:
+        return [docs]
+    spark = docs.sparkSession
+    docs = docs.select(*KEY, *_META, "content")
+    cut = byte_batches(docs, limit, -(-total // limit))
+    cut.withColumn("part", F.concat_ws("-", "slice", "batch_no")).drop("slice", "batch_no").write.partitionBy("part").parquet(folder)
+    names = sorted(name for name, _ in listed(spark, folder) if name.startswith("part="))
+    return [spark.read.schema(docs.schema).parquet(f"{folder}/{name}") for name in names]
+
+
 def _read_rows(spark: SparkSession, root: str, found: list[Segment]) -> DataFrame:
     schema = (
         "index_id string, path string, n_tokens int, term string, tf int, positions array<int>, "
@@ -509,4 +538,4 @@ def compact(spark: SparkSession, root: str, new_root: str) -> None:
         F.lit(None).cast("string").alias("ext"), F.lit(None).cast("long").alias("size"),
         F.lit(None).cast("timestamp").alias("mod_time"), F.lit(None).cast("boolean").alias("deleted"), "bucket",
     )
-    _write_segment(spark, new_root, 0, docs.unionByName(body), found[0], False, None, now.catalog)
+    _write_segment(spark, new_root, 0, [docs.unionByName(body)], found[0], False, None, now.catalog)

@@ -35,17 +35,26 @@ def initial_scan(
     return write_index(docs, root, catalog_rows(spark, [(folder, list(extensions))]), large_lines=lines, listing=listing, **options)
 
 
-def apply_changes(spark: SparkSession, root: str, changes: DataFrame, corpus: DataFrame, extensions=DEFAULT_EXTENSIONS, seq: int | None = None) -> int:
+def apply_changes(
+    spark: SparkSession,
+    root: str,
+    changes: DataFrame,
+    corpus: DataFrame,
+    extensions=DEFAULT_EXTENSIONS,
+    seq: int | None = None,
+    batch_bytes: int | None = None,
+) -> int:
     """Last change per path wins: documents replaced by key, deleted ones buried.
 
     ``corpus`` supplies the content of the changed paths: the feed itself, or a
     scan of just those paths.  A path without content there stays as it is.
+    ``batch_bytes``: see ``append_segment``.
     """
     final = cut_lineage(last_change(changes))
     upserts = final.where("op <> 'delete'").select(*KEY)
     docs = filter_extensions(corpus.join(small_side(upserts), KEY, "left_semi"), extensions)
     deleted = final.where("op = 'delete'").select(*KEY)
-    return append_segment(spark, root, docs, deleted, seq)
+    return append_segment(spark, root, docs, deleted, seq, batch_bytes=batch_bytes)
 
 
 def _opened(spark: SparkSession, root: str) -> IndexTables:

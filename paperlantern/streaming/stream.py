@@ -13,6 +13,9 @@ from paperlantern.sources.files import DEFAULT_EXTENSIONS
 from paperlantern.sources.storage import exists
 from paperlantern.streaming.progress import ingest_progress
 
+#: Bytes of documents that are analysed and written at a time.
+BATCH_BYTES = 256 * 1024 * 1024
+
 
 def first_free_seq(spark: SparkSession, root: str, checkpoint: str) -> int:
     """Number of the first segment of a stream, kept beside its checkpoint, so a
@@ -34,6 +37,7 @@ def stream_index(
     trigger: dict | None = None,
     progress: str | None = None,
     keep_seconds: float = 86_400.0,
+    batch_bytes: int | None = BATCH_BYTES,
 ):
     """Start the stream: quiet periods → folder events → upserts and deletes.
 
@@ -43,6 +47,10 @@ def stream_index(
     replay writes that one again; a batch that was merged already stays as it is.
     Segments of one weight are merged as they add up, so a late batch finds as few
     of them as an early one.  ``progress`` names the observations of the batches.
+
+    A batch of more than ``batch_bytes`` of documents (None: of any size) is written in parts of
+    about that size under one commit, so its peak does not grow with it.  The feed's own option
+    ``maxBytesPerTrigger`` bounds the events that a batch takes in.
     """
     spark = changes.sparkSession
     first = first_free_seq(spark, root, checkpoint)
@@ -56,7 +64,7 @@ def stream_index(
         docs = corpus(batch)
         if progress is not None:
             docs = ingest_progress(docs, f"{progress}-{batch_id}")
-        apply_changes(batch.sparkSession, root, batch, docs, extensions, seq=first + batch_id)
+        apply_changes(batch.sparkSession, root, batch, docs, extensions, first + batch_id, batch_bytes)
         if merge_tail(batch.sparkSession, root):
             clean_up(batch.sparkSession, root, keep_seconds)
 

@@ -144,6 +144,20 @@ def c12(spark, sf):
     return _shown(spark, root)
 
 
+@register("c7_c12_cut_stream_batch", _LIVE_SQL)
+def c7_c12(spark, sf):
+    """The changes as one batch of a stream, its documents written in parts of a quarter of all bytes."""
+    root, feed, docs = _written(spark, sf), _folder(spark, "feed"), fx.documents(spark, sf)
+    fx.changes(spark, sf).select(*KEY, "op", "ts", "event_id").write.parquet(feed)
+    stream = spark.readStream.schema("index_id string, path string, op string, ts timestamp, event_id long").parquet(feed)
+    quarter = (docs.agg(F.sum("size")).first()[0] or 0) // 4 + 1
+    query = stream_index(
+        stream, root, lambda batch: _changed(docs, batch), _folder(spark, "stream"), gap=None, trigger={"availableNow": True}, batch_bytes=quarter
+    )
+    query.awaitTermination()
+    return _shown(spark, root)
+
+
 def _files(spark: SparkSession, sf: str, folder: str, half: int | None = None) -> None:
     """Texts as files: one folder per source, new files added to those that are there."""
     d = fx.table(spark, sf, "documents")

@@ -5,6 +5,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from paperlantern.operators.changes import debounce_stream, last_change
+from paperlantern.plans import index as index_plan
 from paperlantern.plans.index import merge_tail, open_index, segments, write_index
 from paperlantern.plans.maintain import apply_changes
 from paperlantern.sources.changelog import read_change_log
@@ -52,6 +53,33 @@ def test_stream_equals_batch_and_restarts(spark, feed, tmp_path):
     assert len(segments(spark, stream_root)) == 4
 
 
+def test_large_batches_are_written_in_parts(spark, tmp_path, monkeypatch):
+    """Ten times the documents: the same peak, one commit, the rows of an uncut write."""
+    written, write = [], index_plan._write_bucketed
+
+    def seen(df, path, mode="overwrite"):
+        if "/rows/" in path:
+            written.append(df.where("bucket < 0 AND NOT deleted").agg(F.sum("size")).first()[0] or 0)
+        write(df, path, mode)
+
+    monkeypatch.setattr(index_plan, "_write_bucketed", seen)
+    for n, cut in ((8, False), (80, True)):
+        old, new = (documents(spark, [f"{word} text number {i:05d} " + "filler " * 20 for i in range(n)]) for word in ("old", "new"))
+        changes = new.select("index_id", "path", F.when(F.col("path").endswith("5.txt"), "delete").otherwise("update").alias("op"), F.col("mod_time").alias("ts"), F.lit(1).alias("event_id"))
+        states = []
+        for limit in (2_000, None):
+            root = str(tmp_path / f"{n}-{limit}")
+            write_index(old, root, buckets=2)
+            written.clear()
+            apply_changes(spark, root, changes, new, batch_bytes=limit)
+            assert (len(written) > 1) == (cut and limit is not None)
+            assert limit is None or max(written) <= limit + 200
+            assert [s.seq for s in segments(spark, root)] == [0, 1]
+            states.append(state(spark, root))
+        assert states[0] == states[1]
+    assert not list((tmp_path / "..").glob("shared*/parts-*"))
+
+
 def test_late_batches_find_as_few_segments_as_early_ones(spark, tmp_path, monkeypatch):
     root, other = str(tmp_path / "merged"), str(tmp_path / "plain")
     docs = documents(spark, [f"text {n}" for n in range(6)])
