@@ -1,7 +1,7 @@
 """Which terms a pattern or a near spelling can mean, without looking at all of them (Q7, Q11, Q12).
 
 Two tables beside the term dictionary, written with every segment and sorted by what
-they are asked for, as a 64-bit hash: it sorts fast and falls evenly over the files.  Two
+they are asked for, as a 32-bit hash: it sorts fast, is short, and falls evenly over the files.  Two
 texts of one hash only give candidates more, and all candidates are tried:
 
 *Trigrams* ``(gram, term)``, a mark before and after the term counting as characters.  A
@@ -46,7 +46,7 @@ def _grams(text: Column) -> Column:
 def term_grams(terms: DataFrame) -> DataFrame:
     """(gram, term) of every term."""
     marked = F.concat(F.lit(START), F.col("term"), F.lit(END))
-    return terms.select(F.explode(F.array_distinct(_grams(marked))).alias("gram"), "term").select(F.xxhash64("gram").alias("gram"), "term")
+    return terms.select(F.explode(F.array_distinct(_grams(marked))).alias("gram"), "term").select(F.hash("gram").alias("gram"), "term")
 
 
 def spellings(text, most: int) -> Column:
@@ -69,12 +69,12 @@ def spellings(text, most: int) -> Column:
 def term_spellings(terms: DataFrame) -> DataFrame:
     """(spelling, term) of every term."""
     each = terms.select(F.explode(spellings(F.col("term"), DELETES)).alias("spelling"), "term")
-    return each.select(F.xxhash64("spelling").alias("spelling"), "term")
+    return each.select(F.hash("spelling").alias("spelling"), "term")
 
 
 def lookup_part(key, parts: int) -> Column:
     """Which of ``parts`` equal ranges of hashes, in their order without sign, a hash is in."""
-    return F.floor(F.shiftrightunsigned(key, 33) * F.lit(parts) / F.lit(float(1 << 31))).cast("int")
+    return F.floor(F.shiftrightunsigned(key, 1) * F.lit(float(parts)) / F.lit(float(1 << 31))).cast("int")
 
 
 def pattern_grams(kind: Column, text: Column) -> Column:
@@ -109,7 +109,7 @@ def _asked(table: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
 
 def terms_by_gram(grams: DataFrame, clauses: DataFrame) -> DataFrame:
     """(clause, term) from (clause, grams): terms that hold the rarest trigrams of a clause."""
-    wanted = settle(clauses.select("clause", F.explode("grams").alias("gram")).select("clause", F.xxhash64("gram").alias("gram")).distinct())
+    wanted = settle(clauses.select("clause", F.explode("grams").alias("gram")).select("clause", F.hash("gram").alias("gram")).distinct())
     there = _asked(grams, "gram", wanted)
     counts = there.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = Window.partitionBy("clause").orderBy(F.coalesce("n", F.lit(0)), "gram")
@@ -125,7 +125,7 @@ def terms_by_spelling(table: DataFrame, clauses: DataFrame) -> DataFrame:
     n, text = F.col("n"), F.col("text")
     each = F.when(n == 0, spellings(text, 0)).when(n == 1, spellings(text, 1)).otherwise(spellings(text, DELETES))
     wanted = clauses.select("clause", "n", F.explode(each).alias("spelling"))
-    wanted = settle(wanted.select("clause", "n", F.length("spelling").alias("kept"), F.xxhash64("spelling").alias("spelling")))
+    wanted = settle(wanted.select("clause", "n", F.length("spelling").alias("kept"), F.hash("spelling").alias("spelling")))
     met = _asked(table, "spelling", wanted).join(small_side(wanted), "spelling")
     left_out = F.length(F.substring("term", 1, PREFIX)) - F.col("kept")
     return met.where(left_out <= F.col("n")).select("clause", "term").distinct()

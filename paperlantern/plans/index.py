@@ -469,7 +469,7 @@ def open_index(spark: SparkSession, root: str, upto: int | None = None) -> Index
     stats = _stats(spark, root, found).where("n_docs > 0")
 
     def lookup(folder: str, column: str) -> DataFrame:
-        table = spark.read.schema(f"{column} long, term string").parquet(*[f"{root}/{folder}/{s.folder}" for s in found])
+        table = spark.read.schema(f"{column} int, term string").parquet(*[f"{root}/{folder}/{s.folder}" for s in found])
         return table.distinct() if len(found) > 1 else table
 
     return IndexTables(
