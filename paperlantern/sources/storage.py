@@ -23,6 +23,8 @@ def create_new(spark: SparkSession, path: str) -> bool:
     overwriting is atomic, which it is on HDFS."""
     jvm_path, fs = _at(spark, path)
     fs.mkdirs(jvm_path.getParent())
+    if fs.getUri().getScheme() == "file":  # Hadoop's own create looks first and creates then
+        return spark._jvm.java.io.File(jvm_path.toUri().getPath()).createNewFile()
     try:
         return fs.createNewFile(jvm_path)
     except Py4JJavaError:
