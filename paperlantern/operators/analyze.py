@@ -58,35 +58,20 @@ def without_stopwords(terms: Column, stopwords=()) -> Column:
 
 
 def _with_positions(docs: DataFrame, stopwords=()) -> DataFrame:
-    """Adds ``posting``: array<struct<term,tf,positions>> of one document.
+    """Turns ``terms`` into ``sorted`` terms, their ``places`` in the same order, and
+    ``starts``: where in them each different term begins.
 
-    Three steps, each materialised as a column, so every lambda reads arrays
-    by ordinal: sorted (term, position) pairs, where each term starts, slices.
+    Each step is materialised as a column, so every lambda reads arrays by ordinal.
+    ``transform`` and not a field of ``pairs``: a field is taken for cheap, moved into
+    the next lambda and taken out again there for every element.
     """
     pair = F.transform("terms", lambda term, i: F.struct(term.alias("t"), i.alias("p")))
     if stopwords:
         pair = F.filter(pair, lambda p: ~p["t"].isin(list(stopwords)))
-    docs = docs.withColumn("pairs", F.sort_array(pair)).withColumn("n_pairs", F.size("pairs"))
-    first = lambda i: (i == 0) | (
-        F.get(F.col("pairs"), i)["t"] != F.get(F.col("pairs"), i - 1)["t"]
-    )
-    ordinals = F.when(F.col("n_pairs") > 0, F.sequence(F.lit(0), F.col("n_pairs") - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    docs = docs.withColumn("starts", F.filter(ordinals, first))
-    docs = docs.withColumn("stops", F.concat(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), F.array("n_pairs")))
-    posting = F.transform(
-        "starts",
-        lambda start, i: F.struct(
-            F.get(F.col("pairs"), start)["t"].alias("term"),
-            (F.get(F.col("stops"), i) - start).alias("tf"),
-            F.transform(
-                F.sequence(start, F.get(F.col("stops"), i) - 1),
-                lambda j: F.get(F.col("pairs"), j)["p"],
-            ).alias("positions"),
-        ),
-    )
-    return docs.withColumn("posting", posting).drop("pairs", "n_pairs", "starts", "stops")
+    docs = docs.withColumn("pairs", F.sort_array(pair)).drop("terms")
+    docs = docs.withColumns({"sorted": F.transform("pairs", lambda p: p["t"]), "places": F.transform("pairs", lambda p: p["p"])}).drop("pairs")
+    begins = F.transform("sorted", lambda term, i: F.when((i == 0) | (term != F.get(F.col("sorted"), i - 1)), i))
+    return docs.withColumn("starts", F.array_compact(begins))
 
 
 def posting_rows(docs: DataFrame, positions: bool = True, text: str = "content", document_row: bool = False, stopwords=()) -> DataFrame:
@@ -100,12 +85,18 @@ def posting_rows(docs: DataFrame, positions: bool = True, text: str = "content",
     keep = [c for c in docs.columns if c != text] + ["n_tokens"]
     docs = docs.withColumn("terms", terms_of(text)).drop(text).withColumn("n_tokens", F.size("terms"))
     if positions:
-        listed = F.col("posting")
+        listed = F.coalesce("starts", F.array().cast("array<int>"))
         if document_row:
-            blank = F.struct(F.lit("").alias("term"), F.lit(0).alias("tf"), F.array().cast("array<int>").alias("positions"))
-            listed = F.concat(F.array(blank), listed)
-        rows = _with_positions(docs, stopwords).select(*keep, F.explode_outer(listed).alias("p"))
-        return rows.where(F.col("p").isNotNull()).select(*keep, "p.term", "p.tf", "p.positions")
+            listed = F.concat(F.array(F.lit(-1)), listed)
+        rows = _with_positions(docs, stopwords).withColumn("listed", listed)
+        rows = rows.select(*keep, "sorted", "places", "listed", F.posexplode_outer("listed").alias("i", "start")).where(F.col("start").isNotNull())
+        is_doc = F.col("start") < 0
+        tf = F.coalesce(F.get("listed", F.col("i") + 1), F.size("sorted")) - F.col("start")
+        rows = rows.withColumn("tf", F.when(is_doc, F.lit(0)).otherwise(tf))
+        return rows.select(
+            *keep, F.when(is_doc, F.lit("")).otherwise(F.get("sorted", F.col("start"))).alias("term"), "tf",
+            F.when(is_doc, F.array().cast("array<int>")).otherwise(F.slice("places", F.col("start") + 1, F.col("tf"))).alias("positions"),
+        )
     runs = F.regexp_extract_all(F.array_join(F.sort_array(without_stopwords(F.col("terms"), stopwords)), " "), F.lit(_RUN), F.lit(0))
     if document_row:
         runs = F.concat(F.array(F.lit("")), runs)

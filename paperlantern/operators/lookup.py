@@ -1,7 +1,8 @@
 """Which terms a pattern or a near spelling can mean, without looking at all of them (Q7, Q11, Q12).
 
-Two tables beside the term dictionary, written with every segment and sorted by what
-they are asked for, as a 32-bit hash: it sorts fast, is short, and falls evenly over the files.  Two
+Two tables beside the term dictionary, written with every segment.  Each file holds all
+rows of its share of the terms, sorted by what they are asked for, as a 32-bit hash: it
+sorts fast and is short, and the statistics of a file's pages lead to the few that hold it.  Two
 texts of one hash only give candidates more, and all candidates are tried:
 
 *Trigrams* ``(gram, term)``, a mark before and after the term counting as characters.  A
@@ -72,11 +73,6 @@ def term_spellings(terms: DataFrame) -> DataFrame:
     return each.select(F.hash("spelling").alias("spelling"), "term")
 
 
-def lookup_part(key, parts: int) -> Column:
-    """Which of ``parts`` equal ranges of hashes, in their order without sign, a hash is in."""
-    return F.floor(F.shiftrightunsigned(key, 1) * F.lit(float(parts)) / F.lit(float(1 << 31))).cast("int")
-
-
 def pattern_grams(kind: Column, text: Column) -> Column:
     """Trigrams that every term a pattern clause matches must hold; none if that cannot be told.
 

@@ -5,7 +5,7 @@ Below ``<root>``, for every attempt to write segment N (``seq=N/attempt=…``):
 ``rows/…/bucket=b``   postings (b >= 0, sorted by term) and document rows (b < 0,
                     empty term)
 ``terms/…/bucket=b``  document frequencies
-``grams/…``           trigrams of the terms (hashes), by range and sorted, for patterns
+``grams/…``           trigrams of the terms (hashes), a file per share of the terms, sorted, for patterns
 ``spellings/…``       beginnings of the terms with characters left out (hashes), likewise, for near spellings
 ``stats/…``           change of document count and bytes
 ``catalog/…``         collections that the segment brings
@@ -44,7 +44,7 @@ from paperlantern.operators.analyze import (
     terms_of,
 )
 from paperlantern.operators.changes import byte_batches
-from paperlantern.operators.lookup import lookup_part, term_grams, term_spellings
+from paperlantern.operators.lookup import term_grams, term_spellings
 from paperlantern.session import scratch_dir, settle, small_side
 from paperlantern.sources.catalog import CATALOG_SCHEMA, register_index
 from paperlantern.sources.files import skipped_files
@@ -181,27 +181,26 @@ def _write_terms(spark: SparkSession, root: str, segment: Segment) -> None:
     rows = _read_rows(spark, root, [segment])
     _write_bucketed(term_dictionary(rows.where("bucket >= 0 AND tf > 0")), f"{root}/terms/{segment.folder}")
     terms = spark.read.schema("term string").parquet(f"{root}/terms/{segment.folder}")
-    parts = _lookup_parts(terms)
-    terms = terms.repartition(parts, "term").distinct()
+    terms = terms.repartition(_lookup_parts(terms), "term").distinct()
 
-    def by_range(column: str, table: DataFrame, folder: str) -> None:
-        table = table.repartitionById(parts, lookup_part(column, parts)).sortWithinPartitions(column)
-        table.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{folder}/{segment.folder}")
+    def sorted_by(column: str, table: DataFrame, folder: str) -> None:
+        table.sortWithinPartitions(column).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{folder}/{segment.folder}")
 
     _at_once(
-        lambda: by_range("gram", term_grams(terms), "grams"),
-        lambda: by_range("spelling", term_spellings(terms), "spellings"),
+        lambda: sorted_by("gram", term_grams(terms), "grams"),
+        lambda: sorted_by("spelling", term_spellings(terms), "spellings"),
     )
 
 
-#: A term makes some thirty rows: so many bytes of the written terms go to one task.
-_LOOKUP_BYTES = 256 * 1024
+#: A term makes some thirty rows, which one task sorts: so many bytes of the written terms go to it.
+_LOOKUP_BYTES = 512 * 1024
 
 
 def _lookup_parts(terms: DataFrame) -> int:
-    """Partitions of the lookup tables, from the size of the files that hold the terms; no job."""
+    """Shares of the terms, from the size of the files that hold them; no job.  More
+    terms make more shares, not larger ones."""
     size = int(str(terms._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, min(int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // _LOOKUP_BYTES)))
+    return max(1, -(-size // _LOOKUP_BYTES))
 
 
 def _write_stats(spark: SparkSession, root: str, segment: Segment, before) -> None:
