@@ -12,7 +12,7 @@ from paperlantern.operators.clauses import query_specs, validate_queries
 from paperlantern.plans.index import merge_segments, open_index, read_catalog, segments, skipped, write_index
 from paperlantern.plans.maintain import apply_changes, initial_scan, live_documents, reindex, remove_folder
 from paperlantern.plans.search import search
-from paperlantern.session import scratch_dir
+from paperlantern.session import scratch_dir, settle, small_side
 from paperlantern.sources.changelog import read_change_log, write_change_log
 from paperlantern.sources.files import corpus_scan
 from paperlantern.streaming.stream import stream_index
@@ -158,11 +158,22 @@ def c7_c12(spark, sf):
     return _shown(spark, root)
 
 
+#: So many bytes of texts go to one task and, of a source, to one file, at least.
+FILE_BYTES = 64 * 1024 * 1024
+
+
 def _files(spark: SparkSession, sf: str, folder: str, half: int | None = None) -> None:
-    """Texts as files: one folder per source, new files added to those that are there."""
+    """Texts as files: one folder per source, new files added to those that are there.
+
+    A source of more than ``FILE_BYTES`` is dealt over several files, so that no task grows with the table."""
     d = fx.table(spark, sf, "documents")
     d = d if half is None else d.where(F.pmod("doc_id", F.lit(2)) == half)
-    d.select("source", "text").repartition(2, "source").write.mode("append").partitionBy("source").option("lineSep", "\n").text(folder)
+    sizes = settle(d.groupBy("source").agg(F.ceil(F.sum(F.octet_length("text")) / FILE_BYTES).cast("int").alias("files")))
+    total = sizes.agg(F.sum("files")).first()[0] or 0
+    d = d.join(small_side(sizes.select(F.col("source").alias("_source"), "files")), F.col("source").eqNullSafe(F.col("_source")))
+    piece = F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.coalesce("files", F.lit(1)), F.lit(1)))
+    d = d.select("source", "text", piece.alias("piece")).repartition(max(2, total), "source", "piece").drop("piece")
+    d.write.mode("append").partitionBy("source").option("lineSep", "\n").text(folder)
 
 
 _BYTES_SQL = "SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes FROM documents GROUP BY source"
