@@ -289,6 +289,13 @@ def document_hits(documents: DataFrame, clauses: DataFrame, carry: list[str]) ->
     return match_clauses(documents, clauses, carry, _holds, _document_keys())
 
 
+def forbidden_hits(postings: DataFrame, clauses: DataFrame, carry: list[str]) -> DataFrame:
+    """Documents that hold a term a pattern clause stands for, once per clause.  They are made
+    distinct before they are shuffled: a task meets a document under many terms."""
+    hits = match_clauses(postings, clauses, carry, _expands, _text_keys(F.col("term"), ("index_id", "term")))
+    return hits.drop("term").distinct()
+
+
 def occur_code(occur) -> Column:
     occur = F.col(occur) if isinstance(occur, str) else occur
     return F.when(occur == "must", MUST).when(occur == "should", SHOULD).otherwise(MUST_NOT)

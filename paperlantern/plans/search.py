@@ -14,11 +14,13 @@ from paperlantern.operators.clauses import (
     boolean,
     document_hits,
     expand_terms,
+    forbidden_hits,
     literal_terms,
     occur_code,
     valid_queries,
 )
 from paperlantern.operators.folders import folder_scope
+from paperlantern.operators.lookup import pattern_grams
 from paperlantern.operators.rank import contribution, idf, term_weights, top_k
 from paperlantern.operators.results import project_results
 from paperlantern.plans.index import IndexTables
@@ -28,6 +30,8 @@ from paperlantern.session import BROADCAST_ROWS, at_most, in_one_task, row_bound
 _CARRY = ["query_id", "clause_id", "occur", "kind", "boost", "n_must", "should_units"]
 #: More distinct terms than this are not spelled out as literals of the scan.
 LITERAL_TERMS = 2_000
+#: So many forbidding patterns are tried on the postings themselves.
+FORBIDDING = 16
 
 
 def prepare_clauses(specs: DataFrame, stopwords=()) -> DataFrame:
@@ -131,8 +135,22 @@ def score_documents(index: IndexTables, specs: DataFrame, folders: DataFrame | N
     return _score(index, clauses, settle(index.stats), folders)
 
 
+def _forbidding(clauses: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Clauses apart from the few must_not patterns that name no trigram.
+
+    Such a pattern may stand for most terms, and has no weight: nothing about its terms has
+    to be known, so it is tried on the postings, which then meet no join of that size."""
+    open_pattern = (F.col("kind").isin("regexp", "wildcard", "prefix")) & (F.size(pattern_grams(F.col("kind"), F.col("text"))) == 0)
+    which = F.coalesce((F.col("occur") == MUST_NOT) & (F.col("field") == "content") & open_pattern, F.lit(False))
+    found = take_if_small(clauses.where(which), FORBIDDING)
+    if not found:
+        return clauses, None
+    return settle(clauses.where(~which)), settle(clauses.where(which))
+
+
 def _score(index: IndexTables, clauses: DataFrame, stats: DataFrame, folders: DataFrame | None) -> DataFrame:
     scope = settle(folder_scope(folders)) if folders is not None else None
+    clauses, forbidding = _forbidding(clauses)
     terms = resolve_terms(index, clauses, stats, scope)
     rows = take_if_small(terms, BROADCAST_ROWS)
     postings = index.postings
@@ -145,6 +163,10 @@ def _score(index: IndexTables, clauses: DataFrame, stats: DataFrame, folders: Da
         terms = F.broadcast(terms)
     else:
         kinds = {r.kind for r in terms.select("kind").distinct().collect()}
+        # the terms without their collections are fewer: often few enough to narrow the postings before they are shuffled
+        spelled = terms.select("bucket", "term").distinct()
+        if at_most(spelled, BROADCAST_ROWS):
+            postings = postings.join(F.broadcast(spelled), ["bucket", "term"], "left_semi")
 
     output = ["query_id", "index_id", "path", "clause_id", "occur", "units", "expanded", "contribution", "n_must", "should_units"]
     parts = []
@@ -168,6 +190,11 @@ def _score(index: IndexTables, clauses: DataFrame, stats: DataFrame, folders: Da
             phrase.withColumn("units", F.lit(1)).withColumn("expanded", F.lit(False))
             .withColumn("contribution", contribution("weight", "tf", "n_tokens")).select(*output)
         )
+    if forbidding is not None:
+        hits = _within(forbidden_hits(index.postings.where("tf > 0").select("index_id", "path", "term"), forbidding, _CARRY), scope, path_dir("path"))
+        parts.append(
+            hits.withColumn("units", F.lit(1)).withColumn("expanded", F.lit(True)).withColumn("contribution", F.lit(0.0)).select(*output)
+        )
     on_documents = clauses.where((F.col("kind").isin("match_all", "numeric_range", "date_range")) | (F.col("field") != "content"))
     if not at_most(on_documents, 0):
         documents = index.documents.select("index_id", "path", "dir", "ext", "size", "mod_time")
