@@ -114,19 +114,24 @@ def _within(hits: DataFrame, scope: DataFrame | None, dir_column) -> DataFrame:
 
 
 def _phrase_hits(postings: DataFrame, terms: DataFrame, scope) -> DataFrame:
-    """Q13: occurrences of all words of a phrase at consecutive positions."""
+    """Q13: occurrences of all words of a phrase at consecutive positions.
+
+    Positions stay arrays: each word gives the places where the phrase would begin, and a
+    phrase begins where as many agree as it has words.
+    """
     hits = postings.join(terms, ["index_id", "bucket", "term"])
-    hits = _within(hits, scope, path_dir("path"))
+    hits = _within(hits, scope, path_dir("path")).where(F.col("positions").isNotNull())
     doc = ["query_id", "index_id", "path"]
-    at = hits.repartition(*doc).select(
-        *doc, *[c for c in _CARRY if c != "query_id"], "width", "weight", "n_tokens", "ordinal",
-        F.explode_outer("positions").alias("pos"),
-    ).where(F.col("pos").isNotNull())
+    hits = hits.withColumn("begins", F.transform("positions", lambda p: p - F.col("ordinal")))
     keep = [F.first(c).alias(c) for c in (*[c for c in _CARRY if c not in ("query_id", "clause_id")], "width", "weight", "n_tokens")]
-    starts = at.groupBy(*doc, "clause_id", (F.col("pos") - F.col("ordinal")).alias("start")).agg(F.count(F.lit(1)).alias("n"), *keep)
-    starts = starts.where(F.col("n") == F.col("width"))
-    keep = [F.first(c).alias(c) for c in (*[c for c in _CARRY if c not in ("query_id", "clause_id")], "weight", "n_tokens")]
-    return starts.groupBy(*doc, "clause_id").agg(F.count(F.lit(1)).alias("tf"), *keep)
+    docs = hits.repartition(*doc).groupBy(*doc, "clause_id").agg(F.collect_list("begins").alias("begins"), *keep)
+    docs = docs.withColumn("begins", F.sort_array(F.flatten("begins")))
+    at = lambda i: F.get(F.col("begins"), i)
+    agreed = F.filter(
+        "begins",
+        lambda x, i: (at(i + F.col("width") - 1) == x) & ((i == 0) | (at(i - 1) != x)) & F.coalesce(at(i + F.col("width")) != x, F.lit(True)),
+    )
+    return docs.withColumn("tf", F.size(agreed).cast("long")).where("tf > 0").drop("begins", "width")
 
 
 def score_documents(index: IndexTables, specs: DataFrame, folders: DataFrame | None = None) -> DataFrame:

@@ -51,3 +51,14 @@ def test_open_patterns_that_forbid_are_tried_on_the_postings(spark, monkeypatch)
     got = sorted((r.query_id, r.path) for r in search_plan.score_documents(index, specs).collect())
     assert got == [("a", "c/0.txt"), ("a", "c/2.txt"), ("b", "c/3.txt"), ("b", "c/5.txt")]
     assert "[a-m].*" not in asked and "the" in asked
+
+
+@pytest.mark.parametrize(("phrase", "found"), [("a b", {0: 2, 1: 1}), ("a a", {3: 2}), ("b a b", {0: 1, 1: 1}), ("zz a", {}), ("a", {0: 2, 1: 1, 2: 1, 3: 3})])
+def test_phrases_keep_positions_as_arrays(spark, phrase, found):
+    index = index_in_memory(docs(spark, ["a b a b", "b a b", "b a", "a a a"]))
+    specs = query_specs(spark, [{"query_id": "q", "kind": "phrase", "text": phrase}])
+    clauses = search_plan.prepare_clauses(specs)
+    terms = search_plan.resolve_terms(index, clauses, index.stats, None)
+    hits = search_plan._phrase_hits(index.postings.select("index_id", "path", "bucket", "term", "positions", "n_tokens"), terms, None)
+    assert {int(r.path[2:-4]): r.tf for r in hits.collect()} == found
+    assert "explode(positions" not in hits._jdf.queryExecution().executedPlan().toString()
