@@ -157,7 +157,7 @@ def like_pattern(text) -> Column:
     return F.translate(F.regexp_replace(text, r"([%_\\])", r"\\$1"), "*?", "%_")
 
 
-def _expands(v, term=None) -> Column:
+def expands(v, term=None) -> Column:
     term = F.col("term") if term is None else term
     kind, text = v("kind"), v("text")
     n = F.coalesce(v("fuzziness"), F.lit(1))
@@ -189,7 +189,7 @@ def expand_terms(
     read: by trigrams, or by spellings for up to ``DELETES`` edits.  A pattern that names
     no trigram (``.*``, ``a|b``) meets the whole dictionary.
     """
-    whole = lambda some: match_clauses(dictionary, some, carry, _expands, _text_keys(F.col("term"), ("index_id", "term")))
+    whole = lambda some: match_clauses(dictionary, some, carry, expands, _text_keys(F.col("term"), ("index_id", "term")))
     if grams is None or spelled is None:
         return whole(clauses)
     n = F.coalesce("fuzziness", F.lit(1))
@@ -205,7 +205,7 @@ def expand_terms(
     parts = [whole(asked.where("way = 'whole'").select(*clauses.columns))] if "whole" in ways else []
     if possible:
         met = reduce(DataFrame.unionByName, possible).join(small_side(asked), "clause")
-        met = settle(met.where(_expands(lambda name: F.col(name))).select(F.col("term").alias("_term"), *carry))
+        met = settle(met.where(expands(lambda name: F.col(name))).select(F.col("term").alias("_term"), *carry))
         terms = take_if_small(met.select("_term").distinct(), LITERALS)
         named = dictionary
         if terms is not None:
@@ -245,7 +245,7 @@ def _holds(v) -> Column:
     """Q1, Q8, Q9, Q10 on a document row; text kinds look at the whole value of a
     keyword field, patterns included."""
     kind, field, text = v("kind"), v("field"), v("text")
-    on_value = lambda value: F.when(kind.isin(*EXPANDING), _expands(v, value)).otherwise(value == text)
+    on_value = lambda value: F.when(kind.isin(*EXPANDING), expands(v, value)).otherwise(value == text)
     keyword = reduce(
         lambda rest, name: F.when(field == name, on_value(F.col(_COLUMN_OF[name]))).otherwise(rest),
         KEYWORD_FIELDS,
@@ -292,7 +292,7 @@ def document_hits(documents: DataFrame, clauses: DataFrame, carry: list[str]) ->
 def forbidden_hits(postings: DataFrame, clauses: DataFrame, carry: list[str]) -> DataFrame:
     """Documents that hold a term a pattern clause stands for, once per clause.  They are made
     distinct before they are shuffled: a task meets a document under many terms."""
-    hits = match_clauses(postings, clauses, carry, _expands, _text_keys(F.col("term"), ("index_id", "term")))
+    hits = match_clauses(postings, clauses, carry, expands, _text_keys(F.col("term"), ("index_id", "term")))
     return hits.drop("term").distinct()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from paperlantern.operators.clauses import (
     boolean,
     document_hits,
     expand_terms,
+    expands,
     forbidden_hits,
     literal_terms,
     occur_code,
@@ -24,7 +27,7 @@ from paperlantern.operators.lookup import pattern_grams
 from paperlantern.operators.rank import contribution, idf, term_weights, top_k
 from paperlantern.operators.results import project_results
 from paperlantern.plans.index import IndexTables
-from paperlantern.session import BROADCAST_ROWS, at_most, in_one_task, row_bound, settle, small_side, take_if_small
+from paperlantern.session import BROADCAST_ROWS, LITERAL_ROWS, at_most, in_one_task, row_bound, settle, small_side, take_if_small
 
 #: Query totals that travel with every clause.
 _CARRY = ["query_id", "clause_id", "occur", "kind", "boost", "n_must", "should_units"]
@@ -153,6 +156,21 @@ def _forbidding(clauses: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return settle(clauses.where(~which)), settle(clauses.where(which))
 
 
+def _asked_postings(postings: DataFrame, clauses: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings that any clause can mean, by the patterns themselves and the words that are named.
+
+    The terms of a short pattern grow with the dictionary, so beyond a broadcast they would
+    meet all postings in a shuffled join; as predicates of the scan the patterns leave those
+    that match.  A batch of more clauses than fit a plan narrows nothing."""
+    expanding = take_if_small(clauses.where((F.col("field") == "content") & F.col("kind").isin(*EXPANDING)), LITERAL_ROWS)
+    words = take_if_small(terms.where(~F.col("kind").isin(*EXPANDING)).select("term").distinct(), LITERAL_TERMS)
+    if expanding is None or words is None:
+        return postings
+    types = {f.name: f.dataType for f in clauses.schema.fields}
+    tests = [expands(lambda name, row=row: F.lit(row[name]).cast(types[name])) for row in expanding]
+    return postings.where(reduce(lambda a, b: a | b, tests, F.col("term").isin([r.term for r in words])))
+
+
 def _score(index: IndexTables, clauses: DataFrame, stats: DataFrame, folders: DataFrame | None) -> DataFrame:
     scope = settle(folder_scope(folders)) if folders is not None else None
     clauses, forbidding = _forbidding(clauses)
@@ -172,6 +190,8 @@ def _score(index: IndexTables, clauses: DataFrame, stats: DataFrame, folders: Da
         spelled = terms.select("bucket", "term").distinct()
         if at_most(spelled, BROADCAST_ROWS):
             postings = postings.join(F.broadcast(spelled), ["bucket", "term"], "left_semi")
+        else:
+            postings = _asked_postings(postings, clauses, terms)
 
     output = ["query_id", "index_id", "path", "clause_id", "occur", "units", "expanded", "contribution", "n_must", "should_units"]
     parts = []

@@ -62,3 +62,25 @@ def test_phrases_keep_positions_as_arrays(spark, phrase, found):
     hits = search_plan._phrase_hits(index.postings.select("index_id", "path", "bucket", "term", "positions", "n_tokens"), terms, None)
     assert {int(r.path[2:-4]): r.tf for r in hits.collect()} == found
     assert "explode(positions" not in hits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_beyond_a_broadcast_narrow_the_postings(spark, monkeypatch):
+    index = index_in_memory(docs(spark, ["the thin thing", "thick sing", "zoo of rings", "that that", "of sang", "thn"]))
+    specs = query_specs(spark, [
+        {"query_id": "a", "kind": "prefix", "text": "th"}, {"query_id": "b", "kind": "wildcard", "text": "*ing"}, {"query_id": "c", "kind": "term", "text": "zoo"},
+        {"query_id": "d", "kind": "regexp", "text": "s[ai]ng"}, {"query_id": "e", "kind": "fuzzy", "text": "thin", "fuzziness": 1},
+        {"query_id": "f", "occur": "must", "kind": "match", "text": "that zoo"}, {"query_id": "f", "kind": "prefix", "text": "r"},
+    ])
+    columns = ["query_id", "path", "score"]
+    want = sorted(map(tuple, search_plan.score_documents(index, specs).select(columns).collect()))
+    seen, narrow = [], search_plan._asked_postings
+
+    def kept(*given):
+        seen.append(narrow(*given))
+        return seen[-1]
+
+    monkeypatch.setattr(search_plan, "_asked_postings", kept)
+    monkeypatch.setattr(search_plan, "BROADCAST_ROWS", 2)
+    got = search_plan.score_documents(index, specs)
+    assert sorted(map(tuple, got.select(columns).collect())) == want and len(want) > 8
+    assert sorted({r.term for r in seen[0].collect()}) == ["rings", "sang", "sing", "that", "the", "thick", "thin", "thing", "thn", "zoo"]
