@@ -115,16 +115,31 @@ def _tombstones(keys: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-def _write_bucketed(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def _write_bucketed(df: DataFrame, path: str, mode: str = "overwrite", finish=lambda df: df, **options) -> None:
     """One shuffle by bucket.  ``rebalance`` lets AQE split a bucket that a very
-    frequent term made large over several tasks and files, and join small ones."""
+    frequent term made large over several tasks and files, and join small ones.
+    ``finish`` adds what need not be shuffled and sorted."""
     (
-        df.hint("rebalance", "bucket")
-        .sortWithinPartitions("bucket", "term", "index_id")
-        .write.mode(mode).partitionBy("bucket").option("compression", "zstd").parquet(path)
+        finish(df.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "index_id"))
+        .write.mode(mode).partitionBy("bucket").option("compression", "zstd").options(**options).parquet(path)
     )
 
 
+#: Columns of postings that no scan prunes by.
+_NO_BOUNDS = {f"parquet.column.statistics.enabled#{c}": "false" for c in ("path", "n_tokens", "tf")}
+
+
+def _write_rows(rows: DataFrame, path: str, positions: bool, mode: str = "overwrite") -> None:
+    """Most rows are postings, which only have a document's side fields as nulls: those travel
+    as one value, and positions that the index does not hold not at all."""
+    side = [*_META, "deleted"]
+    narrow = [*KEY, "n_tokens", "term", "tf", *(["positions"] if positions else []), "bucket"]
+    packed = rows.select(*narrow, F.when(F.col("deleted").isNotNull(), F.struct(*side)).alias("side"))
+    held = F.col("positions") if positions else F.lit(None).cast("array<int>").alias("positions")
+    wide = [*KEY, "n_tokens", "term", "tf", held, *[F.col(f"side.{c}").alias(c) for c in side], "bucket"]
+    _write_bucketed(packed, path, mode, lambda df: df.select(*wide), **_NO_BOUNDS)
+
+
 @dataclass(frozen=True)
 class Segment:
     """What a commit record tells."""
@@ -158,7 +173,7 @@ def _write_segment(spark, root, seq, rows, like, supersedes, before, catalog=Non
         like, seq=seq, attempt=uuid.uuid4().hex, supersedes=supersedes, catalog=catalog is not None, first=-1, weight=1, skipped=listing is not None
     )
     for part in rows:
-        _write_bucketed(part, f"{root}/rows/{segment.folder}", "append")
+        _write_rows(part, f"{root}/rows/{segment.folder}", segment.positions, "append")
     beside = [lambda: _write_terms(spark, root, segment), lambda: _write_stats(spark, root, segment, before)]
     if catalog is not None:
         found = catalog.select("index_id", "base_path", "extensions", "created_at")
@@ -184,7 +199,9 @@ def _write_terms(spark: SparkSession, root: str, segment: Segment) -> None:
     terms = terms.repartition(_lookup_parts(terms), "term").distinct()
 
     def sorted_by(column: str, table: DataFrame, folder: str) -> None:
-        table.sortWithinPartitions(column).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{folder}/{segment.folder}")
+        # hashes are too many for a dictionary, and only they are looked up by their bounds
+        cheap = {f"parquet.enable.dictionary#{column}": "false", "parquet.column.statistics.enabled#term": "false"}
+        table.sortWithinPartitions(column).write.mode("overwrite").option("compression", "zstd").options(**cheap).parquet(f"{root}/{folder}/{segment.folder}")
 
     _at_once(
         lambda: sorted_by("gram", term_grams(terms), "grams"),
@@ -498,7 +515,7 @@ def merge_segments(spark: SparkSession, root: str, first: int, last: int) -> Seg
         chosen[-1].seq, uuid.uuid4().hex, chosen[0].buckets, chosen[0].positions, bool(newer), any(s.catalog for s in chosen),
         chosen[0].lowest, sum(s.weight for s in chosen), chosen[0].stopwords, any(s.skipped for s in chosen),
     )
-    _write_bucketed(rows, f"{root}/rows/{merged.folder}")
+    _write_rows(rows, f"{root}/rows/{merged.folder}", merged.positions)
     _write_terms(spark, root, merged)
     _stats(spark, root, chosen).write.mode("overwrite").parquet(f"{root}/stats/{merged.folder}")
     if merged.catalog:

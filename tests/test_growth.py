@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from paperlantern.operators.clauses import query_specs
 from paperlantern.plans import index as index_plan, search as search_plan
-from paperlantern.plans.index import index_in_memory
+from paperlantern.plans.index import index_in_memory, open_index, write_index
 from paperlantern.workload import upkeep
 
 
@@ -84,3 +84,25 @@ def test_terms_beyond_a_broadcast_narrow_the_postings(spark, monkeypatch):
     got = search_plan.score_documents(index, specs)
     assert sorted(map(tuple, got.select(columns).collect())) == want and len(want) > 8
     assert sorted({r.term for r in seen[0].collect()}) == ["rings", "sang", "sing", "that", "the", "thick", "thin", "thing", "thn", "zoo"]
+
+
+@pytest.mark.parametrize("positions", [True, False])
+def test_side_fields_of_postings_are_not_shuffled(spark, tmp_path, monkeypatch, positions):
+    shuffled, write = [], index_plan._write_bucketed
+
+    def seen(df, path, *rest, **options):
+        shuffled.append((path, df.columns))
+        write(df, path, *rest, **options)
+
+    monkeypatch.setattr(index_plan, "_write_bucketed", seen)
+    d = docs(spark, ["b a b", "", "c"]).withColumn("mod_time", F.timestamp_seconds("size"))
+    write_index(d, str(tmp_path), buckets=4, positions=positions)
+    columns = next(c for path, c in shuffled if "/rows/" in path)
+    assert not {"ext", "size", "mod_time", "deleted"} & set(columns) and ("positions" in columns) == positions
+    index = open_index(spark, str(tmp_path))
+    assert sorted((r.path, r.ext, r.size, r.mod_time.second, r.n_tokens) for r in index.documents.collect()) == [
+        ("c/0.txt", ".txt", 5, 5, 3), ("c/1.txt", ".txt", 0, 0, 0), ("c/2.txt", ".txt", 1, 1, 1)
+    ]
+    got = sorted((r.path, r.term, r.tf, r.positions) for r in index.postings.collect())
+    held = lambda *places: list(places) if positions else None
+    assert got == [("c/0.txt", "a", 1, held(1)), ("c/0.txt", "b", 2, held(0, 2)), ("c/2.txt", "c", 1, held(0))]
