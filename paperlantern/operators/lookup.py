@@ -45,32 +45,38 @@ def _grams(text: Column) -> Column:
 
 
 def term_grams(terms: DataFrame) -> DataFrame:
-    """(gram, term) of every term."""
-    marked = F.concat(F.lit(START), F.col("term"), F.lit(END))
-    return terms.select(F.explode(F.array_distinct(_grams(marked))).alias("gram"), "term").select(F.hash("gram").alias("gram"), "term")
+    """(gram, term) of every term, each hash once.  The marked term is a column of its own: the lambda would build it again for every gram."""
+    marked = terms.select("term", F.concat(F.lit(START), F.col("term"), F.lit(END)).alias("marked"))
+    hashes = F.transform(F.sequence(F.lit(1), F.length("marked") - (GRAM - 1)), lambda i: F.hash(F.substring("marked", i, F.lit(GRAM))))
+    hashes = F.when(F.length("marked") >= GRAM, hashes).otherwise(F.array().cast("array<int>"))
+    return marked.select(F.explode(F.array_distinct(hashes)).alias("gram"), "term")
 
 
-def spellings(text, most: int) -> Column:
-    """The beginning of a text with up to ``most`` characters left out, in all ways.
+def _characters(text) -> list[Column]:
+    return [F.substring(text, place, 1) for place in range(1, PREFIX + 1)]
+
+
+def _left_out(characters: list[Column], most: int) -> list[Column]:
+    """The characters put together with up to ``most`` of them left out, in all ways.
 
     One plain expression per choice of places, no lambda, so that it is compiled; a place
     behind the end leaves nothing out, which repeats a spelling that is there already.
     """
-    head = F.substring(text, 1, PREFIX)
+    places = range(PREFIX)
+    return [F.concat(*[characters[i] for i in places if i not in chosen]) for n in range(most + 1) for chosen in combinations(places, n)]
 
-    def without(places: tuple[int, ...]) -> Column:
-        edges = zip((0, *places), (*places, PREFIX + 1))
-        kept = [F.substring(head, before + 1, after - before - 1) for before, after in edges if after - before > 1]
-        return F.concat(*kept)
 
-    places = range(1, PREFIX + 1)
-    return F.array_distinct(F.array(*[without(chosen) for n in range(most + 1) for chosen in combinations(places, n)]))
+def spellings(text, most: int) -> Column:
+    """The beginning of a text with up to ``most`` characters left out, in all ways."""
+    return F.array_distinct(F.array(*_left_out(_characters(text), most)))
 
 
 def term_spellings(terms: DataFrame) -> DataFrame:
-    """(spelling, term) of every term."""
-    each = terms.select(F.explode(spellings(F.col("term"), DELETES)).alias("spelling"), "term")
-    return each.select(F.hash("spelling").alias("spelling"), "term")
+    """(spelling, term) of every term, each hash once.  The characters are columns, cut once for all choices, and hashes are made distinct, not texts."""
+    names = [f"_{place}" for place in range(PREFIX)]
+    cut = terms.select("term", *[c.alias(name) for c, name in zip(_characters("term"), names)])
+    hashes = [F.hash(spelling) for spelling in _left_out([F.col(name) for name in names], DELETES)]
+    return cut.select(F.explode(F.array_distinct(F.array(*hashes))).alias("spelling"), "term")
 
 
 def pattern_grams(kind: Column, text: Column) -> Column:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperlantern.operators.clauses import query_specs
+from paperlantern.operators.lookup import term_grams, term_spellings
 from paperlantern.plans import index as index_plan, search as search_plan
 from paperlantern.plans.index import index_in_memory, open_index, write_index
 from paperlantern.workload import upkeep
@@ -86,6 +87,10 @@ def test_terms_beyond_a_broadcast_narrow_the_postings(spark, monkeypatch):
     assert sorted({r.term for r in seen[0].collect()}) == ["rings", "sang", "sing", "that", "the", "thick", "thin", "thing", "thn", "zoo"]
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("positions", [True, False])
 def test_side_fields_of_postings_are_not_shuffled(spark, tmp_path, monkeypatch, positions):
     shuffled, write = [], index_plan._write_bucketed
@@ -106,3 +111,15 @@ def test_side_fields_of_postings_are_not_shuffled(spark, tmp_path, monkeypatch,
     got = sorted((r.path, r.term, r.tf, r.positions) for r in index.postings.collect())
     held = lambda *places: list(places) if positions else None
     assert got == [("c/0.txt", "a", 1, held(1)), ("c/0.txt", "b", 2, held(0, 2)), ("c/2.txt", "c", 1, held(0))]
+
+
+def test_hashes_of_a_term_are_made_from_its_characters_once(spark):
+    terms = spark.createDataFrame([("aaaa",), ("ab",), ("\u00e9t\u00e9",), ("abcdefghij",)], "term string")
+    grams, spelled = term_grams(terms), term_spellings(terms)
+    for table, column in ((grams, "gram"), (spelled, "spelling")):
+        rows = [tuple(r) for r in table.select("term", column).collect()]
+        assert len(rows) == len(set(rows))
+    known = spark.createDataFrame([("ab", s) for s in ("ab", "a", "b", "")] + [("aaaa", s) for s in ("aaaa", "aaa", "aa")], "term string, s string")
+    want = sorted(map(tuple, known.select("term", F.hash("s")).collect()))
+    assert sorted(tuple(r) for r in spelled.select("term", "spelling").collect() if r.term in ("ab", "aaaa")) == want
+    assert "substring" not in next(line for line in plan(spelled).splitlines() if "Generate" in line)
