@@ -40,9 +40,11 @@ def _shown(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _changed(docs: DataFrame, changes: DataFrame) -> DataFrame:
-    """The documents as the last of these changes leaves them: their time is that of the change."""
-    last = ch.last_change(changes).select(*KEY, "ts")
-    return docs.join(last, KEY).withColumn("mod_time", F.col("ts")).drop("ts")
+    """The documents as the last of these changes leaves them: their time is that of the change.
+
+    The changes are known first, so that texts are not shuffled to meet a number that can be broadcast."""
+    last = settle(ch.last_change(changes).select(*KEY, "ts"))
+    return docs.join(small_side(last), KEY).withColumn("mod_time", F.col("ts")).drop("ts")
 
 
 _ALL_SQL = f"WITH {DOCS_SQL} SELECT index_id, path, size, {_TS} AS mod_time FROM docs"

@@ -91,6 +91,18 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_texts_do_not_move_to_meet_a_few_changes(spark):
+    d = docs(spark, ["one", "two", "three"])
+    at = "timestamp_seconds(id)"
+    changes = spark.range(1, 6).selectExpr("'c' AS index_id", "'c/' || (id % 2) || '.txt' AS path", "'update' AS op", f"{at} AS ts", "id AS event_id")
+    # texts too large for a broadcast, so that without the count both sides would be shuffled
+    changed = upkeep._changed(d.hint("merge"), changes)
+    assert sorted((r.path, r.content, r.t) for r in changed.selectExpr("path", "content", "unix_seconds(mod_time) AS t").collect()) == [
+        ("c/0.txt", "one", 4), ("c/1.txt", "two", 5)
+    ]
+    assert "BroadcastHashJoin" in plan(changed) and "SortMergeJoin" not in plan(changed)
+
+
 @pytest.mark.parametrize("positions", [True, False])
 def test_side_fields_of_postings_are_not_shuffled(spark, tmp_path, monkeypatch, positions):
     shuffled, write = [], index_plan._write_bucketed
