@@ -7,6 +7,7 @@ from paperlantern.operators.clauses import query_specs
 from paperlantern.operators.lookup import term_grams, term_spellings
 from paperlantern.plans import index as index_plan, search as search_plan
 from paperlantern.plans.index import index_in_memory, open_index, write_index
+from paperlantern.sources.files import WHOLE_FILE_BYTES
 from paperlantern.workload import upkeep
 
 
@@ -34,6 +35,14 @@ def test_a_large_source_is_several_files(spark, tmp_path, monkeypatch):
     assert lines == sorted(t or "" for _, t, _ in rows)
 
 
+def test_a_scan_reads_the_files_too_large_for_one_row(spark, tmp_path):
+    big = WHOLE_FILE_BYTES // 4
+    rows = [(n, f"{n} \u00e9\n" + "x" * big, "big") for n in range(5)] + [(5, "alone\nand short", "small"), (6, "", "small")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.source: r.n_bytes for r in upkeep.s1(spark, str(tmp_path)).collect()}
+    assert got == {"big": 5 * (big + 6), "small": 17}
+
+
 def test_open_patterns_that_forbid_are_tried_on_the_postings(spark, monkeypatch):
     asked = []
     resolve = search_plan.resolve_terms
