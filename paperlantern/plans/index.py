@@ -426,20 +426,34 @@ def append_segment(
     return seq
 
 
+#: So many bytes of documents are worth a task of their own.
+_TASK_BYTES = 4 * 1024 * 1024
+#: So many pieces make a part, each a file of its own, so that many tasks write a part and read it.
+_PIECES = 16
+
+
 def _parts(docs: DataFrame, limit: int, folder: str) -> list[DataFrame]:
-    """Documents in parts that end with the one that reaches ``limit`` bytes.
+    """Documents in parts of ``limit`` bytes at most, or of one piece that ends with the document that reaches it.
 
-    Up to ``limit`` bytes they stay as they are.  Beyond it they are read once and written below
-    ``folder``, a folder per part; a task sorts what falls to one hash of the path, about ``limit`` bytes."""
+    Up to ``limit`` bytes they are one part, dealt over tasks by size: where the changed documents lie
+    in their table does not matter.  Beyond it they are read once and written below ``folder`` in pieces,
+    by hash of the path, of which a part takes as many as it holds; a task sorts about one piece."""
     total = docs.agg(F.sum("size")).first()[0] or 0
     if total <= limit:
-        return [docs]
+        tasks = -(-total // _TASK_BYTES)
+        return [docs.repartition(tasks, "path") if tasks > 1 else docs]
     spark = docs.sparkSession
     docs = docs.select(*KEY, *_META, "content")
-    cut = byte_batches(docs, limit, -(-total // limit))
-    cut.withColumn("part", F.concat_ws("-", "slice", "batch_no")).drop("slice", "batch_no").write.partitionBy("part").parquet(folder)
-    names = sorted(name for name, _ in listed(spark, folder) if name.startswith("part="))
-    return [spark.read.schema(docs.schema).parquet(f"{folder}/{name}") for name in names]
+    cut = byte_batches(docs, limit, -(-total * _PIECES // limit)).withColumn("part", F.concat_ws("-", "slice", "batch_no"))
+    cut.drop("slice", "batch_no").write.partitionBy("part").parquet(folder)
+    written = spark.read.schema("size long, part string").parquet(folder).groupBy("part").agg(F.sum("size")).collect()
+    parts, held = [], limit
+    for name, size in sorted((r[0], r[1] or 0) for r in written):
+        if held + size > limit:
+            parts, held = [*parts, []], 0
+        parts[-1].append(f"{folder}/part={name}")
+        held += size
+    return [spark.read.schema(docs.schema).parquet(*pieces) for pieces in parts]
 
 
 def _read_rows(spark: SparkSession, root: str, found: list[Segment]) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A join side is broadcast only after a count proved it is at most this long.
 BROADCAST_ROWS = 200_000
+#: As many keys as hashes, eight bytes each, take the room of those rows.
+HASHED_ROWS = 8 * BROADCAST_ROWS
 #: Up to this many rows of *query text* become literals of the plan.
 LITERAL_ROWS = 256
 
@@ -78,6 +80,17 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
+def near_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows that a join with ``keys`` can find, and a few more of the same hash.
+
+    Where the keys are too many for a broadcast, their hashes are broadcast, so that a join
+    shuffles what it finds and not all of ``df``; elsewhere ``df`` as it is."""
+    if at_most(keys, BROADCAST_ROWS) or not at_most(keys, HASHED_ROWS):
+        return df
+    hashes = keys.select(F.xxhash64(*on).alias("_hash")).distinct()
+    return df.withColumn("_hash", F.xxhash64(*on)).join(F.broadcast(hashes), "_hash", "left_semi").drop("_hash")
+
+
 def take_if_small(df: DataFrame, rows: int):
     """The rows of ``df`` as a list, or None when there are more than ``rows``."""
     found = df.limit(rows + 1).collect()

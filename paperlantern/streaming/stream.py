@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlantern.operators.changes import debounce_stream, expand_dir_events
+from paperlantern.operators.changes import debounce_stream, expand_dir_events, last_change
 from paperlantern.plans.index import clean_up, merge_tail, next_seq
 from paperlantern.plans.maintain import apply_changes
 from paperlantern.session import cut_lineage
@@ -41,8 +41,8 @@ def stream_index(
 ):
     """Start the stream: quiet periods → folder events → upserts and deletes.
 
-    ``corpus(batch)`` returns the documents of the changed paths of one batch
-    (from the feed, or a scan of just these paths); ``listing`` is needed for
+    ``corpus(batch)`` returns the documents of the changed paths of one batch, of which it is
+    given the last change of each (from the feed, or a scan of just these paths); ``listing`` is needed for
     folder events only.  Batch ``n`` is written as segment ``first + n``, and a
     replay writes that one again; a batch that was merged already stays as it is.
     Segments of one weight are merged as they add up, so a late batch finds as few
@@ -56,11 +56,14 @@ def stream_index(
     first = first_free_seq(spark, root, checkpoint)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        batch = cut_lineage(batch.select("index_id", "path", "op", "ts", "event_id"))
+        # a batch of one file is one task's rows: they are dealt out before keys are compared
+        batch = batch.select("index_id", "path", "op", "ts", "event_id").repartition("event_id")
+        if listing is not None:
+            batch = expand_dir_events(cut_lineage(batch), listing() if callable(listing) else listing)
+        # only the last change of a path counts, for the documents as for the index
+        batch = cut_lineage(last_change(batch))
         if batch.isEmpty():
             return
-        if listing is not None:
-            batch = expand_dir_events(batch, listing() if callable(listing) else listing)
         docs = corpus(batch)
         if progress is not None:
             docs = ingest_progress(docs, f"{progress}-{batch_id}")

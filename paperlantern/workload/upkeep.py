@@ -12,7 +12,7 @@ from paperlantern.operators.clauses import query_specs, validate_queries
 from paperlantern.plans.index import merge_segments, open_index, read_catalog, segments, skipped, write_index
 from paperlantern.plans.maintain import apply_changes, initial_scan, live_documents, reindex, remove_folder
 from paperlantern.plans.search import search
-from paperlantern.session import scratch_dir, settle, small_side
+from paperlantern.session import cut_lineage, near_keys, scratch_dir, settle, small_side
 from paperlantern.sources.changelog import read_change_log, write_change_log
 from paperlantern.sources.files import corpus_scan, large_file_lines
 from paperlantern.streaming.stream import stream_index
@@ -42,9 +42,10 @@ def _shown(spark: SparkSession, root: str) -> DataFrame:
 def _changed(docs: DataFrame, changes: DataFrame) -> DataFrame:
     """The documents as the last of these changes leaves them: their time is that of the change.
 
-    The changes are known first, so that texts are not shuffled to meet a number that can be broadcast."""
+    The changes are known first, so that texts are not shuffled to meet a number that can be broadcast;
+    beyond it only texts whose key has the hash of a changed one are."""
     last = settle(ch.last_change(changes).select(*KEY, "ts"))
-    return docs.join(small_side(last), KEY).withColumn("mod_time", F.col("ts")).drop("ts")
+    return near_keys(docs, last, KEY).join(small_side(last), KEY).withColumn("mod_time", F.col("ts")).drop("ts")
 
 
 _ALL_SQL = f"WITH {DOCS_SQL} SELECT index_id, path, size, {_TS} AS mod_time FROM docs"
@@ -131,13 +132,14 @@ def c10(spark, sf):
 def c12(spark, sf):
     """The changes as a stream of four files in order of time, taken one by one."""
     root, feed = _written(spark, sf), _folder(spark, "feed")
-    changes = fx.changes(spark, sf)
+    # made once; a file is written by one task, but what it holds is not made by one
+    changes = cut_lineage(fx.changes(spark, sf).select(*KEY, "op", "ts", "event_id"))
     bounds = changes.agg(F.percentile_approx(F.unix_micros("ts"), [0.25, 0.5, 0.75], 1000).alias("b")).first().b or []
     for low, high in zip([None, *bounds], [*bounds, None]):
         some = changes
         some = some.where(F.unix_micros("ts") > low) if low is not None else some
         some = some.where(F.unix_micros("ts") <= high) if high is not None else some
-        some.select(*KEY, "op", "ts", "event_id").coalesce(1).write.mode("append").parquet(feed)
+        some.repartition(1).write.mode("append").parquet(feed)
     stream = spark.readStream.schema("index_id string, path string, op string, ts timestamp, event_id long")
     stream = stream.option("maxFilesPerTrigger", 1).parquet(feed)
     docs = fx.documents(spark, sf)

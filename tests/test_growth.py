@@ -3,11 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from paperlantern import session
 from paperlantern.operators.clauses import query_specs
 from paperlantern.operators.lookup import term_grams, term_spellings
 from paperlantern.plans import index as index_plan, search as search_plan
 from paperlantern.plans.index import index_in_memory, open_index, write_index
 from paperlantern.sources.files import WHOLE_FILE_BYTES
+from paperlantern.streaming.stream import stream_index
 from paperlantern.workload import upkeep
 
 
@@ -112,6 +114,78 @@ def test_texts_do_not_move_to_meet_a_few_changes(spark):
     assert "BroadcastHashJoin" in plan(changed) and "SortMergeJoin" not in plan(changed)
 
 
+def tasks_of(df):
+    return df.select(F.spark_partition_id()).distinct().count()
+
+
+def test_changed_documents_of_one_split_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(index_plan, "_TASK_BYTES", 100)
+    together = docs(spark, [f"text {n} " + "x" * 40 for n in range(40)]).coalesce(1)
+    (part,) = index_plan._parts(together, 10_000, "never written")
+    assert tasks_of(together) == 1 and tasks_of(part) > 4
+    assert sorted(r.path for r in part.collect()) == sorted(r.path for r in together.collect())
+    (few,) = index_plan._parts(docs(spark, ["x" * 90]), 10_000, "never written")
+    assert tasks_of(few) == 1
+
+
+def test_a_part_of_a_large_batch_is_several_files(spark, tmp_path):
+    d = docs(spark, [f"text {n} " + "x" * (n % 7) for n in range(400)] + ["y" * 900, ""])
+    d = d.unionByName(d.where("path = 'c/5.txt'").withColumn("index_id", F.lit("other")))
+    limit = 600
+    parts = index_plan._parts(d, limit, str(tmp_path / "parts"))
+    sizes = [p.agg(F.sum("size")).first()[0] for p in parts]
+    assert len(parts) > 5 and sorted(sizes)[-2] <= limit and 900 <= max(sizes) < limit + 900
+    assert sum(len(p.inputFiles()) > 4 for p in parts) >= len(parts) - 2
+    got = sorted((r.index_id, r.path, r.content) for p in parts for r in p.collect())
+    assert got == sorted((r.index_id, r.path, r.content) for r in d.collect())
+
+
+def test_a_stream_hands_on_the_last_change_of_a_path(spark, tmp_path):
+    d = docs(spark, ["one", "two", "three"])
+    write_index(d, str(tmp_path / "index"), buckets=2)
+    events = spark.range(90).selectExpr("'c' AS index_id", "'c/' || (id % 3) || '.txt' AS path", "if(id = 88, 'delete', 'update') AS op", "timestamp_seconds(id) AS ts", "id AS event_id")
+    events.coalesce(1).write.parquet(str(tmp_path / "feed"))
+    given = []
+
+    def corpus(batch):
+        given.extend(sorted((r.path, r.op, r.event_id) for r in batch.collect()))
+        return d
+
+    feed = spark.readStream.schema(events.schema).parquet(str(tmp_path / "feed"))
+    stream_index(feed, str(tmp_path / "index"), corpus, str(tmp_path / "stream"), gap=None, trigger={"availableNow": True}).awaitTermination()
+    assert given == [("c/0.txt", "update", 87), ("c/1.txt", "delete", 88), ("c/2.txt", "update", 89)]
+    assert sorted(r.path for r in open_index(spark, str(tmp_path / "index")).documents.collect()) == ["c/0.txt", "c/2.txt"]
+
+
+def test_texts_that_no_change_names_are_not_shuffled(spark, monkeypatch):
+    d = docs(spark, [f"text {n}" for n in range(50)])
+    keys = spark.range(0, 6).selectExpr("if(id = 5, null, 'c') AS index_id", "'c/' || id * 9 || '.txt' AS path")
+    assert session.near_keys(d, keys, ["index_id", "path"]) is d  # few enough for a broadcast
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 3)
+    near = session.near_keys(d, keys, ["index_id", "path"])
+    assert sorted(r.path for r in near.collect()) == [f"c/{n}.txt" for n in (0, 18, 27, 36, 9)] and near.columns == d.columns
+    assert "BroadcastHashJoin" in plan(near) and "hashpartitioning(index_id" not in plan(near)
+    monkeypatch.setattr(session, "HASHED_ROWS", 5)
+    assert session.near_keys(d, keys, ["index_id", "path"]) is d
+
+
+def test_the_feed_of_changes_is_not_made_by_one_task(spark, tmp_path, monkeypatch):
+    made, cut = [], upkeep.cut_lineage
+    monkeypatch.setattr(upkeep, "cut_lineage", lambda df: made.append(cut(df)) or made[-1])
+    rows = [(n, f"text {n}", "en", f"s{n % 2}") for n in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    kind = "element_at(array('signup', 'view', 'error'), CAST(id % 3 + 1 AS INT)) AS event_type"
+    spark.range(0, 60).selectExpr("id AS event_id", "CAST(timestamp_seconds(id) AS timestamp_ntz) AS ts", "id % 7 AS user_id", kind).write.parquet(str(tmp_path / "events.parquet"))
+    shown = {r.path: r.mod_time[:19] for r in upkeep.c12(spark, str(tmp_path)).collect()}
+    assert [df.count() for df in made] == [60] and tasks_of(made[0]) > 1
+    last = {n % 7: n for n in range(60)}  # of a user
+    gone = {user for user, n in last.items() if n % 3 == 2}
+    assert len(shown) == 20 - len(gone) and len(gone) > 1
+    assert {int(p.split("/")[2].split(".")[0]) for p in shown} == set(range(20)) - gone
+    user = next(u for u in last if u not in gone)
+    assert [t for p, t in shown.items() if p.split("/")[2].split(".")[0] == str(user)] == [f"1970-01-01 00:00:{last[user]:02d}"]
+
+
 @pytest.mark.parametrize("positions", [True, False])
 def test_side_fields_of_postings_are_not_shuffled(spark, tmp_path, monkeypatch, positions):
     shuffled, write = [], index_plan._write_bucketed
