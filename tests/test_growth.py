@@ -8,6 +8,7 @@ from paperlantern.operators.clauses import query_specs
 from paperlantern.operators.lookup import term_grams, term_spellings
 from paperlantern.plans import index as index_plan, search as search_plan
 from paperlantern.plans.index import index_in_memory, open_index, write_index
+from paperlantern.plans.maintain import apply_changes
 from paperlantern.sources.files import WHOLE_FILE_BYTES
 from paperlantern.streaming.stream import stream_index
 from paperlantern.workload import upkeep
@@ -140,6 +141,31 @@ def test_a_part_of_a_large_batch_is_several_files(spark, tmp_path):
     assert got == sorted((r.index_id, r.path, r.content) for r in d.collect())
 
 
+def test_a_batch_in_parts_leaves_what_an_uncut_one_leaves(spark, tmp_path, monkeypatch):
+    written, write = [], index_plan._write_rows
+
+    def seen(rows, *rest):
+        written.append(rows.where("bucket < 0 AND NOT deleted").agg(F.sum("size")).first()[0] or 0)
+        write(rows, *rest)
+
+    monkeypatch.setattr(index_plan, "_write_rows", seen)
+    old, new = (docs(spark, [f"{word} text {n:03d} " + "filler " * 20 for n in range(60)]) for word in ("old", "new"))
+    changes = new.selectExpr("index_id", "path", "if(path LIKE '%5.txt', 'delete', 'update') AS op", "mod_time AS ts", "1 AS event_id")
+    states = []
+    for limit in (2_000, None):
+        root = str(tmp_path / str(limit))
+        write_index(old, root, buckets=2)
+        written.clear()
+        apply_changes(spark, root, changes, new, batch_bytes=limit)
+        assert (len(written) > 4) == (limit is not None) and (limit is None or max(written) <= limit + 200)
+        assert [s.seq for s in index_plan.segments(spark, root)] == [0, 1]
+        index = open_index(spark, root)
+        tables = (index.documents.select("path", "size"), index.postings.select("path", "term", "tf"), index.stats)
+        states.append([sorted(map(tuple, t.collect())) for t in tables])
+    assert states[0] == states[1] and len(states[0][0]) == 54
+    assert not list((tmp_path / "..").glob("shared*/parts-*"))
+
+
 def test_a_stream_hands_on_the_last_change_of_a_path(spark, tmp_path):
     d = docs(spark, ["one", "two", "three"])
     write_index(d, str(tmp_path / "index"), buckets=2)
